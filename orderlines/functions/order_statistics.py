@@ -40,6 +40,24 @@ class Ordering:
         self._ends = list(accumulate(row["n"] for row in sizes))
         self.total = self._ends[-1] if self._ends else 0
 
+    def sizes(self, key: str) -> dict:
+        """Rows per value of a leading key that has few values."""
+        counts = self._rows.groupBy(key).agg(F.sum("_copies").alias("n")).collect()
+        return {row[key]: row["n"] for row in counts}
+
+    def ranked(self) -> DataFrame:
+        """The key rows with their ``position``, counted from 0; for keys that tell rows apart."""
+        spark = self._rows.sparkSession
+        starts = [0, *self._ends[:-1]]
+        # One row per shuffle partition, so always small.
+        offsets = spark.createDataFrame(list(zip(self._parts, starts)), "_part int, _offset long")
+        within = Window.partitionBy("_part").orderBy(*self._keys)
+        return (
+            self._rows.withColumn("_local", F.row_number().over(within) - 1)
+            .join(F.broadcast(offsets), "_part")
+            .select(*self._keys, (F.col("_offset") + F.col("_local")).alias("position"))
+        )
+
     def at(self, positions: list[int]) -> dict[int, Row]:
         """The key rows at the given positions, counted from 0."""
         wanted = {}
@@ -93,10 +111,7 @@ def histogram_quantiles(
 ) -> dict[str, list[float | None]]:
     """As ``column_quantiles``, from rows ``(column, value, n)`` of distinct values."""
     ordering = Ordering(counts, ["column", "value"], "n")
-    sizes = {
-        row["column"]: row["n"]
-        for row in ordering._rows.groupBy("column").agg(F.sum("_copies").alias("n")).collect()
-    }
+    sizes = ordering.sizes("column")
     starts, start = {}, 0
     for name in sorted(sizes):
         starts[name] = start

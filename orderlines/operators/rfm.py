@@ -23,13 +23,16 @@ def rfm_values(lines: DataFrame, reference: datetime | None = None) -> DataFrame
     """Whole days since the last order, distinct orders and spend of each customer.
 
     The reference time is the last order time of all lines plus one day unless given. Customers
-    are grouped once; their last times are what the reference time is taken from, so lines are
-    read only once.
+    are grouped once and written; their last times give the reference time, and scoring reads
+    them again several times, so the lines are read only once.
     """
-    customers = lines.groupBy("customer_id").agg(
-        F.max("order_time").alias("last_time"),
-        F.count_distinct("order_id").alias("frequency"),
-        total(F.col("actual_amount")).alias("monetary"),
+    customers = materialize(
+        lines.groupBy("customer_id").agg(
+            F.max("order_time").alias("last_time"),
+            F.count_distinct("order_id").alias("frequency"),
+            total(F.col("actual_amount")).alias("monetary"),
+        ),
+        "customers",
     )
     if reference is None:
         until = customers.agg(F.max("last_time") + F.expr("INTERVAL 1 DAY")).scalar()
@@ -107,10 +110,9 @@ def _rank_score(values: DataFrame, column: str) -> Column:
 
 def rfm_segments(lines: DataFrame, reference: datetime | None = None) -> DataFrame:
     """Values, scores, total score, segment and strategy of every customer."""
-    values = materialize(rfm_values(lines, reference), "customers")
     r, f, m = F.col("R_score"), F.col("F_score"), F.col("M_score")
     return (
-        rfm_scores(values)
+        rfm_scores(rfm_values(lines, reference))
         .withColumn("RFM_score", r + f + m)
         .withColumn("segment", segment_of(r, f, m))
         .withColumn("strategy", text_for(F.col("segment"), STRATEGIES))
