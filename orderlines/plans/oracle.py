@@ -127,7 +127,12 @@ def mean(value: str) -> str:
     return ratio(f"sum({value})", f"nullif(count({value}), 0)")
 
 
-def sums(*columns: str, digits: int | None = None) -> str:
+def cents(value: str) -> str:
+    """Half-up rounding of the printed digits of a double."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,16)), 2) AS DOUBLE)"
+
+
+def sums(*columns: str) -> str:
     return ", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in columns)
 
 
@@ -145,8 +150,11 @@ ORACLE_SQL["s1_csv_scan"] = star(
 ORACLE_SQL["s2_typed_csv_scan"] = star(
     f" SELECT strftime(date, '%Y-%m-%d') AS day, count(*) AS n, {sums(*ALL_MONEY)} FROM lines GROUP BY 1"
 )
-ORACLE_SQL["s3_format_dispatch"] = star(
-    f" SELECT platform, count(*) AS n, {sums(*ALL_MONEY)} FROM lines GROUP BY 1"
+_VALUE = "CAST(sum(actual_amount) AS DOUBLE)"
+ORACLE_SQL["s3_format_dispatch"] = event(
+    f""" SELECT platform, count(*) AS n, CAST(count(*) AS DOUBLE) AS quantity, {_VALUE} AS unit_price,
+         {_VALUE} AS total_amount, 0.0::DOUBLE AS discount, {_VALUE} AS actual_amount, 0.0::DOUBLE AS refund_amount
+         FROM lines GROUP BY 1"""
 )
 ORACLE_SQL["s5_export_union"] = star(
     """ SELECT platform, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS total_amount,
@@ -167,7 +175,7 @@ PROFILES = """,
     ),
     totals AS (
       SELECT customer_id, count(DISTINCT order_id) AS total_orders, CAST(sum(actual_amount) AS DOUBLE) AS total_spent,
-             round(CAST(sum(actual_amount) AS DOUBLE) / count(actual_amount), 4) AS avg_order_value,
+             CAST(sum(actual_amount) AS DOUBLE) / count(actual_amount) AS avg_order_value,
              min(order_time) AS first_order, max(order_time) AS last_order
       FROM lines GROUP BY ALL
     )"""
@@ -326,7 +334,7 @@ def _text_profile(position: int, column: str, value: str) -> str:
       count(v) AS unique, first(v ORDER BY n DESC, v) AS top, max(n) AS freq,
       CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min,
       CAST(NULL AS DOUBLE) AS q25, CAST(NULL AS DOUBLE) AS q50, CAST(NULL AS DOUBLE) AS q75,
-      CAST(NULL AS DOUBLE) AS max, 0 AS missing, 0.0 AS missing_pct, count(v) AS nunique FROM {counts}"""
+      CAST(NULL AS DOUBLE) AS max, 0 AS missing, CAST(0 AS DOUBLE) AS missing_pct, count(v) AS nunique FROM {counts}"""
 
 
 def _number_profile(position: int, column: str) -> str:
@@ -337,7 +345,7 @@ def _number_profile(position: int, column: str) -> str:
     return f"""SELECT {position} AS position, '{column}' AS column, count({column}) AS count,
       CAST(NULL AS BIGINT) AS unique, CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq,
       round({mean(column)}, 4) AS mean, round(stddev_samp({value}), 4) AS std, CAST(min({column}) AS DOUBLE) AS min,
-      {quartiles}, CAST(max({column}) AS DOUBLE) AS max, 0 AS missing, 0.0 AS missing_pct,
+      {quartiles}, CAST(max({column}) AS DOUBLE) AS max, 0 AS missing, CAST(0 AS DOUBLE) AS missing_pct,
       count(DISTINCT {column}) AS nunique FROM lines"""
 
 
@@ -412,7 +420,7 @@ RANKING = """
       SELECT product_name, first(category ORDER BY line_no, category) AS category,
              CAST(sum(quantity) AS DOUBLE) AS total_sold, CAST(sum(actual_amount) AS DOUBLE) AS total_revenue,
              count(DISTINCT order_id) AS order_count,
-             round(CAST(sum(unit_price) AS DOUBLE) / count(unit_price), 4) AS avg_price,
+             CAST(sum(unit_price) AS DOUBLE) / count(unit_price) AS avg_price,
              count(*) FILTER (WHERE status = 'refunded') AS refund_count,
              round(CAST(count(DISTINCT order_id) AS DOUBLE) / any_value(orders) * 100, 2) AS order_penetration,
              round(CAST(sum(actual_amount) AS DOUBLE) / any_value(revenue) * 100, 2) AS revenue_share
@@ -437,8 +445,8 @@ ORACLE_SQL["a6_category_breakdown"] = star(
 ORACLE_SQL["a11_category_features"] = star(
     f""" SELECT category, CAST(sum(actual_amount) AS DOUBLE) AS total_sales,
          round(CAST(sum(actual_amount) AS DOUBLE) / any_value(revenue) * 100, 1) AS sales_pct,
-         count(DISTINCT order_id) AS total_orders, round({mean('unit_price')}, 4) AS avg_price,
-         round({mean('discount')}, 4) AS avg_discount FROM lines, everything GROUP BY category""",
+         count(DISTINCT order_id) AS total_orders, {mean('unit_price')} AS avg_price,
+         {mean('discount')} AS avg_discount FROM lines, everything GROUP BY category""",
     RANKING,
 )
 ORACLE_SQL["a8_platform_comparison"] = star(
@@ -462,7 +470,7 @@ TREND = """
     )"""
 ORACLE_SQL["a9_daily_trend"] = star(
     f""" SELECT {day()}, revenue, orders, customers, prev_revenue,
-         round((revenue - prev_revenue) / nullif(prev_revenue, 0) * 100, 2) AS dod_pct, round(ma7, 4) AS ma7 FROM trend""",
+         round((revenue - prev_revenue) / nullif(prev_revenue, 0) * 100, 2) AS dod_pct, round(ma7, 6) AS ma7 FROM trend""",
     TREND,
 )
 ORACLE_SQL["a10_daily_features"] = star(
@@ -474,12 +482,12 @@ ORACLE_SQL["a10_daily_features"] = star(
                  CAST(sum(discount) AS DOUBLE) / (CAST(sum(total_amount) AS DOUBLE) + 0.01) AS discount_rate
           FROM lines GROUP BY date
         )
-        SELECT {day()}, total_revenue, total_orders, round(avg_order_value, 4) AS avg_order_value, total_customers,
-               round(refund_rate, 8) AS refund_rate, round(discount_rate, 8) AS discount_rate,
+        SELECT {day()}, total_revenue, total_orders, avg_order_value, total_customers,
+               refund_rate, discount_rate,
                CAST(isodow(date) - 1 AS INTEGER) AS weekday, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
                CAST(month(date) AS INTEGER) AS month, CAST(day(date) AS INTEGER) AS day_of_month,
                CAST(weekofyear(date) AS INTEGER) AS week_of_year,
-               round(avg(total_revenue) OVER w, 4) AS revenue_ma7, round(avg(total_orders) OVER w, 4) AS orders_ma7
+               round(avg(total_revenue) OVER w, 6) AS revenue_ma7, round(avg(total_orders) OVER w, 6) AS orders_ma7
         FROM d WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""
 )
 HOURLY = """
@@ -515,7 +523,7 @@ SERIES = """
       SELECT *, CAST(row_number() OVER s - 1 AS INTEGER) AS day_num, count(*) OVER (PARTITION BY series) AS n_days,
              lag(revenue, 1) OVER s AS lag_1, lag(revenue, 2) OVER s AS lag_2, lag(revenue, 3) OVER s AS lag_3,
              lag(revenue, 7) OVER s AS lag_7,
-             round(avg(revenue) OVER b, 4) AS rolling_mean_7, round(stddev_samp(revenue) OVER b, 4) AS rolling_std_7
+             round(avg(revenue) OVER b, 6) AS rolling_mean_7, round(stddev_samp(revenue) OVER b, 6) AS rolling_std_7
       FROM days
       WINDOW s AS (PARTITION BY series ORDER BY date),
              b AS (PARTITION BY series ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
@@ -528,7 +536,7 @@ ORACLE_SQL["w1_previous_day"] = event(
 )
 ORACLE_SQL["w2_trailing_mean"] = event(
     f""" SELECT series AS platform, {day()},
-         round(avg(revenue) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS ma7
+         round(avg(revenue) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS ma7
          FROM days""",
     SERIES,
 )
@@ -545,7 +553,7 @@ ORACLE_SQL["t1_lag_features"] = event(
     + " FROM features",
     SERIES,
 )
-WEEKLY = """
+WEEKLY = f"""
     weekly AS (
       SELECT platform || '/' || CAST(weekofyear(date) AS VARCHAR) AS series, date,
              CAST(sum(actual_amount) AS DOUBLE) AS revenue FROM lines GROUP BY ALL
@@ -555,8 +563,8 @@ WEEKLY = """
     ),
     levels AS (SELECT series, max(date) AS last_date, avg(revenue) AS level FROM recent WHERE back <= 7 GROUP BY series),
     ahead AS (
-      SELECT series, CAST(last_date + CAST(step AS INTEGER) AS DATE) AS date, step, round(level, 2) AS predicted,
-             round(level * 0.85, 2) AS lower_bound, round(level * 1.15, 2) AS upper_bound
+      SELECT series, CAST(last_date + CAST(step AS INTEGER) AS DATE) AS date, step, {cents('level')} AS predicted,
+             {cents('level * 0.85')} AS lower_bound, {cents('level * 1.15')} AS upper_bound
       FROM levels, range(1, 15) AS r(step)
     )"""
 ORACLE_SQL["t4_short_history"] = event(
@@ -746,7 +754,7 @@ ORACLE_SQL["m5_pair_rules"] = star(
 ORACLE_SQL["d1_order_features"] = star(
     """ SELECT order_id, CAST(sum(actual_amount) AS DOUBLE) AS total_amount, count(DISTINCT product_name) AS item_count,
         CAST(sum(quantity) AS DOUBLE) AS total_quantity,
-        round(CAST(sum(unit_price) AS DOUBLE) / count(unit_price), 4) AS avg_unit_price,
+        CAST(sum(unit_price) AS DOUBLE) / count(unit_price) AS avg_unit_price,
         CAST(sum(discount) AS DOUBLE) AS discount_total, first(hour ORDER BY line_no, hour) AS order_hour,
         first(is_weekend ORDER BY line_no, is_weekend) AS is_weekend FROM lines GROUP BY order_id"""
 )

@@ -38,7 +38,7 @@ def star_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> DataF
         "customer_id": F.col("o_custkey").cast("string"),
         "platform": F.col("o_orderpriority"),
         "quantity": F.col("l_quantity").cast(MONEY),
-        "unit_price": F.try_divide("l_extendedprice", "l_quantity").cast(MONEY),
+        "unit_price": F.try_divide(price.cast(MONEY), F.col("l_quantity").cast(MONEY)).cast(MONEY),
         "total_amount": price.cast(MONEY),
         "discount": discount,
         "actual_amount": actual,
