@@ -30,13 +30,17 @@ def order_items(lines: DataFrame) -> DataFrame:
     )
 
 
-def baskets(items: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """Bought items of each order as a sorted array; ``keep`` restricts the items."""
-    bought = items.where("bought").drop("bought")
-    if keep is not None:
-        bought = bought.join(keep, "product_name", "left_semi")
-    return bought.groupBy("order_id").agg(
-        F.array_sort(F.collect_set("product_name")).alias("items")
+def bought_items(items: DataFrame) -> DataFrame:
+    """The order by product matrix in sparse form: one row per cell that is set."""
+    return items.where("bought").drop("bought")
+
+
+def baskets(bought: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Frequent items of each order as a sorted array."""
+    return (
+        bought.join(frequent, "product_name", "left_semi")
+        .groupBy("order_id")
+        .agg(F.array_sort(F.collect_set("product_name")).alias("items"))
     )
 
 
@@ -62,14 +66,14 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.01) -> DataFrame:
     if orders == 0:
         return lines.sparkSession.createDataFrame([], ITEMSETS)
     least = smallest_count(min_support, orders)
+    bought = bought_items(items)
     frequent = (
-        items.where("bought")
-        .groupBy("product_name")
+        bought.groupBy("product_name")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= least)
         .select("product_name")
     )
-    gathered = baskets(items, frequent).select("items").persist(StorageLevel.MEMORY_AND_DISK)
+    gathered = baskets(bought, frequent).select("items").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size = gathered.count()
         if size < least:

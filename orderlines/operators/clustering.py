@@ -17,6 +17,9 @@ from orderlines.functions.storage import materialize
 FEATURES = ["recency", "frequency", "monetary"]
 SEED = 42
 PARALLEL_FITS = 8
+# Distance a centre may still move at the end. Its square, over all centres, is about 1e-4 of the
+# variance of a standardized feature.
+TOLERANCE = 5e-3
 
 
 def feature_moments(customers: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def _best_fits(vectors: DataFrame, ks: list[int], restarts: int) -> dict[int, KM
     @inheritable_thread_target(vectors.sparkSession)
     def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
         k, start = task
-        means = KMeans(k=k, seed=SEED + start, maxIter=100, tol=1e-4, predictionCol="cluster")
+        means = KMeans(k=k, seed=SEED + start, maxIter=300, tol=TOLERANCE, predictionCol="cluster")
         return k, means.fit(vectors)
 
     with ThreadPool(PARALLEL_FITS) as pool:

@@ -20,6 +20,7 @@ from orderlines.functions.expressions import (
     total,
     weekend_flag,
 )
+from orderlines.functions.order_statistics import Ordering
 from orderlines.schema import REFUNDED, WEEKDAY_NAMES
 
 
@@ -185,9 +186,21 @@ def best_sellers(ranking: DataFrame, n: int = 5) -> DataFrame:
 
 
 def slow_movers(ranking: DataFrame) -> DataFrame:
-    """The least sold fifth of the products, at least one; the slowest first."""
-    n = max(1, int(ranking.count() * 0.2))
-    return ranking.orderBy("total_sold", F.desc("product_name")).limit(n)
+    """The least sold fifth of the products, at least one.
+
+    The fifth grows with the catalogue, so it is not gathered by a limit: the row at which it
+    begins in the ranking is looked up, and products are compared with it.
+    """
+    keyed = ranking.withColumn("_order", -F.col("total_sold"))
+    ordering = Ordering(keyed, ["_order", "product_name"])
+    if ordering.total == 0:
+        return ranking
+    start = ordering.total - max(1, int(ordering.total * 0.2))
+    cut = ordering.at([start])[start]
+    order, name = F.lit(cut["_order"]), F.lit(cut["product_name"])
+    return keyed.where(
+        (F.col("_order") > order) | ((F.col("_order") == order) & (F.col("product_name") >= name))
+    ).drop("_order")
 
 
 def category_breakdown(lines: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlines.functions.expressions import day_text, total
-from orderlines.functions.order_statistics import column_quantiles, histogram_quantiles
+from orderlines.functions.order_statistics import column_quantiles
 from orderlines.functions.storage import materialize
 from orderlines.operators.cleaning import BAD_TIME, COPIES, NEGATIVE, missing_required
 from orderlines.schema import LINE_NO
@@ -167,87 +167,90 @@ def _finding(check: str, column: str, value: Column) -> Column:
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: counts, most frequent value, moments and quartiles.
 
-    All columns are counted in one pass as ``(column, value, n)``; everything but the quartiles is
-    an aggregate of that table. Numbers have moments, other types a most frequent value (the
-    smallest on ties). Times are profiled as text.
+    All columns are counted in one pass as ``(column, text, value, n)``; all but the quartiles is
+    taken from that table. ``df`` is read several times, so pass one that comes from a table. Numbers have moments, other types a most frequent value (the smallest on ties).
+    Times are profiled as text.
     """
-    numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    names = [name for name in df.columns if name != LINE_NO]
-    numeric = [name for name in numeric if name in names]
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    order = {name: i for i, name in enumerate(names)}
-
-    cells = df.select(
-        *[
-            F.struct(
-                F.col(n).cast("string").alias("text"),
-                (F.col(n).cast("double") if n in numeric else F.lit(None).cast("double")).alias("value"),
-            ).alias(n)
-            for n in names
-        ]
-    ).unpivot([], names, "column", "cell")
+    fields = [field for field in df.schema if field.name != LINE_NO]
+    numeric = [field.name for field in fields if isinstance(field.dataType, T.NumericType)]
     counts = materialize(
-        cells.groupBy("column", F.col("cell.text").alias("text"), F.col("cell.value").alias("value"))
+        df.select(F.inline(F.array(*[_cell(field) for field in fields])))
+        .groupBy("column", "text", "value")
         .agg(F.count(F.lit(1)).alias("n")),
         "value-counts",
     )
     n, value, text = F.col("n"), F.col("value"), F.col("text")
-    is_number = F.col("column").isin(numeric) if numeric else F.lit(False)
-    weighted = F.sum(n * value)
-    with_values = F.sum(F.when(text.isNotNull(), n))
+    present = text.isNotNull() | value.isNotNull()
+    filled = F.sum(F.when(present, n))
     by_column = counts.groupBy("column").agg(
         F.sum(n).alias("rows"),
-        F.coalesce(with_values, F.lit(0)).alias("count"),
-        F.count(text).alias("nunique"),
-        F.max(F.when(text.isNotNull(), n)).alias("_freq"),
-        F.try_divide(weighted, with_values.cast("double")).alias("mean"),
+        F.coalesce(filled, F.lit(0)).alias("count"),
+        F.count_if(present).alias("nunique"),
+        F.max(F.when(text.isNotNull(), n)).alias("freq"),
+        F.try_divide(F.sum(n * value), filled.cast("double")).alias("mean"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    top = (
-        counts.where(text.isNotNull())
+    spread = (
+        counts.where(present)
         # One row per column of the table, so always small.
-        .join(F.broadcast(by_column.select("column", "_freq", "mean")), "column")
+        .join(F.broadcast(by_column.select("column", "freq", "mean")), "column")
         .groupBy("column")
         .agg(
-            F.min(F.when(n == F.col("_freq"), text)).alias("_top"),
-            F.sum(n * F.pow(value - F.col("mean"), 2)).alias("_squares"),
+            F.min(F.when(n == F.col("freq"), text)).alias("top"),
+            F.sum(n * F.pow(value - F.col("mean"), 2)).alias("squares"),
         )
     )
-    quartiles = (
-        histogram_quantiles(
-            counts.where(value.isNotNull()).groupBy("column", "value").agg(F.sum(n).alias("n")),
-            {name: [0.25, 0.5, 0.75] for name in numeric},
+    quartiles = column_quantiles(df, {name: [0.25, 0.5, 0.75] for name in numeric}) if numeric else {}
+    facts = df.sparkSession.createDataFrame(
+        [
+            (i, field.name, field.dataType.simpleString(), field.name in numeric, *quartiles.get(field.name, [None] * 3))
+            for i, field in enumerate(fields)
+        ],
+        "position int, column string, dtype string, is_number boolean, q25 double, q50 double, q75 double",
+    )
+    missing = F.col("rows") - F.col("count")
+    words = ~F.col("is_number")
+    return (
+        F.broadcast(facts)
+        .join(by_column, "column")
+        .join(spread, "column", "left")
+        .select(
+            "position",
+            "column",
+            "count",
+            F.when(words, F.col("nunique")).alias("unique"),
+            F.when(words, F.col("top")).alias("top"),
+            F.when(words, F.col("freq")).alias("freq"),
+            "mean",
+            F.sqrt(F.try_divide("squares", (F.col("count") - 1).cast("double"))).alias("std"),
+            "min",
+            "q25",
+            "q50",
+            "q75",
+            "max",
+            "dtype",
+            missing.alias("missing"),
+            F.round(F.try_divide(missing.cast("double"), F.col("rows").cast("double")) * 100, 2).alias("missing_pct"),
+            "nunique",
         )
-        if numeric
-        else {}
     )
 
-    def looked_up(choose) -> Column:
-        result = F.lit(None).cast("double")
-        for name, found in quartiles.items():
-            result = F.when(F.col("column") == name, F.lit(choose(found)).cast("double")).otherwise(result)
-        return result
 
-    position = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    type_names = F.create_map(*[F.lit(x) for name in names for x in (name, types[name])])
-    missing = F.col("rows") - F.col("count")
-    return by_column.join(top, "column", "left").select(
-        position[F.col("column")].alias("position"),
-        "column",
-        "count",
-        F.when(~is_number, F.col("nunique")).alias("unique"),
-        F.when(~is_number, F.col("_top")).alias("top"),
-        F.when(~is_number, F.col("_freq")).alias("freq"),
-        "mean",
-        F.sqrt(F.try_divide("_squares", (F.col("count") - 1).cast("double"))).alias("std"),
-        "min",
-        looked_up(lambda q: q[0]).alias("q25"),
-        looked_up(lambda q: q[1]).alias("q50"),
-        looked_up(lambda q: q[2]).alias("q75"),
-        "max",
-        type_names[F.col("column")].alias("dtype"),
-        missing.alias("missing"),
-        F.round(F.try_divide(missing.cast("double"), F.col("rows").cast("double")) * 100, 2).alias("missing_pct"),
-        "nunique",
-    )
+def _cell(field: T.StructField) -> Column:
+    """A value of a column as number or text; large numbers as both.
+
+    A double holds whole numbers up to 2 ** 53 exactly. Beyond that the digits tell values apart.
+    """
+    column, number = F.col(field.name), F.lit(None).cast("double")
+    text = column.cast("string")
+    if isinstance(field.dataType, T.NumericType):
+        number = column.cast("double")
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            text = F.lit(None).cast("string")
+        else:
+            exact = 2.0**53 / 10 ** getattr(field.dataType, "scale", 0)
+            text = F.when(F.abs(number) >= exact, text)
+    return F.struct(F.lit(field.name).alias("column"), text.alias("text"), number.alias("value"))
+
+

@@ -718,9 +718,7 @@ def itemsets(support: float) -> str:
 
 
 ORACLE_SQL["m1_baskets"] = star(
-    """ SELECT order_id, string_agg(product_name, ',' ORDER BY product_name) AS items FROM (
-          SELECT order_id, product_name FROM lines GROUP BY ALL HAVING sum(quantity) > 0
-        ) GROUP BY order_id"""
+    " SELECT order_id, product_name FROM lines GROUP BY ALL HAVING sum(quantity) > 0"
 )
 ORACLE_SQL["m2_itemsets"] = star(
     " SELECT array_to_string(items, ',') AS items, freq, orders FROM itemsets", itemsets(0.0005)

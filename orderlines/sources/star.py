@@ -12,6 +12,20 @@ CENTS = "decimal(18,2)"
 RATE = "decimal(4,2)"
 
 
+SMALL_TABLE = 1 << 30
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table; a small one is spread over the cores.
+
+    A small file is often a single row group, which one task reads alone. Tables beyond
+    ``SMALL_TABLE`` bytes have splits enough and are left as they are.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return table.repartition(spark.sparkContext.defaultParallelism, key) if size <= SMALL_TABLE else table
+
+
 def star_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame:
     """``lineitem`` with its order and, where asked for, its product.
 
@@ -19,7 +33,7 @@ def star_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> DataF
     execution splits the partitions of an order or part that holds many lines. The text
     ``order_id`` keeps the later grouping apart from the join, so such a split stays possible.
     """
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = _table(spark, sf_dir, "lineitem", "l_orderkey")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     lines = items.join(orders, items.l_orderkey == orders.o_orderkey)
     if products:
@@ -71,7 +85,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "refund_amount": F.lit(0).cast(MONEY),
         "status": F.lit(COMPLETED),
     }
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = _table(spark, sf_dir, "events", "event_id")
     return events.select(*[column.alias(name) for name, column in named.items()])
 
 
@@ -81,7 +95,7 @@ def raw_export(spark: SparkSession, sf_dir: str, platform: bool = True) -> DataF
     Unreadable times, blank and negative numbers, blank categories and repeated rows follow from
     the keys, so that a query elsewhere can repeat them.
     """
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = _table(spark, sf_dir, "lineitem", "l_orderkey")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     lines = items.join(orders, items.l_orderkey == orders.o_orderkey).join(
