@@ -21,6 +21,7 @@ from orderlines.functions.expressions import (
     weekend_flag,
 )
 from orderlines.functions.order_statistics import Ordering
+from orderlines.functions.storage import materialize
 from orderlines.schema import REFUNDED, WEEKDAY_NAMES
 
 
@@ -59,9 +60,9 @@ def _mean_order_value() -> Column:
 # ---- overview -------------------------------------------------------------------------------
 
 
-def daily_orders(rollup: DataFrame) -> DataFrame:
-    """Order-level sums per day; orders without a day form a row of their own."""
-    return rollup.groupBy("date").agg(
+def customer_days(rollup: DataFrame) -> DataFrame:
+    """Order-level sums per day and customer, the base of the overview."""
+    return rollup.groupBy("date", "customer_id").agg(
         total(F.col("actual_amount")).alias("revenue"),
         F.count(F.lit(1)).alias("orders"),
         F.count_if(F.col("status") == REFUNDED).alias("refunded_orders"),
@@ -70,6 +71,12 @@ def daily_orders(rollup: DataFrame) -> DataFrame:
     )
 
 
+def daily_orders(days: DataFrame) -> DataFrame:
+    """Order-level sums per day; orders without a day form a row of their own."""
+    names = ("revenue", "orders", "refunded_orders", "gross", "discount")
+    return days.groupBy("date").agg(*[F.sum(name).alias(name) for name in names])
+
+
 def latest_days(daily: DataFrame) -> DataFrame:
     """The last day with orders against the last such day before it."""
     last_two = daily.where(F.col("date").isNotNull()).orderBy(F.desc("date")).limit(2)
@@ -100,11 +107,15 @@ def revenue_distribution(daily: DataFrame) -> DataFrame:
 
 
 def overview(lines: DataFrame) -> DataFrame:
-    """The headline numbers in one row, with the revenue distribution as a struct."""
-    rollup = order_rollup(lines)
-    daily = daily_orders(rollup)
+    """The headline numbers in one row, with the revenue distribution as a struct.
+
+    The lines are read once: sums per customer and day are written, and all numbers follow from
+    them.
+    """
+    days = materialize(customer_days(order_rollup(lines)), "customer-days")
+    daily = materialize(daily_orders(days), "days")
     revenue, orders = F.sum("revenue").cast("double"), F.sum("orders").cast("double")
-    customers = rollup.agg(F.count_distinct("customer_id")).scalar()
+    customers = days.agg(F.count_distinct("customer_id")).scalar()
     latest = latest_days(daily)
     latest = latest.agg(F.first(F.struct(*latest.columns))).scalar()
     stats = revenue_distribution(daily)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from orderlines.functions.expressions import percent, total
@@ -47,43 +49,72 @@ def rfm_values(lines: DataFrame, reference: datetime | None = None) -> DataFrame
     )
 
 
+MEASURES = ["frequency", "monetary", "recency"]
+
+
 def rfm_scores(values: DataFrame) -> DataFrame:
-    """Scores 1 to 3 by terciles, all three from cut-off rows found without a global window.
+    """Scores 1 to 3 by terciles, from cut-off rows instead of a window over all customers.
 
     Recency is cut by value, so equal recency gets an equal score, and small is good. Frequency
-    and spend are cut by rank with ties in order of customer id.
+    and spend are cut by rank with ties in order of customer id. The three measures are put in
+    order together, one after the other.
     """
-    recency = values.where(F.col("recency").isNotNull())
-    days = Ordering(recency.groupBy("recency").agg(F.count(F.lit(1)).alias("n")), ["recency"], "n")
+    measured = values.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(name).alias("measure"),
+                        F.col(name).cast("decimal(28,4)").alias("value"),
+                        F.col("customer_id"),
+                    )
+                    for name in MEASURES
+                ]
+            )
+        )
+    ).where(F.col("value").isNotNull())
+    ordering = Ordering(measured, ["measure", "value", "customer_id"])
+    sizes = ordering.sizes("measure")
+    starts = dict(zip(MEASURES, accumulate([0, *[sizes.get(name, 0) for name in MEASURES]])))
+    wanted = [starts["recency"] + place for place in _recency_places(sizes.get("recency", 0))]
+    for name in ("frequency", "monetary"):
+        wanted += [starts[name] + end for end in _rank_ends(sizes.get(name, 0)) if end >= 0]
+    rows = ordering.at(wanted)
+
+    def row(name: str, place: int):
+        return rows[starts[name] + place]
+
+    edges = _recency_edges(sizes.get("recency", 0), lambda place: int(row("recency", place)["value"]))
     return values.withColumns(
         {
-            "R_score": _recency_score(F.col("recency"), _recency_edges(days)),
-            "F_score": _rank_score(values, "frequency"),
-            "M_score": _rank_score(values, "monetary"),
+            "R_score": _recency_score(F.col("recency"), edges),
+            "F_score": _rank_score("frequency", sizes.get("frequency", 0), row),
+            "M_score": _rank_score("monetary", sizes.get("monetary", 0), row),
         }
     )
 
 
-def _recency_edges(days: Ordering) -> list[int]:
+def _recency_places(n: int) -> list[int]:
+    """Positions whose values decide the edges: around each third, within bounds."""
+    lows = [(n - 1) * k // 3 for k in (1, 2)]
+    return sorted({min(max(low + step, 0), n - 1) for low in lows for step in (-1, 0, 1)}) if n else []
+
+
+def _recency_edges(n: int, at: Callable[[int], int]) -> list[int]:
     """Thrice the value of the first and second tercile edge, in integers.
 
     The edge stands at position (n - 1) k / 3 between two values. Where it falls exactly on a row
     that is larger than the one before, that row is above the edge, as in ranking.
     """
-    if days.total == 0:
-        return [0, 0]
-    places = [divmod((days.total - 1) * k, 3) for k in (1, 2)]
-    last = days.total - 1
-    rows = days.at([min(max(low + step, 0), last) for low, _ in places for step in (-1, 0, 1)])
     edges = []
-    for low, rest in places:
-        here = rows[low]["recency"]
+    for k in (1, 2) if n else ():
+        low, rest = divmod((n - 1) * k, 3)
+        here = at(low)
         if rest:
-            after = rows[min(low + 1, last)]["recency"]
-            edges.append(3 * here + rest * (after - here))
+            edges.append(3 * here + rest * (at(low + 1) - here))
         else:
-            edges.append(3 * here - int(low > 0 and rows[low - 1]["recency"] < here))
-    return edges
+            edges.append(3 * here - int(low > 0 and at(low - 1) < here))
+    return edges or [0, 0]
 
 
 def _recency_score(recency: Column, edges: list[int]) -> Column:
@@ -91,16 +122,21 @@ def _recency_score(recency: Column, edges: list[int]) -> Column:
     return F.when(thrice <= edges[0], 3).when(thrice <= edges[1], 2).when(recency.isNotNull(), 1)
 
 
-def _rank_score(values: DataFrame, column: str) -> Column:
+def _rank_ends(n: int) -> list[int]:
+    """Last position of the first and of the second third.
+
+    Position p belongs to the first third when 3p < n - 1, to the second when 3p < 2(n - 1).
+    """
+    return [-(-(n - 1) * k // 3) - 1 for k in (1, 2)]
+
+
+def _rank_score(column: str, n: int, row: Callable[[str, int], Row]) -> Column:
     """Tercile of the rank of ``column``, as a comparison with two cut-off rows."""
-    ordering = Ordering(values, [column, "customer_id"])
-    # Position p belongs to the first third when 3p < n - 1, to the second when 3p < 2(n - 1).
-    ends = [-(-(ordering.total - 1) * k // 3) - 1 for k in (1, 2)]
-    rows = ordering.at([end for end in ends if end >= 0])
     score = F.lit(3)
-    for points, end in ((2, ends[1]), (1, ends[0])):
+    for points, end in zip((2, 1), reversed(_rank_ends(n))):
         if end >= 0:
-            value, customer = F.lit(rows[end][column]), F.lit(rows[end]["customer_id"])
+            cut = row(column, end)
+            value, customer = F.lit(cut["value"]), F.lit(cut["customer_id"])
             upto = (F.col(column) < value) | (
                 (F.col(column) == value) & (F.col("customer_id") <= customer)
             )

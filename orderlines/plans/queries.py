@@ -332,7 +332,8 @@ def a2_overview(spark, sf_dir):
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.daily_orders(metrics.order_rollup(star_lines(spark, sf_dir)))
+    rollup = metrics.order_rollup(star_lines(spark, sf_dir))
+    return metrics.daily_orders(metrics.customer_days(rollup))
 
 
 @query

@@ -12,18 +12,19 @@ CENTS = "decimal(18,2)"
 RATE = "decimal(4,2)"
 
 
-SMALL_TABLE = 1 << 30
+FEW_SPLITS = 8
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table; a small one is spread over the cores.
+    """A table; one that is read in a few splits is spread over the cores.
 
-    A small file is often a single row group, which one task reads alone. Tables beyond
-    ``SMALL_TABLE`` bytes have splits enough and are left as they are.
+    A small file is often a single row group, which one task reads alone. Large tables have more
+    splits than ``FEW_SPLITS`` and are left as they are, so no large table is moved for this.
     """
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return table.repartition(spark.sparkContext.defaultParallelism, key) if size <= SMALL_TABLE else table
+    cores = spark.sparkContext.defaultParallelism
+    few = table.select(key).rdd.getNumPartitions() <= min(FEW_SPLITS, cores - 1)
+    return table.repartition(cores, key) if few else table
 
 
 def star_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame:
