@@ -154,6 +154,15 @@ def overview(lines: DataFrame) -> DataFrame:
 # ---- products, categories, platforms --------------------------------------------------------
 
 
+def _with_total(groups: DataFrame, column: str) -> DataFrame:
+    """Groups with the sum of ``column`` over all of them.
+
+    The few groups are written first, so that the sum does not read the lines again.
+    """
+    written = materialize(groups, "groups")
+    return written.withColumn("_all", written.agg(F.sum(column)).scalar())
+
+
 def _totals(lines: DataFrame) -> Column:
     """Distinct orders and revenue of all lines, as a one-row subquery."""
     return lines.agg(
@@ -221,15 +230,14 @@ def category_breakdown(lines: DataFrame) -> DataFrame:
     per_pair = lines.groupBy("category", "product_name", "order_id").agg(
         total(F.col("actual_amount")).alias("amount")
     )
+    per_category = per_pair.groupBy("category").agg(
+        F.sum("amount").alias("_revenue"),
+        F.count_distinct("order_id").alias("order_count"),
+        F.count_distinct("product_name").alias("product_count"),
+    )
     return (
-        per_pair.where(F.col("category").isNotNull())
-        .groupBy("category")
-        .agg(
-            F.sum("amount").alias("_revenue"),
-            F.count_distinct("order_id").alias("order_count"),
-            F.count_distinct("product_name").alias("product_count"),
-        )
-        .withColumn("_all", lines.agg(F.sum("actual_amount")).scalar())
+        _with_total(per_category, "_revenue")
+        .where(F.col("category").isNotNull())
         .select(
             "category",
             F.col("_revenue").cast("double").alias("total_revenue"),
@@ -245,16 +253,15 @@ def category_features(lines: DataFrame) -> DataFrame:
     """Sales, share to one decimal, orders, mean price and mean discount per category."""
     if "category" not in lines.columns:
         return _no_rows(lines, "category")
+    per_category = lines.groupBy("category").agg(
+        total(F.col("actual_amount")).alias("_sales"),
+        F.count_distinct("order_id").alias("total_orders"),
+        mean(F.col("unit_price")).alias("avg_price"),
+        mean(F.col("discount")).alias("avg_discount"),
+    )
     return (
-        lines.where(F.col("category").isNotNull())
-        .groupBy("category")
-        .agg(
-            total(F.col("actual_amount")).alias("_sales"),
-            F.count_distinct("order_id").alias("total_orders"),
-            mean(F.col("unit_price")).alias("avg_price"),
-            mean(F.col("discount")).alias("avg_discount"),
-        )
-        .withColumn("_all", lines.agg(F.sum("actual_amount")).scalar())
+        _with_total(per_category, "_sales")
+        .where(F.col("category").isNotNull())
         .select(
             "category",
             F.col("_sales").cast("double").alias("total_sales"),
@@ -282,9 +289,8 @@ def platform_comparison(lines: DataFrame) -> DataFrame:
             F.count_distinct("customer_id").alias("unique_customers"),
         )
     )
-    everything = lines.where(F.col("platform").isNotNull()).agg(F.sum("actual_amount")).scalar()
     return (
-        per_platform.withColumn("_all", everything)
+        _with_total(per_platform, "_revenue")
         .select(
             "platform",
             "total_orders",
@@ -398,31 +404,43 @@ def customer_profiles(lines: DataFrame) -> DataFrame:
     Ties for the favourite go to the smaller name; platforms stand in the order of first use.
     """
     known = lines.where(F.col("customer_id").isNotNull())
-    profile = known.groupBy("customer_id").agg(
-        F.count_distinct("order_id").alias("total_orders"),
-        total(F.col("actual_amount")).cast("decimal(28,4)").alias("total_spent"),
-        mean(F.col("actual_amount")).alias("avg_order_value"),
-        F.min("order_time").alias("first_order"),
-        F.max("order_time").alias("last_order"),
+    # A customer has few combinations of category and platform, so this is small against the lines.
+    cells = materialize(
+        known.groupBy("customer_id", "category", "platform").agg(
+            F.count(F.lit(1)).alias("lines"),
+            F.sum("actual_amount").alias("amount"),
+            F.count("actual_amount").alias("amounts"),
+            F.min("order_time").alias("first"),
+            F.max("order_time").alias("last"),
+        ),
+        "customer-cells",
+    )
+    profile = cells.groupBy("customer_id").agg(
+        total(F.col("amount")).cast("decimal(28,4)").alias("total_spent"),
+        F.try_divide(F.sum("amount").cast("double"), F.sum("amounts").cast("double")).alias("avg_order_value"),
+        F.min("first").alias("first_order"),
+        F.max("last").alias("last_order"),
     )
     favourite = (
-        known.where(F.col("category").isNotNull())
+        cells.where(F.col("category").isNotNull())
         .groupBy("customer_id", "category")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("lines").alias("n"))
         .groupBy("customer_id")
         .agg(F.min_by("category", F.struct(-F.col("n"), "category")).alias("favorite_category"))
     )
     # As many entries as there are platforms.
     used = (
-        known.where(F.col("platform").isNotNull())
+        cells.where(F.col("platform").isNotNull())
         .groupBy("customer_id", "platform")
-        .agg(F.min("order_time").alias("first"))
+        .agg(F.min("first").alias("first"))
         .groupBy("customer_id")
         .agg(F.array_sort(F.collect_list(F.struct("first", "platform"))).alias("used"))
         .select("customer_id", F.array_join("used.platform", "|").alias("platforms_used"))
     )
+    orders = known.groupBy("customer_id").agg(F.count_distinct("order_id").alias("total_orders"))
     return (
-        profile.join(favourite, "customer_id", "left")
+        orders.join(profile, "customer_id")
+        .join(favourite, "customer_id", "left")
         .join(used, "customer_id", "left")
         .withColumn("favorite_category", F.coalesce("favorite_category", F.lit("N/A")))
     )
