@@ -22,7 +22,7 @@ from orderlines.functions.expressions import (
 )
 from orderlines.functions.order_statistics import Ordering
 from orderlines.functions.storage import materialize
-from orderlines.schema import REFUNDED, WEEKDAY_NAMES
+from orderlines.schema import LINE_NO, REFUNDED, WEEKDAY_NAMES
 
 
 def order_rollup(lines: DataFrame) -> DataFrame:
@@ -163,42 +163,54 @@ def _with_total(groups: DataFrame, column: str) -> DataFrame:
     return written.withColumn("_all", written.agg(F.sum(column)).scalar())
 
 
-def _totals(lines: DataFrame) -> Column:
-    """Distinct orders and revenue of all lines, as a one-row subquery."""
-    return lines.agg(
-        F.struct(
-            F.count_distinct("order_id").alias("orders"),
-            F.sum("actual_amount").alias("revenue"),
-        )
-    ).scalar()
-
-
 def product_ranking(lines: DataFrame) -> DataFrame:
-    """Units, revenue, orders, price and refunds per product; most sold first."""
+    """Units, revenue, orders, price and refunds per product; most sold first.
+
+    Sums are merged per product and category, which leaves little to shuffle. Only the distinct
+    orders need the pairs of product and order.
+    """
+    position = F.min(LINE_NO) if LINE_NO in lines.columns else F.lit(0)
+    sums = materialize(
+        lines.groupBy("product_name", "category").agg(
+            position.alias("position"),
+            total(F.col("quantity")).alias("quantity"),
+            total(F.col("actual_amount")).alias("amount"),
+            F.sum("unit_price").alias("prices"),
+            F.count("unit_price").alias("n_prices"),
+            refunded_lines().alias("refunded"),
+        ),
+        "product-sums",
+    )
+    category = F.when(F.col("category").isNotNull(), F.struct("position", "category"))
     per_product = (
-        lines.where(F.col("product_name").isNotNull())
+        sums.where(F.col("product_name").isNotNull())
         .groupBy("product_name")
         .agg(
-            first_value(lines, "category").alias("category"),
-            total(F.col("quantity")).cast("double").alias("total_sold"),
-            total(F.col("actual_amount")).alias("_revenue"),
-            F.count_distinct("order_id").alias("order_count"),
-            mean(F.col("unit_price")).alias("avg_price"),
-            refunded_lines().alias("refund_count"),
+            F.min_by("category", category).alias("category"),
+            F.sum("quantity").cast("double").alias("total_sold"),
+            F.sum("amount").alias("_revenue"),
+            F.try_divide(F.sum("prices").cast("double"), F.sum("n_prices").cast("double")).alias("avg_price"),
+            F.sum("refunded").alias("refund_count"),
+        )
+    )
+    orders = lines.groupBy("product_name").agg(F.count_distinct("order_id").alias("order_count"))
+    everything = sums.agg(F.sum("amount")).scalar()
+    all_orders = lines.agg(F.count_distinct("order_id")).scalar()
+    return (
+        per_product.join(orders, "product_name")
+        .select(
+            "product_name",
+            "category",
+            "total_sold",
+            F.col("_revenue").cast("double").alias("total_revenue"),
+            "order_count",
+            "avg_price",
+            "refund_count",
+            percent(F.col("order_count"), all_orders).alias("order_penetration"),
+            percent(F.col("_revenue"), everything).alias("revenue_share"),
         )
-        .withColumn("_all", _totals(lines))
+        .orderBy(F.desc("total_sold"), "product_name")
     )
-    return per_product.select(
-        "product_name",
-        "category",
-        "total_sold",
-        F.col("_revenue").cast("double").alias("total_revenue"),
-        "order_count",
-        "avg_price",
-        "refund_count",
-        percent(F.col("order_count"), F.col("_all.orders")).alias("order_penetration"),
-        percent(F.col("_revenue"), F.col("_all.revenue")).alias("revenue_share"),
-    ).orderBy(F.desc("total_sold"), "product_name")
 
 
 def best_sellers(ranking: DataFrame, n: int = 5) -> DataFrame:
