@@ -334,7 +334,7 @@ def _text_profile(position: int, column: str, value: str) -> str:
       count(v) AS unique, first(v ORDER BY n DESC, v) AS top, max(n) AS freq,
       CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min,
       CAST(NULL AS DOUBLE) AS q25, CAST(NULL AS DOUBLE) AS q50, CAST(NULL AS DOUBLE) AS q75,
-      CAST(NULL AS DOUBLE) AS max, 0 AS missing, CAST(0 AS DOUBLE) AS missing_pct, count(v) AS nunique FROM {counts}"""
+      CAST(NULL AS DOUBLE) AS max, CAST(0 AS BIGINT) AS missing, CAST(0 AS DOUBLE) AS missing_pct, count(v) AS nunique FROM {counts}"""
 
 
 def _number_profile(position: int, column: str) -> str:
@@ -345,7 +345,7 @@ def _number_profile(position: int, column: str) -> str:
     return f"""SELECT {position} AS position, '{column}' AS column, count({column}) AS count,
       CAST(NULL AS BIGINT) AS unique, CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq,
       round({mean(column)}, 4) AS mean, round(stddev_samp({value}), 4) AS std, CAST(min({column}) AS DOUBLE) AS min,
-      {quartiles}, CAST(max({column}) AS DOUBLE) AS max, 0 AS missing, CAST(0 AS DOUBLE) AS missing_pct,
+      {quartiles}, CAST(max({column}) AS DOUBLE) AS max, CAST(0 AS BIGINT) AS missing, CAST(0 AS DOUBLE) AS missing_pct,
       count(DISTINCT {column}) AS nunique FROM lines"""
 
 
