@@ -1,34 +1,57 @@
-"""Intermediate tables kept in the cluster's shared checkpoint folder."""
+"""Intermediate tables: written to the cluster's shared folder, or kept by Spark."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
+_KEPT: WeakKeyDictionary[SparkSession, list[DataFrame]] = WeakKeyDictionary()
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, a new local one."""
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it, or None."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="orderlines-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return folder.rstrip("/") if folder else None
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call returns."""
-    return f"{shared_folder(spark)}/orderlines-{name}-{uuid.uuid4().hex}"
+    """A path that no other call returns: in the shared folder, else in the warehouse."""
+    folder = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    path = f"{folder}/orderlines-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` once and return a scan of what was written.
+    """Do the work of ``df`` once, for frames that several later jobs read.
 
-    For frames that several later jobs read: the work is not repeated, the lineage is cut, and a
-    lost executor costs nothing but its running tasks. Parquet keeps column pruning and filter
-    pushdown, and its file sizes let Spark choose join strategies.
+    With a shared folder it is written there as Parquet and a scan is returned: the lineage is cut,
+    a lost executor costs nothing but its running tasks, column pruning and filter pushdown stay,
+    and the file sizes let Spark choose join strategies. Without one the frame is persisted on
+    memory and disk, and what an executor loses is computed again. ``release`` removes either.
     """
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    if shared_folder(spark) is None:
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _KEPT.setdefault(spark, []).append(kept)
+        return kept
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``materialize`` and ``new_path`` have left so far in this session.
+
+    Call it when the results that were built on them have been used.
+    """
+    for kept in _KEPT.pop(spark, []):
+        kept.unpersist()
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN.pop(spark, []):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(configuration).delete(target, True)
