@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orderlines.functions.storage import materialize
 from orderlines.llm.quality_rules import quality_rules
 from orderlines.llm.secret_scan import scan_secrets
+from orderlines.llm.simhash import near_duplicates
+from orderlines.llm.source_mix import mix_sources, words_in
 from orderlines.llm.texts import read
 from orderlines.llm.token_counts import prefix_token_counts
 
@@ -31,6 +35,22 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules(read(spark, sf_dir, "documents")).drop("repeat_spans")
 
 
+@query
+def op5_simhash(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_source_mix(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    sized = materialize(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes")
+    mixed = mix_sources(sized)
+    return mixed.select(
+        "doc_id", "source", "size", "source_size", "target", "copies", "shards",
+        (F.col("size") * F.col("copies")).alias("taken"),
+    )
+
+
 @query
 def op9_secret_scan(spark, sf_dir):
     return scan_secrets(read(spark, sf_dir, "documents"))
