@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlines.functions.storage import materialize
+from orderlines.llm.length_packing import pack
+from orderlines.llm.line_dedup import dedup_lines
+from orderlines.llm.quality_classifier import HELD_OUT, learn, score_quality, text_features
 from orderlines.llm.quality_rules import quality_rules
 from orderlines.llm.secret_scan import scan_secrets
 from orderlines.llm.simhash import near_duplicates
 from orderlines.llm.source_mix import mix_sources, words_in
-from orderlines.llm.texts import read
+from orderlines.llm.texts import held_out_remainder, read
 from orderlines.llm.token_counts import prefix_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,16 +33,42 @@ def op1_token_counts(spark, sf_dir):
     return prefix_token_counts(read(spark, sf_dir, "documents"), store=False)
 
 
+@query
+def op2_line_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_deleted", "n_words_deleted",
+        words_in(F.col("text")).alias("n_words_left"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 @query
 def op3_quality_rules(spark, sf_dir):
     return quality_rules(read(spark, sf_dir, "documents")).drop("repeat_spans")
 
 
+@query
+def op4_quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    rows = materialize(text_features(docs), "features")
+    model = learn(rows, read(spark, sf_dir, "labels"))
+    scored = score_quality(rows, model)
+    return scored.withColumn("held_out", held_out_remainder() == HELD_OUT)
+
+
 @query
 def op5_simhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_length_packing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    sized = materialize(docs.select("doc_id", words_in(F.col("text")).alias("n_words")), "lengths")
+    return pack(sized, "n_words").drop("n_words")
+
+
 @query
 def op8_source_mix(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
