@@ -17,6 +17,7 @@ from orderlines.llm.simhash import near_duplicates
 from orderlines.llm.source_mix import mix_sources, words_in
 from orderlines.llm.texts import held_out_remainder, read
 from orderlines.llm.token_counts import prefix_token_counts
+from orderlines.llm.topk_search import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +70,29 @@ def op6_length_packing(spark, sf_dir):
     return pack(sized, "n_words").drop("n_words")
 
 
+@query
+def op7_topk_search(spark, sf_dir):
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op7_topk_search"] = """
+WITH usable AS (
+  SELECT row_number() OVER () AS row_no, vec_id,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS weights
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.weights, c.weights) AS BIGINT) AS score, q.row_no
+  FROM usable q JOIN usable c ON q.row_no <> c.row_no
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @query
 def op8_source_mix(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
