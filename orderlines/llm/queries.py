@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orderlines.functions.storage import materialize
 from orderlines.llm.length_packing import pack
 from orderlines.llm.line_dedup import dedup_lines
+from orderlines.llm.lm_scoring import score_texts
 from orderlines.llm.quality_classifier import HELD_OUT, learn, score_quality, text_features
 from orderlines.llm.quality_rules import quality_rules
 from orderlines.llm.secret_scan import scan_secrets
@@ -109,6 +110,11 @@ def op9_secret_scan(spark, sf_dir):
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+@query
+def op10_lm_scoring(spark, sf_dir):
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
