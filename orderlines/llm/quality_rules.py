@@ -146,3 +146,9 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     each; an empty table gives none. A kept column with the name of a result gives way to it.
     """
     return map_texts(docs, _examine, RESULTS, text, keep)
+
+
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text is kept, with their columns."""
+    judged = map_texts(docs, lambda texts: [_examine(texts)[6]], "_kept boolean", text, tuple(docs.columns))
+    return judged.where("_kept").select(*docs.columns)
