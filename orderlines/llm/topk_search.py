@@ -62,6 +62,12 @@ def bounds(queries: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarr
     return upper + np.where(size < EXACT, 0.0, size * 1e-12)
 
 
+def threshold(score: int) -> float:
+    """A double that is not above the score."""
+    value = float(score)
+    return value if abs(value) < EXACT else value - abs(value) * 1e-15
+
+
 def index_blocks(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The block forward indexes of all usable vectors, in ranges of the key.
 
@@ -190,7 +196,7 @@ def search_shard(query: dict, shard: list[dict], kth: np.ndarray, top: int) -> l
                 matrices[b] = _weights(shard[b]["weights"], shard[b]["narrow"], dim, len(block_ids[b]))
             active = np.flatnonzero(going & (chosen == b))
             scores = inner_products(queries[active], matrices[b])
-            reached = scores >= np.where(np.isinf(kth[active]), -LONG - 1, kth[active])[:, None]
+            reached = scores >= kth[active][:, None]
             reached[of[active] == shard[b]["block"], places[active[of[active] == shard[b]["block"]]]] = False
             for row, q in enumerate(active.tolist()):
                 at = np.flatnonzero(reached[row])
@@ -198,10 +204,10 @@ def search_shard(query: dict, shard: list[dict], kth: np.ndarray, top: int) -> l
                     cut = np.partition(scores[row, at], len(at) - top)[len(at) - top]
                     at = at[scores[row, at] >= cut]
                 if len(at):
-                    found = best[q] + list(zip((-scores[row, at]).tolist(), block_ids[b][at].tolist()))
+                    found = best[q] + [(-s, i) for s, i in zip(scores[row, at].tolist(), block_ids[b][at].tolist())]
                     best[q] = sorted(found)[:top]
                     if len(best[q]) == top:
-                        kth[q] = max(kth[q], float(-best[q][-1][0]))
+                        kth[q] = max(kth[q], threshold(-best[q][-1][0]))
     return [(q, vec_id, -negative) for q, found in enumerate(best) for negative, vec_id in found]
 
 
@@ -270,7 +276,7 @@ def top_k(
             for query in query_rows.to_pylist():
                 kth = np.full(len(query["ids"]) // 8, -np.inf)
                 for item in query["kth"] or []:
-                    kth[item["place"]] = item["kth"]
+                    kth[item["place"]] = threshold(item["kth"])
                 ids = np.frombuffer(query["ids"], np.int64)
                 for q, vec_id, score in search_shard(query, block_rows.to_pylist(), kth, top):
                     found.append((query["of_group"], q, int(ids[q]), vec_id, score))
