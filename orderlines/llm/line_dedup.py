@@ -91,10 +91,10 @@ def shared_lines(docs: DataFrame, text: str, key: str, rare: int = RARE) -> Data
         .groupBy("line", "id", "text_hash")
         .agg(F.array_sort(F.array_distinct(F.collect_list("at"))).alias("places"))
     )
+    lines = materialize(exploded, "lines")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "places")
-    holders = exploded.groupBy("line").agg(F.count(F.lit(1)).alias("holders"), F.min(order).alias("first"))
+    holders = lines.groupBy("line").agg(F.count(F.lit(1)).alias("holders"), F.min(order).alias("first"))
     held = materialize(holders.where("holders > 1"), "shared-lines")
-    lines = materialize(exploded, "lines")
     common = held.where(F.col("holders") > rare).select("line", "first")
     with_first = lines.join(common, "line").select(
         "line", order.alias("later"), F.col("first").alias("earlier")
