@@ -117,7 +117,7 @@ def association_rules(
             "consequent",
             (freq / orders).alias("support"),
             confidence.alias("confidence"),
-            (freq * orders / (F.col("left_freq") * F.col("right_freq")).cast("double")).alias("lift"),
+            (freq * orders / (F.col("left_freq").cast("double") * F.col("right_freq").cast("double"))).alias("lift"),
         )
         .where(F.col("lift") >= min_lift)
     )
@@ -177,6 +177,7 @@ def mine_rules(
 
 def recommendation() -> Column:
     """Advice by rounded lift: 3, 2 and 1.5 are the steps."""
+    # The texts of the advice.
     lift = F.col("lift")
     level = (
         F.when(lift >= 3, "强烈建议").when(lift >= 2, "建议").when(lift >= 1.5, "可考虑").otherwise("弱关联")
@@ -194,5 +195,6 @@ def recommendation() -> Column:
 
 def strength() -> Column:
     """Grade of a rule in the diagnosis, by rounded lift."""
+    # The texts of the grades.
     lift = F.col("lift")
     return F.when(lift >= 3, "★★★ 强关联").when(lift >= 2, "★★☆ 中等关联").otherwise("★☆☆ 弱关联")

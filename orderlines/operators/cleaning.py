@@ -20,6 +20,7 @@ from orderlines.schema import (
     NUMERIC_COLUMNS,
     OTHER_CATEGORY,
     REQUIRED_COLUMNS,
+    SOURCE_FILE,
     UNKNOWN_PLATFORM,
 )
 
@@ -88,11 +89,13 @@ def coerce(lines: DataFrame) -> DataFrame:
 def deduplicate(coerced: DataFrame) -> DataFrame:
     """One row per distinct line, with how often it occurred and the sums of its flags.
 
-    Equal rows are merged before the shuffle. The position of the first copy is kept.
+    Equal rows are merged before the shuffle. Where a row was found (position and file) is no part
+    of it, so overlapping exports count once; the first of each is kept.
     """
     flags = [name for name in coerced.columns if name == BAD_TIME or name.startswith(NEGATIVE)]
-    data = [name for name in coerced.columns if name not in flags and name != LINE_NO]
-    kept = [F.min(LINE_NO).alias(LINE_NO)] if LINE_NO in coerced.columns else []
+    place = [name for name in (LINE_NO, SOURCE_FILE) if name in coerced.columns]
+    data = [name for name in coerced.columns if name not in flags and name not in place]
+    kept = [F.min(name).alias(name) for name in place]
     return coerced.groupBy(*[_quoted(name) for name in data]).agg(
         F.count(F.lit(1)).alias(COPIES), *[F.sum(name).alias(name) for name in flags], *kept
     )

@@ -30,6 +30,8 @@ ORDER_LINE = T.StructType(
 
 # Position of a line within its source, used wherever "the first value" is asked for.
 LINE_NO = "line_no"
+# File that a line was read from.
+SOURCE_FILE = "source_file"
 
 CALENDAR_COLUMNS = ("date", "hour", "weekday", "is_weekend")
 NUMERIC_COLUMNS = (

@@ -7,9 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlines.schema import LINE_NO, ORDER_LINE
-
-SOURCE_FILE = "source_file"
+from orderlines.schema import LINE_NO, ORDER_LINE, SOURCE_FILE
 
 
 def read_orders(
@@ -58,47 +56,49 @@ def read_typed_orders(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def _united(frames: list[DataFrame]) -> DataFrame:
     from orderlines.operators.cleaning import normalize_columns
 
-    named = [
-        normalize_columns(frame).select(
-            "*",
-            F.monotonically_increasing_id().alias(LINE_NO),
-            F.col("_metadata.file_path").alias(SOURCE_FILE),
-        )
-        for frame in frames
-    ]
+    def placed(frame: DataFrame) -> DataFrame:
+        """Position and file, unless the lines have theirs from an earlier read."""
+        found = {LINE_NO: F.monotonically_increasing_id(), SOURCE_FILE: F.col("_metadata.file_path")}
+        lines = normalize_columns(frame)
+        return lines.select("*", *[column.alias(name) for name, column in found.items() if name not in lines.columns])
+
+    named = [placed(frame) for frame in frames]
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), named)
 
 
 def _csv_groups(
     spark: SparkSession, paths: list[str], encoding: str | None
 ) -> list[tuple[str, list[str]]]:
-    """Files that can be read together: same charset and same header line."""
+    """Files that can be read together: same charset and same header line.
+
+    The groups are made on the cluster; a group keeps the list of its files, which names the files
+    for the reader. Reading a charset that Spark does not list needs
+    ``spark.sql.legacy.javaCharsets``, which is set for the session then.
+    """
     files = _inspect(spark, paths, check_charset=encoding is None)
-    groups: dict[tuple[str, str], list[str]] = {}
-    for row in files:
-        if encoding is not None:
-            charset = encoding
-        elif row["utf8"]:
-            charset = "UTF-8"
-        elif row["gbk"]:
-            charset = "GBK"
-        else:
-            raise ValueError(f"cannot decode {row['file']}: neither UTF-8 nor GBK")
-        groups.setdefault((charset, row["header"]), []).append(row["file"])
-    if any(charset.upper() not in _BUILT_IN_CHARSETS for charset, _ in groups):
-        # Spark refuses other charsets unless the session allows them.
+    charset = F.lit(encoding) if encoding else F.when(F.col("utf8"), "UTF-8").when(F.col("gbk"), "GBK")
+    groups = (
+        files.groupBy(charset.alias("charset"), "header")
+        .agg(F.array_sort(F.collect_list("file")).alias("files"))
+        .orderBy("charset", "header")
+        .collect()
+    )
+    unknown = [name for row in groups if row["charset"] is None for name in row["files"]]
+    if unknown:
+        raise ValueError(f"cannot decode {', '.join(unknown)}: neither UTF-8 nor GBK")
+    if any(row["charset"].upper() not in _BUILT_IN_CHARSETS for row in groups):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return [(charset, sorted(names)) for (charset, _), names in sorted(groups.items())]
+    return [(row["charset"], row["files"]) for row in groups]
 
 
 _BUILT_IN_CHARSETS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"}
 
 
-def _inspect(spark: SparkSession, paths: list[str], check_charset: bool) -> list:
+def _inspect(spark: SparkSession, paths: list[str], check_charset: bool) -> DataFrame:
     """Per file: header bytes, and whether every line is strict UTF-8 or strict GBK.
 
     The text source hands on the bytes of a line undecoded, so the check runs on the splits of
-    each file in parallel and brings back one row per file.
+    each file in parallel and gives one row per file.
     """
     lines = spark.read.text(paths).select(
         "value",
@@ -118,4 +118,4 @@ def _inspect(spark: SparkSession, paths: list[str], check_charset: bool) -> list
             F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
             F.bool_and(rest == "").alias("gbk"),
         ]
-    return lines.groupBy("file").agg(header.alias("header"), *checks).collect()
+    return lines.groupBy("file").agg(header.alias("header"), *checks)
