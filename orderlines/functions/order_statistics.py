@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
-from functools import reduce
 from itertools import accumulate
 from math import floor
 
@@ -20,6 +19,14 @@ from pyspark.sql import functions as F
 from orderlines.functions.storage import materialize
 
 
+def _any(conditions: list[Column]) -> Column:
+    """Their disjunction, as a tree of little depth."""
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:])
+
+
 class Ordering:
     """The total order of the rows of ``df`` by ``keys``.
 
@@ -76,12 +83,11 @@ class Ordering:
             .withColumn("_end", end)
             .withColumn("_start", F.col("_end") - F.col("_copies"))
         )
-        hit = reduce(
-            lambda left, right: left | right,
-            (
+        hit = _any(
+            [
                 (F.col("_part") == part) & (F.col("_start") <= local) & (F.col("_end") > local)
                 for part, local in wanted.values()
-            ),
+            ]
         )
         found = ranked.where(hit).collect()
         return {
@@ -94,7 +100,46 @@ class Ordering:
         }
 
 
-ACCURACY = 10_000
+# Size parameter of the sketches, and the share of all rows by which a bracket reaches beyond what
+# they say of its quantile: some four times their usual error.
+SKETCH_K = 4_000
+MARGIN = 0.001
+# Groups in which the sketches of the tasks are merged, before those are merged in turn.
+MERGES = 64
+
+
+def _bracket_ends(
+    values: DataFrame, probabilities: dict[str, list[float]]
+) -> tuple[dict[str, int], dict[str, list[float]]]:
+    """Rows of each column, and per probability the ends of its bracket.
+
+    Sketches are merged in two levels, so that no task takes those of all tasks of a large scan.
+    """
+    names = list(probabilities)
+    groups = values.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("_group")).agg(
+        *[F.count(name).alias(f"n_{i}") for i, name in enumerate(names)],
+        *[F.kll_sketch_agg_double(name, F.lit(SKETCH_K)).alias(f"s_{i}") for i, name in enumerate(names)],
+    )
+    merged = groups.agg(
+        *[F.coalesce(F.sum(f"n_{i}"), F.lit(0)).alias(f"n_{i}") for i in range(len(names))],
+        *[
+            # A column without values in a group has a sketch of none; it must not be merged.
+            F.expr(f"kll_merge_agg_double(s_{i}, {SKETCH_K}) FILTER (WHERE n_{i} > 0)").alias(f"s_{i}")
+            for i in range(len(names))
+        ],
+    )
+    wanted = {
+        i: [min(max(p + m, 0.0), 1.0) for p in probabilities[name] for m in (-MARGIN, MARGIN)]
+        for i, name in enumerate(names)
+    }
+    row = merged.select(
+        *[f"n_{i}" for i in wanted],
+        *[
+            F.when(F.col(f"n_{i}") > 0, F.kll_sketch_get_quantile_double(f"s_{i}", F.array(*map(F.lit, ranks)))).alias(f"q_{i}")
+            for i, ranks in wanted.items()
+        ],
+    ).first()
+    return {name: row[f"n_{i}"] for i, name in enumerate(names)}, {name: row[f"q_{i}"] for i, name in enumerate(names)}
 
 
 def column_quantiles(
@@ -102,30 +147,21 @@ def column_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of several numeric columns.
 
-    A sketch first gives a bracket around each quantile. Counting what lies below it and ordering
-    only what lies inside, about one row in 2,500, then gives the exact values, so no column is
+    Sketches first give a bracket around each quantile. Counting what lies below it and ordering
+    only what lies inside, about one row in 500, then gives the exact values, so no column is
     shuffled whole. The counts prove that a bracket holds its quantile; were one to miss, the
     whole column would be ordered. ``df`` is read three times, its columns alone.
     """
     values = df.select(*[F.col(name).cast("double").alias(name) for name in probabilities])
     values = values.select(*[F.nanvl(F.col(name), F.lit(None)).alias(name) for name in probabilities])
-    margin = 2 / ACCURACY
-    sketched = values.agg(
-        *[F.count(name).alias(f"n_{name}") for name in probabilities],
-        *[
-            F.percentile_approx(
-                name, [min(max(p + m, 0.0), 1.0) for p in wanted for m in (-margin, margin)], ACCURACY
-            ).alias(f"q_{name}")
-            for name, wanted in probabilities.items()
-        ],
-    ).first()
+    sizes, ends = _bracket_ends(values, probabilities)
 
     brackets = []
     for name, wanted in probabilities.items():
-        size = sketched[f"n_{name}"]
+        size = sizes[name]
         for i, p in enumerate(wanted if size else []):
             place = (size - 1) * p
-            low, high = sketched[f"q_{name}"][2 * i : 2 * i + 2]
+            low, high = ends[name][2 * i : 2 * i + 2]
             brackets.append(_Bracket(name, p, size, floor(place), place - floor(place), low, high))
     if not brackets:
         return {name: [None] * len(wanted) for name, wanted in probabilities.items()}
@@ -140,7 +176,7 @@ def column_quantiles(
             b.low, b.high, b.start = float("-inf"), float("inf"), 0
 
     inside = (
-        values.where(reduce(lambda x, y: x | y, [b.inside() for b in brackets]))
+        values.where(_any([b.inside() for b in brackets]))
         .select(
             F.inline(
                 F.array(

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlines.functions.expressions import first_value, mean, total
+from orderlines.functions.expressions import first_value, total, with_calendar
 from orderlines.functions.order_statistics import column_quantiles
 from orderlines.functions.storage import materialize
 from orderlines.operators.quality import OrderScreen
@@ -17,8 +18,6 @@ from orderlines.operators.quality import OrderScreen
 FEATURES = ["total_amount", "item_count", "total_quantity", "avg_unit_price", "discount_total"]
 TREES = 100
 SAMPLE = 256
-DEPTH = 8  # log2 of the sample
-POOL = 4 * TREES * SAMPLE
 SEED = 42
 
 
@@ -28,6 +27,7 @@ def order_features(lines: DataFrame) -> DataFrame:
     Items are merged per order and product first, which spreads a very large order over tasks and
     makes the distinct count a plain count.
     """
+    lines = with_calendar(lines)
     per_item = (
         lines.where(F.col("order_id").isNotNull())
         .groupBy("order_id", "product_name")
@@ -56,12 +56,18 @@ def order_features(lines: DataFrame) -> DataFrame:
     )
 
 
-def isolation_forest(lines: DataFrame, contamination: float = 0.05) -> DataFrame:
-    """Score every order (lower is stranger) and label the lowest share of them -1, others 1."""
+def isolation_forest(
+    lines: DataFrame, contamination: float = 0.05, trees: int = TREES, sample: int = SAMPLE
+) -> DataFrame:
+    """Score every order (lower is stranger) and label the lowest share of them -1, others 1.
+
+    Each of ``trees`` trees is grown on ``sample`` orders of its own, to a depth of log2 of that.
+    """
     orders = materialize(order_features(lines), "order-features")
-    trees = _grow(orders)
+    depth = max(1, ceil(log2(sample)))
+    nodes = _grow(orders, trees, sample, depth)
     scored = materialize(
-        orders.withColumn("anomaly_score", _scorer(trees)(*[F.col(c).cast("double") for c in FEATURES])),
+        orders.withColumn("anomaly_score", _scorer(nodes, depth)(*[F.col(c).cast("double") for c in FEATURES])),
         "scores",
     )
     (cut,) = column_quantiles(scored, {"anomaly_score": [contamination]})["anomaly_score"]
@@ -76,32 +82,35 @@ def _uniform(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) / float(1 << 52)
 
 
-def _grow(orders: DataFrame) -> pd.DataFrame:
-    """Nodes of all trees: at most TREES * 2 * SAMPLE rows, whatever the number of orders.
+def _grow(orders: DataFrame, trees: int, sample: int, depth: int) -> pd.DataFrame:
+    """Nodes of all trees: at most trees * 2 * sample rows, whatever the number of orders.
 
-    Orders enter the pool by hash, and a tree's sample by a second hash. About twice the sample
-    passes per tree, of which the tree keeps the smallest hashes, so samples are exact in size,
-    independent of partitioning and drawn without a sort of the table.
+    Each tree draws by a hash of tree and order. About twice the sample passes per tree, of which
+    the tree keeps the smallest hashes, so samples are exact in size and independent of the
+    partitioning. An order is repeated only for the trees that drew it.
     """
-    n = orders.count()
-    pool_share = min(1.0, POOL / n) if n else 1.0
-    pool = orders.where(_uniform(F.lit(SEED), F.col("order_id")) < pool_share) if pool_share < 1 else orders
-    tree_share = min(1.0, 2 * SAMPLE / min(n, POOL)) if n else 1.0
+    share = min(1.0, 2 * sample / max(1, orders.count()))
+
+    def draw(tree: Column) -> Column:
+        return _uniform(F.lit(SEED), tree, F.col("order_id"))
+
+    drawn_by = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < share)
     members = (
-        pool.select("order_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        .withColumn("draw", _uniform(F.lit(SEED + 1), F.col("tree"), F.col("order_id")))
-        .where(F.col("draw") < tree_share)
+        orders.select("order_id", *[F.col(c).cast("double").alias(c) for c in FEATURES], drawn_by.alias("trees"))
+        .where(F.size("trees") > 0)
+        .withColumn("tree", F.explode("trees"))
+        .drop("trees")
+        .withColumn("draw", draw(F.col("tree")))
     )
-    return members.groupBy("tree").applyInPandas(_tree_builder(), NODES).toPandas()
+    return members.groupBy("tree").applyInPandas(_tree_builder(sample, depth), NODES).toPandas()
 
 
 NODES = "tree int, node int, feature int, split double, size int, sample int"
 
 
-def _tree_builder() -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Builds one tree from the drawn orders of its group, about 2 * SAMPLE rows."""
-    features, sample, limit, seed = FEATURES, SAMPLE, DEPTH, SEED
+def _tree_builder(sample: int, limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Builds one tree from the drawn orders of its group, about twice the sample."""
+    features, seed = FEATURES, SEED
 
     def build(drawn: pd.DataFrame) -> pd.DataFrame:
         tree = int(drawn["tree"].iloc[0])
@@ -135,9 +144,9 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def _scorer(nodes: pd.DataFrame):
+def _scorer(nodes: pd.DataFrame, depth: int):
     """Pandas UDF that walks a batch of orders down all trees at once, level by level."""
-    slots, depth = 2 << DEPTH, DEPTH
+    slots = 2 << depth
     trees = sorted(nodes["tree"].unique()) if len(nodes) else []
     place = {tree: i for i, tree in enumerate(trees)}
     feature = np.full((len(trees), slots), -1, dtype=np.int64)

@@ -52,13 +52,19 @@ def screen_orders(lines: DataFrame, approx: bool = False) -> OrderScreen:
 
 
 def flag_outlier_orders(lines: DataFrame, screen: OrderScreen) -> DataFrame:
-    """``is_anomaly`` on every line of an outlying order."""
+    """``is_anomaly`` on every line of an outlying order.
+
+    Lines without an order id are kept out of the join, where they would meet on one key.
+    """
     flagged = screen.outliers().select("order_id", F.lit(True).alias("_outlier"))
-    return (
-        lines.join(flagged, "order_id", "left")
+    known = (
+        lines.where(F.col("order_id").isNotNull())
+        .join(flagged, "order_id", "left")
         .withColumn("is_anomaly", F.coalesce("_outlier", F.lit(False)))
         .drop("_outlier")
     )
+    others = lines.where(F.col("order_id").isNull()).withColumn("is_anomaly", F.lit(False))
+    return known.unionByName(others)
 
 
 def quantity_outliers(lines: DataFrame) -> DataFrame:
@@ -164,57 +170,86 @@ def _finding(check: str, column: str, value: Column) -> Column:
     )
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: counts, most frequent value, moments and quartiles.
 
-    All columns are counted in one pass as ``(column, text, value, n)``; all but the quartiles is
-    taken from that table. ``df`` is read several times, so pass one that comes from a table. Numbers have moments, other types a most frequent value (the smallest on ties).
-    Times are profiled as text.
+    Numbers have moments, from one plain aggregate; NaN counts as missing. Other types have a most
+    frequent value (the smallest on ties), from their values counted as ``(column, text, value,
+    n)``; numbers are in that table for their distinct values only. ``approx`` takes those, and the
+    quartiles, from sketches, so that no numeric column is counted value by value. Times are
+    profiled as text. ``df`` is read several times, so pass one that comes from a table.
     """
     fields = [field for field in df.schema if field.name != LINE_NO]
     numeric = [field.name for field in fields if isinstance(field.dataType, T.NumericType)]
+    numbers = {field.name: _number(field) for field in fields if field.name in numeric}
+    measures = {
+        "count": F.count,
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": F.min,
+        "max": F.max,
+        **({"nunique": F.approx_count_distinct} if approx else {}),
+    }
+    whole = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[measure(number).alias(f"{i}_{name}") for i, number in enumerate(numbers.values()) for name, measure in measures.items()],
+    ).first()
+    counted = [field for field in fields if not (approx and field.name in numeric)]
+    cells = F.array(*[_cell(field) for field in counted])
+    empty = "array<struct<column:string,text:string,value:double>>"
     counts = materialize(
-        df.select(F.inline(F.array(*[_cell(field) for field in fields])))
+        df.select(F.inline(cells if counted else F.array().cast(empty)))
         .groupBy("column", "text", "value")
         .agg(F.count(F.lit(1)).alias("n")),
         "value-counts",
     )
-    n, value, text = F.col("n"), F.col("value"), F.col("text")
-    present = text.isNotNull() | value.isNotNull()
-    filled = F.sum(F.when(present, n))
+    n, text = F.col("n"), F.col("text")
+    present = text.isNotNull() | F.col("value").isNotNull()
     by_column = counts.groupBy("column").agg(
-        F.sum(n).alias("rows"),
-        F.coalesce(filled, F.lit(0)).alias("count"),
-        F.count_if(present).alias("nunique"),
+        F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("filled"),
+        F.count_if(present).alias("distinct"),
         F.max(F.when(text.isNotNull(), n)).alias("freq"),
-        F.try_divide(F.sum(n * value), filled.cast("double")).alias("mean"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
     )
-    spread = (
-        counts.where(present)
+    top = (
+        counts.where(text.isNotNull())
         # One row per column of the table, so always small.
-        .join(F.broadcast(by_column.select("column", "freq", "mean")), "column")
+        .join(F.broadcast(by_column.select("column", "freq")), "column")
+        .where(n == F.col("freq"))
         .groupBy("column")
-        .agg(
-            F.min(F.when(n == F.col("freq"), text)).alias("top"),
-            F.sum(n * F.pow(value - F.col("mean"), 2)).alias("squares"),
-        )
+        .agg(F.min(text).alias("top"))
     )
-    quartiles = column_quantiles(df, {name: [0.25, 0.5, 0.75] for name in numeric}) if numeric else {}
+    if approx:
+        found = df.agg(
+            *[F.percentile_approx(number, [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, number in enumerate(numbers.values())]
+        ).first() if numeric else []
+        quartiles = {name: found[i] or [None] * 3 for i, name in enumerate(numeric)}
+    else:
+        quartiles = column_quantiles(df, {name: [0.25, 0.5, 0.75] for name in numeric}) if numeric else {}
+
+    def measured(name: str, measure: str):
+        return whole[f"{numeric.index(name)}_{measure}"] if name in numeric and measure in measures else None
+
     facts = df.sparkSession.createDataFrame(
         [
-            (i, field.name, field.dataType.simpleString(), field.name in numeric, *quartiles.get(field.name, [None] * 3))
+            (
+                i, field.name, field.dataType.simpleString(), field.name in numeric, whole["rows"],
+                *[measured(field.name, m) for m in ("count", "nunique", "mean", "std", "min", "max")],
+                *quartiles.get(field.name, [None] * 3),
+            )
             for i, field in enumerate(fields)
         ],
-        "position int, column string, dtype string, is_number boolean, q25 double, q50 double, q75 double",
+        "position int, column string, dtype string, is_number boolean, rows long, n long, about long,"
+        "mean double, std double, min double, max double, q25 double, q50 double, q75 double",
+    )
+    count = F.coalesce("n", "filled", F.lit(0))
+    by_column = (
+        facts.join(by_column, "column", "left")
+        .withColumns({"count": count, "nunique": F.coalesce("about", "distinct", F.lit(0))})
     )
     missing = F.col("rows") - F.col("count")
     words = ~F.col("is_number")
     return (
-        F.broadcast(facts)
-        .join(by_column, "column")
-        .join(spread, "column", "left")
+        by_column.join(top, "column", "left")
         .select(
             "position",
             "column",
@@ -223,7 +258,7 @@ def profile(df: DataFrame) -> DataFrame:
             F.when(words, F.col("top")).alias("top"),
             F.when(words, F.col("freq")).alias("freq"),
             "mean",
-            F.sqrt(F.try_divide("squares", (F.col("count") - 1).cast("double"))).alias("std"),
+            "std",
             "min",
             "q25",
             "q50",
@@ -237,6 +272,11 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
+def _number(field: T.StructField) -> Column:
+    """A numeric column as a double, NaN as missing."""
+    return F.nanvl(F.col(field.name).cast("double"), F.lit(None).cast("double"))
+
+
 def _cell(field: T.StructField) -> Column:
     """A value of a column as number or text; large numbers as both.
 
@@ -245,7 +285,7 @@ def _cell(field: T.StructField) -> Column:
     column, number = F.col(field.name), F.lit(None).cast("double")
     text = column.cast("string")
     if isinstance(field.dataType, T.NumericType):
-        number = column.cast("double")
+        number = _number(field)
         if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
             text = F.lit(None).cast("string")
         else:

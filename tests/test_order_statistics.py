@@ -50,6 +50,7 @@ def test_quantiles_survive_a_bracket_that_misses(spark, monkeypatch):
     from orderlines.functions import order_statistics
 
     df = spark.createDataFrame([(float(i),) for i in range(101)], "v double")
-    monkeypatch.setattr(order_statistics, "ACCURACY", 4)
+    monkeypatch.setattr(order_statistics, "SKETCH_K", 8)
+    monkeypatch.setattr(order_statistics, "MARGIN", 0.0)
     found = column_quantiles(df, {"v": [0.25, 0.5]})["v"]
     assert found == [25.0, 50.0]
