@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from orderlines.functions.storage import release  # noqa: E402
 from orderlines.plans.queries import QUERIES  # noqa: E402
 
 HEADLINE = [
@@ -64,6 +65,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        release(spark)
     spark.stop()
     print(
         json.dumps(

@@ -41,6 +41,14 @@ def calendar_columns(time: Column) -> dict[str, Column]:
     }
 
 
+def with_calendar(lines: DataFrame) -> DataFrame:
+    """Lines with date, hour, weekday and weekend flag, those that are missing from ``order_time``."""
+    if "order_time" not in lines.columns:
+        return lines
+    parts = calendar_columns(F.col("order_time"))
+    return lines.withColumns({name: part for name, part in parts.items() if name not in lines.columns})
+
+
 def weekend_flag(weekday: Column) -> Column:
     return F.coalesce((weekday >= 5).cast("int"), F.lit(0))
 

@@ -32,7 +32,7 @@ SHORT_STRATEGIES = {
 AT_RISK = ["重要挽留", "流失高价值"]
 ORDINARY = "普通客户"
 
-# The scores (recency, frequency, monetary) of each segment; others are ordinary.
+# The cells (recency, frequency, monetary) of the nine rules; others are ordinary.
 SEGMENT_SCORES = {
     "重要价值": ["333", "332"],
     "潜力客户": ["323", "322"],

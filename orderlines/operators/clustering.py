@@ -117,6 +117,7 @@ def cluster_customers(customers: DataFrame, k: int = 4, restarts: int = 10) -> C
         test = F.col(column) < middle if column == "recency" else F.col(column) > middle
         return F.when(test, better).otherwise(other)
 
+    # The texts of a profile.
     profile = F.concat(
         F.lit("聚类"), (F.col("cluster") + 1).cast("string"),
         F.lit(": R"), compared("recency", "近", "远"),

@@ -81,13 +81,24 @@ class Forecast:
 
 
 def forecast(daily: DataFrame, days: int = 14) -> Forecast:
-    """Forecast every series: the forest where it has 14 days or more, else its recent mean."""
+    """Forecast every series: the forest where it has 14 days or more, else its recent mean.
+
+    One forest learns from all series. So that large ones do not decide its splits, each series is
+    divided by its mean day before, and what is predicted is multiplied by it again; trees do not
+    see the scale of a single series.
+    """
     history = materialize(daily, "series")
+    scales = history.groupBy("series").agg(F.avg("revenue").alias("mean")).select(
+        "series", F.when(F.abs("mean") > 0, F.abs("mean")).otherwise(1.0).alias("scale")
+    )
     lengths = history.groupBy("series").agg(F.count(F.lit(1)).alias("n_days"))
     short = lengths.where(F.col("n_days") < MIN_ROWS).select("series")
     simple = mean_forecast(history.join(short, "series", "left_semi"), days)
 
-    training = lag_features(history).where(F.col("n_days") >= MIN_ROWS)
+    scaled = materialize(
+        history.join(scales, "series").withColumn("revenue", F.col("revenue") / F.col("scale")), "scaled-series"
+    )
+    training = lag_features(scaled.drop("scale")).where(F.col("n_days") >= MIN_ROWS)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     # Written in order and read back, so the number of tasks follows from the size.
     ordered = materialize(
@@ -99,6 +110,7 @@ def forecast(daily: DataFrame, days: int = 14) -> Forecast:
         .select("series", "date", "revenue", "features")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    # The names of the two methods.
     method = F.lit("随机森林回归(RandomForest)")
     fallback = lengths.where(F.col("n_days") < MIN_ROWS).select(
         "series",
@@ -119,10 +131,10 @@ def forecast(daily: DataFrame, days: int = 14) -> Forecast:
             maxBins=128,
             seed=SEED,
         ).fit(vectors)
-        errors = materialize(_training_errors(model.transform(vectors)), "errors")
+        errors = materialize(_training_errors(model.transform(vectors).join(scales, "series")), "errors")
     finally:
         vectors.unpersist()
-    predicted = _recursive(model, assembler, history, errors, days)
+    predicted = _recursive(model, assembler, scaled, errors, days)
     quality = errors.select(
         "series",
         F.round("mape", 2).alias("mape"),
@@ -135,9 +147,10 @@ def forecast(daily: DataFrame, days: int = 14) -> Forecast:
 
 
 def _training_errors(fitted: DataFrame) -> DataFrame:
-    residual = F.col("revenue") - F.col("prediction")
+    revenue = F.col("revenue") * F.col("scale")
+    residual = revenue - F.col("prediction") * F.col("scale")
     return fitted.groupBy("series").agg(
-        (F.avg(F.abs(F.try_divide(residual, F.col("revenue") + 0.01))) * 100).alias("mape"),
+        (F.avg(F.abs(F.try_divide(residual, revenue + 0.01))) * 100).alias("mape"),
         F.stddev_pop(residual).alias("residual_std"),
     )
 
@@ -163,6 +176,7 @@ def _recursive(
         .agg(
             F.max("date").alias("last_date"),
             F.first("n_days").alias("n_days"),
+            F.first("scale").alias("scale"),
             F.sort_array(F.collect_list(F.struct("date", "revenue")))["revenue"].alias("ring"),
         )
         .join(errors.select("series", "residual_std"), "series")
@@ -175,7 +189,7 @@ def _recursive(
         F.lit(0.0),
         lambda total, x: total + x,
     )
-    kept = ["series", "last_date", "n_days", "residual_std", "ring", "steps"]
+    kept = ["series", "last_date", "n_days", "scale", "residual_std", "ring", "steps"]
     for step in range(1, days + 1):
         date = F.date_add("last_date", step)
         features = (
@@ -203,8 +217,8 @@ def _recursive(
         return F.round(F.greatest(value, F.lit(0.0)), 2)
 
     return state.select(
-        "series", "last_date", "residual_std", F.posexplode("steps").alias("_step", "_value")
-    ).select(
+        "series", "last_date", "residual_std", "scale", F.posexplode("steps").alias("_step", "_share")
+    ).withColumn("_value", F.col("_share") * F.col("scale")).select(
         "series",
         F.date_add("last_date", F.col("_step") + 1).alias("date"),
         shown(F.col("_value")).alias("predicted"),
@@ -250,6 +264,7 @@ def forecast_summary(predicted: DataFrame, days: int = 7) -> DataFrame:
             F.avg("predicted").alias("mean"),
             F.avg("lower_bound").alias("mean_lower"),
             F.avg("upper_bound").alias("mean_upper"),
+            # The names of the directions.
             F.when(last > first * 1.05, "上升 ↗")
             .when(last < first * 0.95, "下降 ↘")
             .otherwise("平稳 →")

@@ -19,6 +19,7 @@ from orderlines.functions.expressions import (
     refunded_lines,
     total,
     weekend_flag,
+    with_calendar,
 )
 from orderlines.functions.order_statistics import Ordering
 from orderlines.functions.storage import materialize
@@ -26,9 +27,15 @@ from orderlines.schema import LINE_NO, REFUNDED, WEEKDAY_NAMES
 
 
 def order_rollup(lines: DataFrame) -> DataFrame:
-    """One row per order: first values of its attributes, sums, and number of lines."""
+    """One row per order: first values of its attributes, sums, and number of lines.
+
+    Orders have few lines, so merging before the shuffle saves little, and first values need sorted
+    rows. The lines are dealt by order first: one sort then serves both steps of the aggregate.
+    """
+    lines = with_calendar(lines)
     return (
         lines.where(F.col("order_id").isNotNull())
+        .repartition("order_id")
         .groupBy("order_id")
         .agg(
             *[first_value(lines, c).alias(c) for c in ("date", "customer_id", "platform", "status")],
@@ -166,12 +173,12 @@ def _with_total(groups: DataFrame, column: str) -> DataFrame:
 def product_ranking(lines: DataFrame) -> DataFrame:
     """Units, revenue, orders, price and refunds per product; most sold first.
 
-    Sums are merged per product and category, which leaves little to shuffle. Only the distinct
-    orders need the pairs of product and order.
+    The lines are read once: merged per product, category and order they are written, and both the
+    sums and the distinct orders are taken from that.
     """
     position = F.min(LINE_NO) if LINE_NO in lines.columns else F.lit(0)
-    sums = materialize(
-        lines.groupBy("product_name", "category").agg(
+    cells = materialize(
+        lines.groupBy("product_name", "category", "order_id").agg(
             position.alias("position"),
             total(F.col("quantity")).alias("quantity"),
             total(F.col("actual_amount")).alias("amount"),
@@ -179,7 +186,11 @@ def product_ranking(lines: DataFrame) -> DataFrame:
             F.count("unit_price").alias("n_prices"),
             refunded_lines().alias("refunded"),
         ),
-        "product-sums",
+        "product-orders",
+    )
+    sums = cells.groupBy("product_name", "category").agg(
+        F.min("position").alias("position"),
+        *[F.sum(name).alias(name) for name in ("quantity", "amount", "prices", "n_prices", "refunded")],
     )
     category = F.when(F.col("category").isNotNull(), F.struct("position", "category"))
     per_product = (
@@ -193,9 +204,9 @@ def product_ranking(lines: DataFrame) -> DataFrame:
             F.sum("refunded").alias("refund_count"),
         )
     )
-    orders = lines.groupBy("product_name").agg(F.count_distinct("order_id").alias("order_count"))
-    everything = sums.agg(F.sum("amount")).scalar()
-    all_orders = lines.agg(F.count_distinct("order_id")).scalar()
+    orders = cells.groupBy("product_name").agg(F.count_distinct("order_id").alias("order_count"))
+    everything = cells.agg(F.sum("amount")).scalar()
+    all_orders = cells.agg(F.count_distinct("order_id")).scalar()
     return (
         per_product.join(orders, "product_name")
         .select(
@@ -330,6 +341,7 @@ def daily_trend(lines: DataFrame, series: list[str] | None = None) -> DataFrame:
     by platform.
     """
     series = series or []
+    lines = with_calendar(lines)
     daily = (
         order_grain(lines.where(F.col("date").isNotNull()), *series, "date")
         .groupBy(*series, "date")
@@ -354,6 +366,7 @@ def daily_trend(lines: DataFrame, series: list[str] | None = None) -> DataFrame:
 def daily_features(lines: DataFrame, series: list[str] | None = None) -> DataFrame:
     """Per day: sums, rates, calendar fields and trailing means of revenue and orders."""
     series = series or []
+    lines = with_calendar(lines)
     gross = F.sum("gross").cast("double")
     daily = (
         order_grain(lines.where(F.col("date").isNotNull()), *series, "date")
@@ -383,6 +396,7 @@ def daily_features(lines: DataFrame, series: list[str] | None = None) -> DataFra
 
 def hourly_orders(lines: DataFrame) -> DataFrame:
     """Mean orders per weekday and hour, over the dates that had an order in that hour."""
+    lines = with_calendar(lines)
     cells = (
         lines.where(F.col("date").isNotNull() & F.col("weekday").isNotNull() & F.col("hour").isNotNull())
         .groupBy("date", "weekday", "hour")
@@ -416,9 +430,9 @@ def customer_profiles(lines: DataFrame) -> DataFrame:
     Ties for the favourite go to the smaller name; platforms stand in the order of first use.
     """
     known = lines.where(F.col("customer_id").isNotNull())
-    # A customer has few combinations of category and platform, so this is small against the lines.
+    # The lines are read once; everything else follows from this.
     cells = materialize(
-        known.groupBy("customer_id", "category", "platform").agg(
+        known.groupBy("customer_id", "category", "platform", "order_id").agg(
             F.count(F.lit(1)).alias("lines"),
             F.sum("actual_amount").alias("amount"),
             F.count("actual_amount").alias("amounts"),
@@ -449,7 +463,7 @@ def customer_profiles(lines: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("first", "platform"))).alias("used"))
         .select("customer_id", F.array_join("used.platform", "|").alias("platforms_used"))
     )
-    orders = known.groupBy("customer_id").agg(F.count_distinct("order_id").alias("total_orders"))
+    orders = cells.groupBy("customer_id").agg(F.count_distinct("order_id").alias("total_orders"))
     return (
         orders.join(profile, "customer_id")
         .join(favourite, "customer_id", "left")
