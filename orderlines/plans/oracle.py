@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-from orderlines.functions.segments import (
-    AT_RISK,
-    ORDINARY,
-    SEGMENT_SCORES,
-    SHORT_STRATEGIES,
-    STRATEGIES,
-)
+from orderlines.functions.segments import SHORT_STRATEGIES, STRATEGIES
 from orderlines.schema import WEEKDAY_NAMES
 
 ORACLE_SQL: dict[str, str] = {}
@@ -319,25 +313,30 @@ ORACLE_SQL["q3_quality_report"] = raw(
 )
 
 _TEXT_COLUMNS = {
-    0: "order_id", 4: "customer_id", 5: "platform", 12: "status", 13: "product_name", 14: "category",
+    0: "order_id", 6: "customer_id", 7: "platform", 14: "status", 15: "product_name", 16: "category",
+}
+_TEXT_ALSO = {
+    1: ("order_time", "strftime(order_time, '%Y-%m-%d %H:%M:%S')", "timestamp_ntz"),
+    2: ("date", "strftime(date, '%Y-%m-%d')", "date"),
 }
-_TEXT_ALSO = {1: ("date", "strftime(date, '%Y-%m-%d')")}
 _NUMBER_COLUMNS = {
-    2: "weekday", 3: "is_weekend", 6: "quantity", 7: "unit_price", 8: "total_amount", 9: "discount",
-    10: "actual_amount", 11: "refund_amount",
+    3: ("hour", "int"), 4: ("weekday", "int"), 5: ("is_weekend", "int"), 8: ("quantity", "decimal(18,4)"),
+    9: ("unit_price", "decimal(18,4)"), 10: ("total_amount", "decimal(18,4)"), 11: ("discount", "decimal(18,4)"),
+    12: ("actual_amount", "decimal(18,4)"), 13: ("refund_amount", "decimal(18,4)"),
 }
 
 
-def _text_profile(position: int, column: str, value: str) -> str:
+def _text_profile(position: int, column: str, value: str, dtype: str = "string") -> str:
     counts = f"(SELECT {value} AS v, count(*) AS n FROM lines GROUP BY 1)"
     return f"""SELECT {position} AS position, '{column}' AS column, CAST(sum(n) AS BIGINT) AS count,
       count(v) AS unique, first(v ORDER BY n DESC, v) AS top, max(n) AS freq,
       CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min,
       CAST(NULL AS DOUBLE) AS q25, CAST(NULL AS DOUBLE) AS q50, CAST(NULL AS DOUBLE) AS q75,
-      CAST(NULL AS DOUBLE) AS max, CAST(0 AS BIGINT) AS missing, CAST(0 AS DOUBLE) AS missing_pct, count(v) AS nunique FROM {counts}"""
+      CAST(NULL AS DOUBLE) AS max, CAST(0 AS BIGINT) AS missing, CAST(0 AS DOUBLE) AS missing_pct, count(v) AS nunique,
+      '{dtype}' AS dtype FROM {counts}"""
 
 
-def _number_profile(position: int, column: str) -> str:
+def _number_profile(position: int, column: str, dtype: str) -> str:
     value = f"CAST({column} AS DOUBLE)"
     quartiles = ", ".join(
         f"round(quantile_cont({value}, {p}), 4) AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75)
@@ -346,15 +345,15 @@ def _number_profile(position: int, column: str) -> str:
       CAST(NULL AS BIGINT) AS unique, CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq,
       round({mean(column)}, 4) AS mean, round(stddev_samp({value}), 4) AS std, CAST(min({column}) AS DOUBLE) AS min,
       {quartiles}, CAST(max({column}) AS DOUBLE) AS max, CAST(0 AS BIGINT) AS missing, CAST(0 AS DOUBLE) AS missing_pct,
-      count(DISTINCT {column}) AS nunique FROM lines"""
+      count(DISTINCT {column}) AS nunique, '{dtype}' AS dtype FROM lines"""
 
 
 ORACLE_SQL["q4_profile"] = star(
     " "
     + " UNION ALL ".join(
         [_text_profile(i, c, c) for i, c in _TEXT_COLUMNS.items()]
-        + [_text_profile(i, c, v) for i, (c, v) in _TEXT_ALSO.items()]
-        + [_number_profile(i, c) for i, c in _NUMBER_COLUMNS.items()]
+        + [_text_profile(i, *c) for i, c in _TEXT_ALSO.items()]
+        + [_number_profile(i, *c) for i, c in _NUMBER_COLUMNS.items()]
     )
 )
 ORACLE_SQL["j2_flagged_lines"] = star(
@@ -601,14 +600,13 @@ def _case(value: str, texts: dict[str, str]) -> str:
     return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.items()) + " END"
 
 
-_SEGMENT = (
-    "CASE "
-    + " ".join(
-        f"WHEN rfm IN ({', '.join(repr(s) for s in scores)}) THEN '{name}'"
-        for name, scores in SEGMENT_SCORES.items()
-    )
-    + f" ELSE '{ORDINARY}' END"
-)
+# The rule as patterns of the three scores, stated here once more so that it checks the library's.
+_SEGMENT = """CASE
+    WHEN regexp_full_match(rfm, '33[23]') THEN '重要价值' WHEN regexp_full_match(rfm, '32[23]') THEN '潜力客户'
+    WHEN regexp_full_match(rfm, '[23]1[23]') THEN '重要保持' WHEN rfm = '311' THEN '新客户'
+    WHEN regexp_full_match(rfm, '1[23][23]') THEN '重要挽留' WHEN regexp_full_match(rfm, '1[23]1') THEN '一般价值'
+    WHEN regexp_full_match(rfm, '11[23]') THEN '流失高价值' WHEN rfm = '111' THEN '流失客户'
+    ELSE '普通客户' END"""
 RFM = f"""
     customers AS (
       SELECT customer_id,
@@ -656,7 +654,7 @@ ORACLE_SQL["f5_segment_distribution"] = star(
          {_case('segment', SHORT_STRATEGIES)} AS strategy FROM segments GROUP BY segment""",
     RFM,
 )
-_RISK = ", ".join(f"'{name}'" for name in AT_RISK)
+_RISK = "'重要挽留', '流失高价值'"
 ORACLE_SQL["f6_at_risk"] = star(
     f" SELECT customer_id, segment, CAST(monetary AS DOUBLE) AS monetary FROM segments WHERE segment IN ({_RISK})", RFM
 )

@@ -110,7 +110,7 @@ def s2_typed_csv_scan(spark, sf_dir):
 @query
 def s3_format_dispatch(spark, sf_dir):
     path = new_path(spark, "by-date")
-    write_parquet(event_lines(spark, sf_dir).drop(LINE_NO), path)
+    write_parquet(event_lines(spark, sf_dir), path)
     return summed(read_orders(spark, path, format="parquet"), "platform")
 
 
@@ -290,7 +290,8 @@ def q1_order_outliers(spark, sf_dir):
 
 @query
 def q2_quantity_outliers(spark, sf_dir):
-    return quality.quantity_outliers(event_lines(spark, sf_dir).withColumn("quantity", F.col("total_amount")))
+    values = event_lines(spark, sf_dir).select(F.col("total_amount").alias("quantity"))
+    return quality.quantity_outliers(materialize(values, "quantities"))
 
 
 @query
@@ -300,15 +301,13 @@ def q3_quality_report(spark, sf_dir):
 
 @query
 def q4_profile(spark, sf_dir):
-    lines = materialize(star_lines(spark, sf_dir).drop(LINE_NO, "order_time", "hour"), "lines")
-    return flat(
-        quality.profile(lines), {"mean": 4, "std": 4, "q25": 4, "q50": 4, "q75": 4}
-    ).drop("dtype")
+    lines = materialize(star_lines(spark, sf_dir), "lines")
+    return flat(quality.profile(lines), {"mean": 4, "std": 4, "q25": 4, "q50": 4, "q75": 4})
 
 
 @query
 def j2_flagged_lines(spark, sf_dir):
-    lines = star_lines(spark, sf_dir, products=False)
+    lines = materialize(star_lines(spark, sf_dir, products=False).select("order_id", "platform", "actual_amount"), "lines")
     flagged = quality.flag_outlier_orders(lines, quality.screen_orders(lines))
     return flagged.groupBy("is_anomaly", "platform").agg(
         F.count(F.lit(1)).alias("n"), F.sum("actual_amount").cast("double").alias("amount")
@@ -532,7 +531,7 @@ def c3_cluster_profiles(spark, sf_dir):
 
 @query
 def c4_elbow(spark, sf_dir):
-    return clustering.elbow(_segments(spark, sf_dir), restarts=3)
+    return clustering.elbow(materialize(_segments(spark, sf_dir), "segments"))
 
 
 @query
@@ -651,7 +650,7 @@ def d2_isolation_forest(spark, sf_dir):
 
 @query
 def d3_verdicts(spark, sf_dir):
-    lines = star_lines(spark, sf_dir)
+    lines = materialize(star_lines(spark, sf_dir), "lines")
     return outliers.verdicts(quality.screen_orders(lines), outliers.isolation_forest(lines))
 
 
@@ -676,7 +675,11 @@ def r3_product_findings(spark, sf_dir):
 
 
 def _pair_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    itemsets = _itemsets(spark, sf_dir, PAIR_SUPPORT)
+    return _rules_of(star_lines(spark, sf_dir))
+
+
+def _rules_of(lines: DataFrame) -> DataFrame:
+    itemsets = basket.frequent_itemsets(lines, PAIR_SUPPORT)
     return materialize(basket.top_rules(basket.association_rules(itemsets)), "rules")
 
 
@@ -687,10 +690,11 @@ def r4_rule_findings(spark, sf_dir):
 
 @query
 def r5_actions(spark, sf_dir):
+    lines = materialize(star_lines(spark, sf_dir), "lines")
     return diagnosis.actions(
-        materialize(_ranking(spark, sf_dir), "ranking"),
-        _pair_rules(spark, sf_dir),
-        materialize(_segments(spark, sf_dir), "segments"),
+        materialize(metrics.product_ranking(lines), "ranking"),
+        _rules_of(lines),
+        materialize(rfm.rfm_segments(lines), "segments"),
     )
 
 

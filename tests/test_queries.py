@@ -1,23 +1,15 @@
-"""Registered queries against their SQL on the smallest tables; ORDERLINES_ALL=1 runs every one."""
+"""Registered queries against their SQL on the smallest tables."""
 
-import os
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from orderlines.plans.oracle import ORACLE_SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("lineitem", "orders", "part", "events")
-QUICK = [
-    "s1_csv_scan", "s5_export_union", "p6_dedup", "p8_derived_fill", "p11_clean_lines",
-    "q1_order_outliers", "q3_quality_report", "q4_profile", "a1_order_rollup", "a2_overview",
-    "a5_product_ranking", "a7_slow_movers", "a8_platform_comparison", "a9_daily_trend",
-    "a10_daily_features", "a12_hourly_heatmap", "a13_customer_profiles", "w6_rank", "f3_segments",
-    "f5_segment_distribution", "m2_itemsets", "m5_pair_rules", "t1_lag_features",
-    "t4_short_history", "d1_order_features", "r1_kpi_verdicts", "r5_actions",
-]
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables")
 
 
@@ -29,10 +21,10 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()) if os.environ.get("ORDERLINES_ALL") else QUICK)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(ORACLE_SQL[name])
     names = [column[0] for column in result.description]
     assert sorted(names) == sorted(df.columns)
     expected = sorted((repr(tuple(row)) for row in result.fetchall()))
