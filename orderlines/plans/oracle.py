@@ -767,28 +767,26 @@ def union(*parts: str) -> str:
     return " " + " UNION ALL ".join(parts)
 
 
-ORACLE_SQL["r1_kpi_verdicts"] = star(
-    union(
-        *[
-            finding("summary", "NULL", m, m, "NULL", "overview")
-            for m in ("total_revenue", "total_orders", "avg_order_value", "avg_discount_rate")
-        ],
-        finding("summary", "NULL", "refund_rate", "refund_rate",
-                "CASE WHEN refund_rate > 5 THEN 'high' ELSE 'normal' END", "overview"),
-        finding("summary", "NULL", "today_revenue", "round(today_revenue, 2)", "NULL", "latest"),
-        finding("summary", "NULL", "today_orders", "today_orders", "NULL", "latest"),
-        finding("summary", "NULL", "dod_change", "abs(dod_change)",
-                "CASE WHEN dod_change >= 0 THEN '↑' ELSE '↓' END", "latest"),
-        finding("summary", "NULL", "daily_mean", "mean", "NULL", "stats"),
-        finding("summary", "NULL", "daily_median", "median", "NULL", "stats"),
-        finding("volatility", "NULL", "std", "std", "NULL", "stats"),
-        finding("volatility", "NULL", "skewness", "skewness",
-                "CASE WHEN skewness > 0.5 THEN 'right' WHEN abs(skewness) <= 0.5 THEN 'even' ELSE 'left' END", "stats"),
-        finding("volatility", "NULL", "kurtosis", "kurtosis",
-                "CASE WHEN kurtosis > 0 THEN 'peaked' ELSE 'flat' END", "stats"),
-    ),
-    ROLLUP,
-)
+_KPIS = union(
+    *[
+        finding("summary", "NULL", m, m, "NULL", "overview")
+        for m in ("total_revenue", "total_orders", "avg_order_value", "avg_discount_rate")
+    ],
+    finding("summary", "NULL", "refund_rate", "refund_rate",
+            "CASE WHEN refund_rate > 5 THEN 'high' ELSE 'normal' END", "overview"),
+    finding("summary", "NULL", "today_revenue", "round(today_revenue, 2)", "NULL", "latest"),
+    finding("summary", "NULL", "today_orders", "today_orders", "NULL", "latest"),
+    finding("summary", "NULL", "dod_change", "abs(dod_change)",
+            "CASE WHEN dod_change >= 0 THEN '↑' ELSE '↓' END", "latest"),
+    finding("summary", "NULL", "daily_mean", "mean", "NULL", "stats"),
+    finding("summary", "NULL", "daily_median", "median", "NULL", "stats"),
+    finding("volatility", "NULL", "std", "std", "NULL", "stats"),
+    finding("volatility", "NULL", "skewness", "skewness",
+            "CASE WHEN skewness > 0.5 THEN 'right' WHEN abs(skewness) <= 0.5 THEN 'even' ELSE 'left' END", "stats"),
+    finding("volatility", "NULL", "kurtosis", "kurtosis",
+            "CASE WHEN kurtosis > 0 THEN 'peaked' ELSE 'flat' END", "stats"),
+)
+ORACLE_SQL["r1_kpi_verdicts"] = star(_KPIS, ROLLUP)
 ORACLE_SQL["r2_alerts"] = star(
     union(
         finding("alerts", "'orders'", "anomalous_orders", "n", "NULL",
@@ -800,16 +798,14 @@ ORACLE_SQL["r2_alerts"] = star(
     BOUNDS,
 )
 _TOP5 = "(SELECT * FROM ranking ORDER BY total_sold DESC, product_name LIMIT 5)"
-ORACLE_SQL["r3_product_findings"] = star(
-    union(
-        *[
-            finding("best sellers", "product_name", m, m, "NULL", _TOP5)
-            for m in ("total_sold", "total_revenue", "revenue_share")
-        ],
-        finding("slow movers", "product_name", "total_sold", "total_sold", "NULL", "slow"),
-    ),
-    RANKING,
-)
+_PRODUCTS = union(
+    *[
+        finding("best sellers", "product_name", m, m, "NULL", _TOP5)
+        for m in ("total_sold", "total_revenue", "revenue_share")
+    ],
+    finding("slow movers", "product_name", "total_sold", "total_sold", "NULL", "slow"),
+)
+ORACLE_SQL["r3_product_findings"] = star(_PRODUCTS, RANKING)
 _BEST = "ORDER BY lift DESC, confidence DESC, support DESC, antecedent, consequent LIMIT"
 _TOP3 = f"(SELECT *, antecedent || ' → ' || consequent AS pair FROM advised {_BEST} 3)"
 ORACLE_SQL["r4_rule_findings"] = star(
@@ -834,3 +830,38 @@ ORACLE_SQL["r5_actions"] = star(
     RFM,
     itemsets(0.002).replace("size AS", "basket_size AS").replace("subsets, size", "subsets, basket_size"),
 )
+
+# ---- facts that any valid fit meets ----
+
+ORACLE_SQL["k6_facts"] = star(" SELECT segment, count(*) AS customers FROM segments GROUP BY segment", RFM)
+ORACLE_SQL["c2_facts"] = star(
+    " SELECT count(*) AS customers, count(DISTINCT customer_id) AS distinct_customers, CAST(4 AS BIGINT) AS clusters FROM customers", RFM
+)
+ORACLE_SQL["c3_facts"] = star(
+    """ SELECT count(*) AS customers, round(avg(CAST(recency AS DOUBLE)), 4) AS recency,
+        round(avg(CAST(frequency AS DOUBLE)), 4) AS frequency, round(avg(CAST(monetary AS DOUBLE)), 4) AS monetary
+        FROM customers""",
+    RFM,
+)
+ORACLE_SQL["c4_facts"] = star(
+    " SELECT CAST(3 * count(*) AS DOUBLE) AS one_cluster, CAST(8 AS BIGINT) AS fits, true AS falling FROM customers", RFM
+)
+_SERIES = "(SELECT platform AS series, max(date) AS last FROM lines GROUP BY platform HAVING count(DISTINCT date) >= 14)"
+ORACLE_SQL["t2_facts"] = event(
+    f" SELECT series, CAST(14 AS INTEGER) AS forecast_days, CAST(17 AS INTEGER) AS n_features, true AS has_error FROM {_SERIES}"
+)
+ORACLE_SQL["t3_facts"] = event(
+    f""" SELECT series, strftime(last + INTERVAL 1 DAY, '%Y-%m-%d') AS first_day, strftime(last + INTERVAL 14 DAY, '%Y-%m-%d') AS last_day,
+         CAST(14 AS BIGINT) AS days, true AS in_order, true AS in_range FROM {_SERIES}"""
+)
+ORACLE_SQL["t5_facts"] = event(
+    f" SELECT series, true AS total_is_seven_means, true AS known_trend FROM {_SERIES}"
+)
+ORACLE_SQL["d2_facts"] = star(
+    """ SELECT count(DISTINCT order_id) AS orders, true AS scores_in_range, true AS at_most_the_share, true AS labels_agree
+        FROM lines"""
+)
+ORACLE_SQL["d3_facts"] = star(
+    " SELECT order_id, order_id IN (SELECT order_id FROM outlying) AS by_amount FROM totals", BOUNDS
+)
+ORACLE_SQL["r6_facts"] = star(_KPIS + " UNION ALL " + _PRODUCTS, ROLLUP, RANKING)

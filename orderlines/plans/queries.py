@@ -701,3 +701,112 @@ def r5_actions(spark, sf_dir):
 @query
 def r6_diagnosis(spark, sf_dir):
     return diagnose(materialize(star_lines(spark, sf_dir), "lines"), min_support=PAIR_SUPPORT)
+
+
+# ---- facts that any valid fit meets, for the queries whose rows depend on the fit -----------
+
+
+@query
+def k6_facts(spark, sf_dir):
+    table = k6_segments_by_cluster(spark, sf_dir)
+    return table.select("segment", sum((F.col(f"`{k}`") for k in range(4)), F.lit(0).cast("long")).alias("customers"))
+
+
+@query
+def c2_facts(spark, sf_dir):
+    return c2_clusters(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_distinct("customer_id").alias("distinct_customers"),
+        F.count_distinct("cluster").alias("clusters"),
+    )
+
+
+@query
+def c3_facts(spark, sf_dir):
+    """The centres, weighted by their customers, are the means over all customers."""
+    customers = clustering.cluster_customers(_segments(spark, sf_dir)).customers
+    names = clustering.FEATURES
+    centers = customers.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in names]
+    )
+    return centers.agg(
+        F.sum("n").alias("customers"), *[F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 4).alias(c) for c in names]
+    )
+
+
+@query
+def c4_facts(spark, sf_dir):
+    """One cluster costs one per customer and feature; more clusters cost less."""
+    costs = c4_elbow(spark, sf_dir)
+    return costs.agg(
+        F.max(F.when(F.col("k") == 1, F.col("inertia"))).alias("one_cluster"),
+        F.count(F.lit(1)).alias("fits"),
+        F.array_sort(F.collect_list(F.struct("k", "inertia"))).alias("all"),
+    ).select(
+        "one_cluster",
+        "fits",
+        F.forall(F.sequence(F.lit(1), F.size("all") - 1), lambda i: F.get("all.inertia", i) < F.get("all.inertia", i - 1)).alias("falling"),
+    )
+
+
+@query
+def t2_facts(spark, sf_dir):
+    return t2_forest_fit(spark, sf_dir).select(
+        "series", "forecast_days", "n_features", (F.col("mape").isNotNull() & (F.col("residual_std") >= 0)).alias("has_error")
+    )
+
+
+@query
+def t3_facts(spark, sf_dir):
+    """Days ahead, order of the bounds, and predictions within what the series has seen."""
+    trend = materialize(metrics.daily_trend(event_lines(spark, sf_dir), ["platform"]), "trend")
+    series = forecasting.revenue_series(trend, "platform")
+    means = series.groupBy("series").agg(F.avg("revenue").alias("mean"))
+    share = F.col("revenue") / F.col("mean")
+    least, most = series.join(means, "series").agg(F.min(share), F.max(share)).first()
+    days = forecasting.forecast(series).days.join(means, "series")
+    predicted = F.col("predicted")
+    return days.groupBy("series").agg(
+        day_text(F.min("date")).alias("first_day"),
+        day_text(F.max("date")).alias("last_day"),
+        F.count(F.lit(1)).alias("days"),
+        F.bool_and((F.col("lower_bound") <= predicted) & (predicted <= F.col("upper_bound"))).alias("in_order"),
+        # The forest learns from all series, each as a share of its mean.
+        F.bool_and(
+            predicted.between(F.col("mean") * least - 0.01, F.col("mean") * most + 0.01)
+        ).alias("in_range"),
+    )
+
+
+@query
+def t5_facts(spark, sf_dir):
+    found = forecasting.forecast_summary(_forecast(spark, sf_dir).days)
+    return found.select(
+        "series",
+        (F.abs(F.col("total") - 7 * F.col("mean")) < 0.01).alias("total_is_seven_means"),
+        F.col("trend").isin("上升 ↗", "下降 ↘", "平稳 →").alias("known_trend"),
+    )
+
+
+@query
+def d2_facts(spark, sf_dir):
+    scored = d2_isolation_forest(spark, sf_dir)
+    score = F.col("anomaly_score")
+    return scored.agg(
+        F.count_distinct("order_id").alias("orders"),
+        F.bool_and((score >= -1) & (score < 0)).alias("scores_in_range"),
+        (F.count_if("is_anomaly") <= F.ceil(0.05 * F.count(F.lit(1)))).alias("at_most_the_share"),
+        F.bool_and((F.col("anomaly_label") == -1) == F.col("is_anomaly")).alias("labels_agree"),
+    )
+
+
+@query
+def d3_facts(spark, sf_dir):
+    return d3_verdicts(spark, sf_dir).select("order_id", "by_amount")
+
+
+@query
+def r6_facts(spark, sf_dir):
+    """The sections of the diagnosis that no fit enters."""
+    sections = ["summary", "volatility", "best sellers", "slow movers"]
+    return r6_diagnosis(spark, sf_dir).where(F.col("section").isin(sections))
