@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlines.functions.storage import materialize
 from orderlines.llm.texts import WORD
 
 WEIGHTS = (5, 2, 1)
@@ -253,12 +254,13 @@ def mix_sources(
     sized = docs if SIZE in docs.columns else docs.withColumn(SIZE, words_in(F.col(text)))
     sized = sized.drop(SOURCE_SIZE, TARGET, COPIES, SHARDS)
     block_count = max(1, math.ceil(docs.count() / BLOCK_DOCUMENTS))
-    chance = F.xxhash64(F.col(key), F.col(SIZE), F.lit(SEED))
+    chance = F.xxhash64(F.col(key), F.col(text if text in docs.columns else SIZE), F.lit(SEED))
     keyed = sized.withColumns({"_chance": chance, "_key_block": F.pmod(chance, F.lit(block_count)).cast("int")})
     blocks = keyed.groupBy(F.col(source).alias("source"), F.col("_key_block").alias("block")).agg(
         F.sum(SIZE).alias("words")
     )
-    units = _units(blocks, weights, cap, levels)
+    # Few rows per source and block, written so that Spark knows their size when it plans the join.
+    units = materialize(_units(blocks, weights, cap, levels), "units")
     planned = keyed.join(
         units, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_key_block") == F.col("_block"))
     )
