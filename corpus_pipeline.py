@@ -47,7 +47,8 @@ def source_mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows (doc_id, length, bucket, bucket_length, batch, slot, padding), one per copy."""
-    return pack(docs.select("doc_id", words_in(F.col("text")).alias("n_words")), "n_words").drop("n_words")
+    lengths = materialize(docs.select("doc_id", words_in(F.col("text")).alias("n_words")), "lengths")
+    return pack(lengths, "n_words").drop("n_words")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
