@@ -28,7 +28,7 @@ from orderlines.operators import (
 )
 from orderlines.plans.preparation import clean
 from orderlines.plans.report import diagnose
-from orderlines.schema import LINE_NO, ORDER_LINE
+from orderlines.schema import ORDER_LINE
 from orderlines.sources.readers import read_orders, read_typed_orders
 from orderlines.sources.star import event_lines, raw_export, star_lines
 from orderlines.sources.writers import write_csv, write_parquet
