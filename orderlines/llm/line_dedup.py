@@ -3,7 +3,10 @@
 Lines meet by hash. A line of few documents (at most RARE) pairs each of them with every other; a
 line of more documents pairs each with the first one that has it, so no line loses its link and no
 group is paired with itself. A pair carries the positions, in both documents, of the lines that
-brought it together; what else the two share is in a pair with a still earlier document. The patience diff takes the lines that are unique in
+brought it together; what else the two share is in a pair with a still earlier document. As a line
+of many documents meets no other holder, what the order of the two documents leaves of it is
+matched on its own, as often as the first holder has it; what a later document has of it beyond
+that stays, even where another earlier one repeats it as often. The patience diff takes the lines that are unique in
 both, keeps their longest increasing run, and goes on between those anchors with lines that are
 unique there; equal lines next to a match are joined to it. Matched lines are deleted from the
 later document (greater key), where they form blocks of at least MIN_WORDS words.
@@ -80,7 +83,7 @@ def _line_hashes(text: Column) -> Column:
 
 
 def shared_lines(docs: DataFrame, text: str, key: str, rare: int = RARE) -> DataFrame:
-    """Rows (later, later_text, matches): per pair the shared lines as (line, position, place in the earlier).
+    """Rows (later, later_text, matches): per pair the shared lines as (line, position, place in the earlier, common).
 
     Documents are told apart by key and hash of the text and ordered by them, null keys last.
     """
@@ -97,12 +100,12 @@ def shared_lines(docs: DataFrame, text: str, key: str, rare: int = RARE) -> Data
     held = materialize(holders.where("holders > 1"), "shared-lines")
     common = held.where(F.col("holders") > rare).select("line", "first")
     with_first = lines.join(common, "line").select(
-        "line", order.alias("later"), F.col("first").alias("earlier")
+        "line", order.alias("later"), F.col("first").alias("earlier"), F.lit(True).alias("common")
     )
     few = lines.join(held.where(F.col("holders") <= rare).select("line"), "line")
     groups = few.groupBy("line").agg(F.array_sort(F.collect_list(order)).alias("all"))
     paired = groups.select("line", "all", F.posexplode("all").alias("n", "later")).select(
-        "line", "later", F.explode(F.slice("all", F.lit(1), F.col("n"))).alias("earlier")
+        "line", "later", F.explode(F.slice("all", F.lit(1), F.col("n"))).alias("earlier"), F.lit(False).alias("common")
     )
     pairs = with_first.unionByName(paired).where(
         ~(F.col("earlier.id").eqNullSafe(F.col("later.id")) & (F.col("earlier.text_hash") == F.col("later.text_hash")))
@@ -110,7 +113,18 @@ def shared_lines(docs: DataFrame, text: str, key: str, rare: int = RARE) -> Data
     return pairs.groupBy(
         F.col("later.id").alias("id"), F.col("later.text_hash").alias("text_hash"),
         F.col("earlier.id").alias("of"), F.col("earlier.text_hash").alias("of_hash"),
-    ).agg(F.collect_list(F.struct("line", F.col("later.places").alias("at"), F.col("earlier.places").alias("of"))).alias("matches"))
+    ).agg(F.collect_list(F.struct("line", F.col("later.places").alias("at"), F.col("earlier.places").alias("of"), "common")).alias("matches"))
+
+
+def _alone(matches: list[dict], matched: list[int]) -> list[int]:
+    """Places of common lines that the alignment left, up to as many as the first holder has."""
+    found, taken = [], set(matched)
+    for match in matches:
+        if match["common"]:
+            left = [at for at in match["at"] if at not in taken]
+            aligned = len(match["at"]) - len(left)
+            found += left[: max(0, min(len(match["at"]), len(match["of"])) - aligned)]
+    return found
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +137,8 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             later = sorted((at, m["line"]) for m in matches for at in m["at"])
             earlier = sorted((of, m["line"]) for m in matches for of in m["of"])
             pairs = patience([line for _, line in earlier], [line for _, line in later])
-            found.append([later[j][0] for _, j in pairs])
+            places = [later[j][0] for _, j in pairs]
+            found.append(places + _alone(matches, places))
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("text_hash"), pa.array(found, pa.list_(pa.int32()))], ["id", "text_hash", "places"]
         )

@@ -54,6 +54,17 @@ def test_a_line_of_many_documents_is_deleted_from_all_but_the_first(documents):
     assert all(found[i, "s"] == f"own text of document {i}" for i in range(1, RARE * 5))
 
 
+def test_lines_of_many_documents_in_another_order_are_deleted(documents):
+    other = "another line of many words that very many documents have too"
+    rows = [(0, f"{LONG}\nown zero\n{other}")] + [(i, f"{other}\nown {i}\n{LONG}") for i in range(1, RARE + 3)]
+    rows.append((99, f"{other}\n{LONG}\nown 99\n{LONG}"))
+    found = texts_of(dedup_lines(documents(rows)))
+    assert found[0, "s"] == rows[0][1]
+    assert all(found[i, "s"] == f"own {i}" for i in range(1, RARE + 3))
+    # As often as the first holder has it, and no more.
+    assert found[99, "s"].split("\n").count(LONG) == 1 and other not in found[99, "s"]
+
+
 def test_null_empty_copies_ties_and_clashing(documents):
     rows = [
         (1, None), (2, ""), (3, "\n\n \n"), (4, LONG), (5, LONG), (6, LONG), (None, LONG), (7, LONG, None),
