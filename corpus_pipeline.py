@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orderlines.functions.storage import materialize
 from orderlines.llm.length_packing import pack
 from orderlines.llm.line_dedup import dedup_lines
+from orderlines.llm.near_texts import near_links
 from orderlines.llm.quality_rules import keep_good
 from orderlines.llm.simhash import keep_first, near_duplicates
 from orderlines.llm.source_mix import mix_sources, take, words_in
@@ -36,8 +37,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id."""
-    return keep_first(near_duplicates(docs, keep=tuple(docs.columns))).select(*docs.columns)
+    """One document of each group of near-duplicates, the one with the least id.
+
+    Near are texts whose fingerprints differ in at most 4 bits, or that share four fifths of their
+    five-word shingles.
+    """
+    grouped = near_duplicates(docs, keep=tuple(docs.columns), links=near_links(docs))
+    return keep_first(grouped).select(*docs.columns)
 
 
 def source_mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

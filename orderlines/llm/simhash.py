@@ -179,9 +179,12 @@ def near_duplicates(
     text: str = "text",
     key: str = "doc_id",
     keep: tuple[str, ...] = ("doc_id",),
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """Groups of documents connected by fingerprints that differ in at most ``radius`` bits.
 
+    ``links`` are further links (a, b) between fingerprints of the documents.
+
     Returns ``keep``, fingerprint (16 hex digits), component_id (least key of the group; null only
     if no row of it has a key) and component_key (one long per group). Null, empty and blank texts
     have the fingerprint zero. Equal texts share a fingerprint and so a group, however many there
@@ -193,7 +196,8 @@ def near_duplicates(
     names = tuple(dict.fromkeys((*(n for n in keep if n not in ("fingerprint", "component_id", "component_key")), key)))
     rows = materialize(map_texts(docs, prints, "fingerprint long", text, names), "fingerprints")
     distinct = materialize(rows.groupBy("fingerprint").agg(F.min(key).alias("least")), "distinct-fingerprints")
-    groups = connected_components(link_fingerprints(distinct, radius))
+    near = link_fingerprints(distinct, radius)
+    groups = connected_components(near if links is None else near.unionByName(links))
     labelled = distinct.join(groups, distinct["fingerprint"] == groups["node"], "left").select(
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component_key")
     )
