@@ -2,7 +2,8 @@
 
 The lengths of all documents make one histogram, exact up to EXACT and in fine relative steps above,
 so its size is bounded whatever the corpus. A dynamic program over it chooses the bucket
-boundaries with the least total padding. Inside each bucket batches are filled to a token budget:
+boundaries with the least total padding. Inside each bucket batches are filled to a
+budget in the unit of the lengths, whitespace words in the registered query and the pipeline:
 a batch holds as many documents as fit when all are padded to the bucket's length.
 """
 
