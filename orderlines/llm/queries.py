@@ -16,6 +16,7 @@ from orderlines.llm.lm_scoring import score_texts
 from orderlines.llm.quality_classifier import HELD_OUT, learn, score_quality, text_features
 from orderlines.llm.quality_rules import quality_rules
 from orderlines.llm.secret_scan import scan_secrets
+from orderlines.llm.shingle_join import shingle_components
 from orderlines.llm.simhash import near_duplicates
 from orderlines.llm.source_mix import mix_sources, words_in
 from orderlines.llm.texts import held_out_remainder, read
@@ -230,6 +231,11 @@ LEFT JOIN children c ON c.parent = n.path LEFT JOIN ends e ON e.path = n.path
 """
 
 
+@query
+def op13_shingle_join(spark, sf_dir):
+    return shingle_components(read(spark, sf_dir, "documents")).drop("set_id")
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
