@@ -14,9 +14,9 @@ one side, list entries to scan on the other, from the histogram of sizes and the
 
 The pairs. A list or subset group never becomes all its pairs. In each of ROUNDS rounds a group pairs its
 members with one leader (the least position first, since a set with few rare shingles is nearest to the
-rest), the pairs are counted exactly on the shingle hashes, and the links contract the groups. What a
-round leaves apart meets the rest of its group at the end, once per pair, at the first shingle the
-two prefixes share. Members that are already connected are never compared again. Size and position
+rest), the pairs are counted exactly on the shingle hashes, and the links contract the sets to
+components. What the rounds leave apart meets the rest of its group at the end, once per pair, at the first
+shingle the two prefixes share. Sets that are already connected are never compared again. Size and position
 filters drop only pairs that cannot reach the similarity, so every link between different components
 is found or implied.
 
@@ -58,21 +58,50 @@ SMALL_LIMIT = 256
 #: Bits of a hash that tell shingles apart while they are counted.
 SLOT_BITS = 40
 CHUNK_SHINGLES = 1 << 21
+KNOWN_WORDS = 1 << 18
 BUCKET_SHINGLES = 4_000_000
 HISTOGRAM_GROUPS = 16
 COUNTS = "kind int, key long, n long, squares long"
 LEVEL, SIZE, TOTAL = 0, 1, 2
 
 
+class _WordHashes(dict):
+    """Hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+_WORDS = _WordHashes()
+#: One odd factor per place of a shingle.
+_FACTORS = np.array([xxhash.xxh64_intdigest(bytes([place]), SEED) | 1 for place in range(64)], np.uint64)
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """A bijective finish, so that equal sums alone collide and order carries no pattern."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        values = (values ^ (values >> np.uint64(33))) * np.uint64(factor)
+    return values ^ (values >> np.uint64(33))
+
+
 def shingle_set(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; the whole sequence where there are fewer words."""
+    """Sorted distinct 64-bit hashes of the shingles; the whole sequence where there are fewer words.
+
+    A shingle's hash mixes the sum of its words' hashes, each times the factor of its place, and its length.
+    """
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     size = min(size, len(words))
-    digest = xxhash.xxh64_intdigest
-    joined = (b" ".join(words[at : at + size]) for at in range(len(words) - size + 1))
-    return np.unique(np.fromiter((digest(s, SEED) for s in joined), np.uint64, len(words) - size + 1))
+    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    count = len(words) - size + 1
+    sums = np.full(count, size, np.uint64)
+    for place in range(size):
+        sums += hashes[place : place + count] * _FACTORS[place]
+    return np.unique(_mixed(sums))
 
 
 def prefix_length(size: int, shared: int, similarity: tuple[int, int]) -> int:
@@ -257,7 +286,11 @@ def signed_sets(
 
 
 def signature_groups(signed: DataFrame) -> DataFrame:
-    """Rows (key, set_id, n, pos, scans) of the signatures that two or more sets share; pos is 0 for subsets."""
+    """Rows (key, set_id, n, pos, scans, rank, members, leaders) of the signatures that two or more sets share.
+
+    pos is 0 for subsets. The first ROUNDS ranks of a group are its leaders: those with the least position, since a set
+    with few rare shingles of its own is nearest to the rest.
+    """
     sets = signed.where("n_shingles > 0").select("set_id", F.col("n_shingles").cast("int").alias("n"), "listed", "scans", "subsets")
     sets = sets.dropDuplicates(["set_id"])
     entries = F.concat(
@@ -266,8 +299,12 @@ def signature_groups(signed: DataFrame) -> DataFrame:
     )
     rows = sets.select("set_id", "n", "scans", F.inline(entries))
     alike = Window.partitionBy("key", F.col("pos") > 0)
-    members = rows.withColumn("members", F.count(F.lit(1)).over(alike)).where("members > 1").drop("members")
-    return materialize(members, "signature-groups")
+    ranked = rows.withColumns(
+        {"members": F.count(F.lit(1)).over(alike), "rank": F.row_number().over(alike.orderBy("pos", F.xxhash64("set_id"), "set_id")) - 1}
+    ).where("members > 1")
+    leader = F.struct("set_id", "n", "pos", "scans")
+    leaders = {f"leader_{r}": F.max(F.when(F.col("rank") == r, leader)).over(alike) for r in range(ROUNDS)}
+    return materialize(ranked.withColumns(leaders), "signature-groups")
 
 
 def _possible(n: Column, pos: Column, other_n: Column, other_pos: Column, similarity: tuple[int, int]) -> Column:
@@ -278,43 +315,52 @@ def _possible(n: Column, pos: Column, other_n: Column, other_pos: Column, simila
     return sizes & (most * (whole + part) >= (n + other_n) * part)
 
 
-def _leader_pairs(groups: DataFrame, labels: DataFrame | None, number: int, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (first, second) of each group's leader with the members that are not in its component yet."""
-    if labels is None:
-        rows = groups.withColumn("label", F.col("set_id"))
-    else:
-        rows = groups.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    alike = Window.partitionBy("key", F.col("pos") > 0)
-    # The first leader has the fewest rare shingles of its own, later ones are drawn.
-    rank = F.struct(F.col("pos") if number == 0 else F.lit(0), F.xxhash64("set_id", F.lit(number)).alias("r"))
-    leader = F.min(F.struct(rank.alias("rank"), "set_id", "n", "pos", "scans", "label")).over(alike)
-    led = rows.withColumn("leader", leader).where(F.col("leader.label") != F.col("label"))
-    scanned = (F.col("pos") == 0) | F.col("scans") | F.col("leader.scans")
-    fits = _possible(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos"), similarity)
-    return led.where(scanned & fits).select(
-        F.least("set_id", "leader.set_id").alias("first"), F.greatest("set_id", "leader.set_id").alias("second")
+def _leader_pairs(groups: DataFrame, number: int, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (first, second) of one leader of each group with the members after it."""
+    leader = F.col(f"leader_{number}")
+    scanned = (F.col("pos") == 0) | F.col("scans") | leader["scans"]
+    fits = _possible(F.col("n"), F.col("pos"), leader["n"], leader["pos"], similarity)
+    return groups.where((F.col("rank") > number) & scanned & fits).select(
+        F.least("set_id", leader["set_id"]).alias("first"), F.greatest("set_id", leader["set_id"]).alias("second")
     ).distinct()
 
 
+def _labelled(df: DataFrame, labels: DataFrame | None, sides: dict[str, str]) -> DataFrame:
+    """Component labels for the sets of some columns; a set without links is its own."""
+    for side, label in sides.items():
+        if labels is None:
+            df = df.withColumn(label, F.col(side))
+            continue
+        named = labels.withColumnsRenamed({"set_id": side, "label": label})
+        df = df.join(named, side, "left").withColumn(label, F.coalesce(label, side))
+    return df
+
+
 def _remaining_pairs(groups: DataFrame, labels: DataFrame, prefixes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """All pairs of a group in different components; one side is never of the component of the group's first leader.
+    """Pairs of the members after all leaders that are in different components.
 
-    A pair is emitted at the first shingle its prefixes share: earlier ones of both must not meet.
+    One side is never of the component of the group's first leader, so the greatest component of a group is not
+    paired with itself. A pair is emitted at the first shingle its prefixes share: earlier ones must not meet.
     """
     alike = Window.partitionBy("key", F.col("pos") > 0)
-    rows = groups.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    split = rows.withColumns(
-        {"main": F.min_by("label", F.struct("pos", "set_id")).over(alike), "low": F.min("label").over(alike), "high": F.max("label").over(alike)}
-    ).where("low != high").select("key", "set_id", "n", "pos", "scans", "label", "main")
-    split = split.join(prefixes, "set_id").withColumn("before", F.slice("listed", F.lit(1), F.greatest(F.col("pos") - 1, F.lit(0))))
-    split = materialize(split.drop("listed"), "split-groups")
-    x, y = split.alias("x"), split.alias("y")
-    apart = x.where("label != main").join(y, (F.col("x.key") == F.col("y.key")) & ((F.col("x.pos") > 0) == (F.col("y.pos") > 0))
+    rest = groups.where((F.col("members") > ROUNDS + 1) & (F.col("rank") >= ROUNDS))
+    main = F.col("leader_0.set_id") if ROUNDS else F.min("set_id").over(alike)
+    rows = _labelled(rest.withColumn("main", main), labels, {"set_id": "label", "main": "main_label"})
+    ends = {"low": F.min("label").over(alike), "high": F.max("label").over(alike)}
+    split = rows.withColumns(ends).where("low != high").select("key", "set_id", "n", "pos", "scans", "label", "main_label")
+    before = F.slice("listed", F.lit(1), F.greatest(F.col("pos") - 1, F.lit(0)))
+    split = split.join(prefixes, "set_id").withColumn("before", before).drop("listed")
+    x, y = split.where("label != main_label").alias("x"), split.alias("y")
+    apart = x.join(
+        y,
+        (F.col("x.key") == F.col("y.key"))
+        & ((F.col("x.pos") > 0) == (F.col("y.pos") > 0))
         & (F.col("x.label") != F.col("y.label"))
-        & ((F.col("y.label") == F.col("y.main")) | (F.col("x.set_id") < F.col("y.set_id")))
+        & ((F.col("y.label") == F.col("y.main_label")) | (F.col("x.set_id") < F.col("y.set_id")))
         & ((F.col("x.pos") == 0) | F.col("x.scans") | F.col("y.scans"))
         & _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), similarity)
-        & ~F.arrays_overlap("x.before", "y.before"))
+        & ~F.arrays_overlap("x.before", "y.before"),
+    )
     return apart.select(
         F.least("x.set_id", "y.set_id").alias("first"), F.greatest("x.set_id", "y.set_id").alias("second")
     ).distinct()
@@ -325,7 +371,8 @@ def near_pairs(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, s
     part, whole = similarity
     pairs = materialize(pairs, "candidate-pairs")
     used = pairs.select(F.col("first").alias("set_id")).unionByName(pairs.select(F.col("second").alias("set_id"))).distinct()
-    wanted = texts.join(used, "set_id", "left_semi").select("text_hash")
+    # Written first: its size decides whether the texts have to be shuffled to find those wanted.
+    wanted = materialize(texts.join(used, "set_id", "left_semi").select("text_hash"), "wanted-texts")
     hashed = docs.select(
         F.col(f"`{text}`").alias("text"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("text_hash")
     )
@@ -336,7 +383,7 @@ def near_pairs(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, s
         return [identities, [s.tobytes() for s in sets]]
 
     found = map_texts(hashed.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]), arrays, "set_id long, hashes binary", "text", ())
-    found = materialize(found.dropDuplicates(["set_id"]), "candidate-sets")
+    found = materialize(found, "candidate-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,14 +406,14 @@ def linked_sets(signed: DataFrame, docs: DataFrame, text: str, size: int, simila
     groups = signature_groups(signed)
     full = signed.where("n_shingles > 0")
     texts = materialize(full.groupBy("set_id").agg(F.min("text_hash").alias("text_hash")), "set-texts")
-    prefixes = full.select("set_id", "listed").join(groups.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
-    checked = None
-    labels = None
+    prefixes = full.select("set_id", "listed").dropDuplicates(["set_id"])
+    checked = labels = None
     for number in range(ROUNDS + 1):
         if number < ROUNDS:
-            pairs = _leader_pairs(groups, labels, number, similarity)
+            pairs = _leader_pairs(groups, number, similarity)
         else:
             pairs = _remaining_pairs(groups, labels, prefixes, similarity)
+        pairs = _labelled(pairs, labels, {"first": "a", "second": "b"}).where("a != b").select("first", "second")
         if checked is not None:
             pairs = pairs.join(checked.select("first", "second"), ["first", "second"], "left_anti")
         now = near_pairs(pairs, docs, texts, text, size, similarity)
