@@ -123,6 +123,64 @@ def association_rules(
     )
 
 
+# Items of one tile: a basket's pairs are made tile against tile, at most TILE x TILE in one row.
+TILE = 64
+
+
+def pair_counts(gathered: DataFrame) -> DataFrame:
+    """Baskets per pair ``(a, b)`` of their items with a < b; ``items`` are sorted arrays.
+
+    A basket is cut into tiles of TILE items. Those of one tile give their pairs at once; longer ones become a row
+    per pair of tiles, dealt out anew, so a basket of any length is spread over tasks and
+    no row holds more than TILE squared pairs. Counts merge before the shuffle.
+    """
+    tiles = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("items") - 1) / TILE).cast("int")),
+        lambda n: F.slice("items", n * TILE + 1, TILE),
+    )
+    short = gathered.where(F.size("items").between(2, TILE)).select(F.col("items").alias("left"), F.col("items").alias("right"))
+    cut = gathered.where(F.size("items") > TILE).select(tiles.alias("tiles"))
+    placed = cut.select("tiles", F.posexplode("tiles").alias("at", "left"))
+    long = placed.select("left", F.explode(F.slice("tiles", F.col("at") + 1, F.size("tiles"))).alias("right"))
+    long = long.repartition(F.xxhash64("left", "right"))
+    pairs = F.flatten(
+        F.transform("left", lambda a: F.transform(F.filter("right", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    )
+    return short.unionByName(long).select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def pair_rules(lines: DataFrame, min_support: float = 0.01, min_lift: float = 1.0) -> DataFrame:
+    """Rules between two single items, from counted pairs: antecedent, consequent, support, confidence, lift.
+
+    The same as the rules of size 2 among all itemsets, without mining these. Items below the support are
+    dropped first, so a basket holds at most (mean basket size / ``min_support``) of them.
+    """
+    items = materialize(order_items(lines), "order-items")
+    orders = items.agg(F.count_distinct("order_id")).first()[0]
+    least = smallest_count(min_support, orders) if orders else 1
+    bought = bought_items(items)
+    single = materialize(
+        bought.groupBy("product_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "frequent-items"
+    )
+    counted = pair_counts(baskets(bought, single.select("product_name"))).where(F.col("freq") >= least)
+    both = counted.unionByName(counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "freq"))
+    left = single.select(F.col("product_name").alias("a"), F.col("n").cast("double").alias("left_freq"))
+    right = single.select(F.col("product_name").alias("b"), F.col("n").cast("double").alias("right_freq"))
+    freq, total = F.col("freq").cast("double"), F.lit(float(orders))
+    return (
+        both.join(left, "a")
+        .join(right, "b")
+        .select(
+            F.col("a").alias("antecedent"),
+            F.col("b").alias("consequent"),
+            (freq / total).alias("support"),
+            (freq / F.col("left_freq")).alias("confidence"),
+            (freq * total / (F.col("left_freq") * F.col("right_freq"))).alias("lift"),
+        )
+        .where(F.col("lift") >= min_lift)
+    )
+
+
 def _splits(sets: DataFrame) -> DataFrame:
     """Rows ``(antecedent, consequent)`` of each set: one per bit mask over its items.
 

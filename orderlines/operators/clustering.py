@@ -1,25 +1,37 @@
-"""K-means on recency, frequency and spend, to check the rule-based segments."""
+"""K-means on recency, frequency and spend, to check the rule-based segments.
+
+Lloyd rounds run over the histogram of the standardized features in whole millionths: equal customers are one weighted
+point, sums are whole numbers, and a round gives the same centres however the rows lie. All
+fits (each number of clusters, each start) advance in the same pass: a task sums its points per fit and cluster,
+those sums merge in the shuffle, and the driver sees one row per fit and cluster.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlines.functions.order_statistics import column_quantiles
 from orderlines.functions.storage import materialize
 
 FEATURES = ["recency", "frequency", "monetary"]
+GRID = [f"g_{name}" for name in FEATURES]
 SEED = 42
-PARALLEL_FITS = 8
-# Distance a centre may still move at the end. Its square, over all centres, is about 1e-4 of the
-# variance of a standardized feature.
-TOLERANCE = 5e-3
+RESTARTS = 10
+#: Whole units of a standard deviation.
+UNIT = 1_000_000
+#: Rounds at most; a fit is at rest earlier when no centre moves.
+ROUNDS = 50
+
+_SUMS = ["sum_r", "sum_f", "sum_m", "weight"]
+
+#: Centres by number of clusters and start.
+Fits = dict[tuple[int, int], list[list[float]]]
 
 
 def feature_moments(customers: DataFrame) -> DataFrame:
@@ -54,58 +66,119 @@ class Clustering:
     inertia: float
 
 
-def _vectors(customers: DataFrame) -> DataFrame:
-    """Standardized vectors in a reproducible layout, cached for the iterations.
-
-    Written in order of customer and read back, so the number of tasks follows from the size.
-    """
-    ordered = materialize(
-        standardize(customers)
-        .select("customer_id", *FEATURES, *[f"z_{c}" for c in FEATURES])
-        .repartitionByRange("customer_id")
-        .sortWithinPartitions("customer_id"),
-        "standardized",
-    )
-    assembler = VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="features")
-    return (
-        assembler.transform(ordered)
-        .select("customer_id", *FEATURES, "features")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+def _grid_columns() -> dict[str, Column]:
+    """The standardized features in whole units."""
+    return {f"g_{name}": F.round(F.col(f"z_{name}") * UNIT).cast("long") for name in FEATURES}
+
+
+def feature_grid(standardized: DataFrame) -> DataFrame:
+    """The distinct points ``g_*`` with their customers ``n``."""
+    return standardized.withColumns(_grid_columns()).groupBy(*GRID).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _starts(points: DataFrame, most: int, restarts: int) -> list[list[list[float]]]:
+    """Per start ``most`` distinct points (all, if fewer), those with the least hash of start and point."""
+    drawn = None
+    for start in range(restarts):
+        place = F.md5(F.concat_ws(":", F.lit(SEED), F.lit(start), *[F.col(c).cast("string") for c in GRID]).cast("binary"))
+        first = points.select(F.lit(start).alias("start"), place.alias("place"), *GRID).orderBy("place").limit(most)
+        drawn = first if drawn is None else drawn.unionByName(first)
+    rows = sorted(drawn.collect(), key=lambda row: (row["start"], row["place"]))
+    return [[[float(row[c]) for c in GRID] for row in rows if row["start"] == start] for start in range(restarts)]
+
+
+def _advance(points: DataFrame, fits: Fits) -> tuple[Fits, dict[tuple[int, int], float]]:
+    """All fits after one round, and what their centres cost before it."""
+    keys = list(fits)
+    centres = [np.array(fits[key]) for key in keys]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((len(c), 4), np.int64) for c in centres]
+        costs = [np.zeros(len(c)) for c in centres]
+        for batch in batches:
+            grid = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            weight = batch.column(3).to_numpy()
+            weighted = np.column_stack([grid * weight[:, None], weight])
+            for fit, centre in enumerate(centres):
+                apart = grid[:, None, :] - centre[None]
+                far = apart[:, :, 0] * apart[:, :, 0] + apart[:, :, 1] * apart[:, :, 1] + apart[:, :, 2] * apart[:, :, 2]
+                cluster = far.argmin(axis=1)
+                costs[fit] += np.bincount(cluster, far[np.arange(len(far)), cluster] * weight, len(centre))
+                for number in range(len(centre)):
+                    sums[fit][number] += weighted[cluster == number].sum(axis=0)
+        rows = [
+            (fit, number, *map(int, sums[fit][number]), float(costs[fit][number]))
+            for fit in range(len(centres))
+            for number in range(len(centres[fit]))
+            if sums[fit][number][3]
+        ]
+        names = ["fit", "number", *_SUMS, "cost"]
+        types = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.float64()]
+        columns = list(zip(*rows)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    schema = "fit int, number int, " + ", ".join(f"{c} long" for c in _SUMS) + ", cost double"
+    merged = (
+        points.select(*GRID, "n")
+        .mapInArrow(add, schema)
+        .groupBy("fit", "number")
+        .agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in _SUMS], F.sum("cost").alias("cost"))
+        .collect()
     )
+    moved = {key: [list(c) for c in fits[key]] for key in keys}
+    costs = dict.fromkeys(keys, 0.0)
+    for row in merged:
+        key = keys[row["fit"]]
+        moved[key][row["number"]] = [float(int(row[c])) / float(int(row["weight"])) for c in _SUMS[:3]]
+        costs[key] += row["cost"]
+    return moved, {key: cost / UNIT**2 for key, cost in costs.items()}
 
 
-def _best_fits(vectors: DataFrame, ks: list[int], restarts: int) -> dict[int, KMeansModel]:
-    """The cheapest of several starts for each number of clusters.
+def best_fits(points: DataFrame, ks: list[int], restarts: int) -> dict[int, tuple[list[list[float]], float]]:
+    """For each number of clusters the cheapest of its starts: centres in order, and inertia.
 
-    Fits do not depend on each other and each is a chain of small jobs, so several are submitted
-    at a time to keep the executors busy.
+    Of starts that cost the same to six places the first one counts.
     """
-
-    @inheritable_thread_target(vectors.sparkSession)
-    def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
-        k, start = task
-        means = KMeans(k=k, seed=SEED + start, maxIter=300, tol=TOLERANCE, predictionCol="cluster")
-        return k, means.fit(vectors)
-
-    with ThreadPool(PARALLEL_FITS) as pool:
-        fitted = pool.map(fit, [(k, start) for k in ks for start in range(restarts)], chunksize=1)
-    return {
-        k: min((m for n, m in fitted if n == k), key=lambda model: model.summary.trainingCost)
-        for k in ks
-    }
-
-
-def cluster_customers(customers: DataFrame, k: int = 4, restarts: int = 10) -> Clustering:
-    """Clusters from the best of several starts, and a row per cluster in original units."""
-    vectors = _vectors(customers)
-    try:
-        model = _best_fits(vectors, [k], restarts)[k]
-        labelled = materialize(
-            model.transform(vectors).select("customer_id", *FEATURES, "cluster"), "clusters"
-        )
-        inertia = model.summary.trainingCost
-    finally:
-        vectors.unpersist()
+    starts = _starts(points, max(ks), restarts)
+    fits: Fits = {(k, n): start[:k] for k in ks for n, start in enumerate(starts) if start}
+    moving, costs = fits, {}
+    for _ in range(ROUNDS):
+        moved, found = _advance(points, moving)
+        fits, costs = {**fits, **moved}, {**costs, **found}
+        # A fit whose centres stay has its final cost already.
+        moving = {key: moved[key] for key in moving if moved[key] != moving[key]}
+        if not moving:
+            break
+    if moving:
+        costs.update(_advance(points, moving)[1])
+    best = {}
+    for k in ks:
+        ranked = sorted((round(costs[key], 6), key[1]) for key in fits if key[0] == k)
+        if ranked:
+            best[k] = sorted(fits[k, ranked[0][1]]), ranked[0][0]
+    return best
+
+
+def _nearest(centres: list[list[float]]) -> Column:
+    """Number of the nearest centre, of equal ones the first."""
+    def far(centre: list[float]) -> Column:
+        r, f, m = (F.col(name) - F.lit(c) for name, c in zip(GRID, centre))
+        return r * r + f * f + m * m
+
+    distances = F.array(*[far(c) for c in centres])
+    return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
+
+
+def cluster_customers(customers: DataFrame, k: int = 4, restarts: int = RESTARTS) -> Clustering:
+    """Clusters from the best of several starts, numbered by their centres, and a row per cluster in original units."""
+    points = materialize(
+        standardize(customers).withColumns(_grid_columns()).select("customer_id", *FEATURES, *GRID), "standardized"
+    )
+    grid = materialize(points.groupBy(*GRID).agg(F.count(F.lit(1)).alias("n")), "grid")
+    found = best_fits(grid, [k], restarts)
+    centres, inertia = found.get(k, ([], 0.0))
+    label = _nearest(centres) if centres else F.lit(None).cast("int")
+    labelled = materialize(points.select("customer_id", *FEATURES, label.alias("cluster")), "clusters")
     medians = column_quantiles(labelled, {c: [0.5] for c in FEATURES})
     centers = labelled.groupBy("cluster").agg(
         *[F.round(F.avg(F.col(c).cast("double")), 1).alias(c) for c in FEATURES],
@@ -128,19 +201,9 @@ def cluster_customers(customers: DataFrame, k: int = 4, restarts: int = 10) -> C
     return Clustering(labelled, centers, round(inertia, 2))
 
 
-def elbow(customers: DataFrame, max_k: int = 8, restarts: int = 10) -> DataFrame:
-    """Sum of squared distances for 1 to ``max_k`` clusters.
-
-    One cluster needs no fit: standardized features that vary each add one per customer.
-    """
-    spark = customers.sparkSession
-    vectors = _vectors(customers)
-    try:
-        spread = feature_moments(customers).collect()
-        alone = float(sum(row["n"] for row in spread if row["std"] and row["std"] > 0))
-        costs = [(1, round(alone, 2))]
-        best = _best_fits(vectors, list(range(2, max_k + 1)), restarts)
-        costs += [(k, round(model.summary.trainingCost, 2)) for k, model in best.items()]
-    finally:
-        vectors.unpersist()
-    return spark.createDataFrame(costs, "k int, inertia double")
+def elbow(customers: DataFrame, max_k: int = 8, restarts: int = RESTARTS) -> DataFrame:
+    """Sum of squared distances for 1 to ``max_k`` clusters; all fits share the passes over the data."""
+    grid = materialize(feature_grid(standardize(customers)), "grid")
+    found = best_fits(grid, list(range(1, max_k + 1)), restarts)
+    costs = [(k, round(inertia, 2)) for k, (_, inertia) in found.items()]
+    return customers.sparkSession.createDataFrame(costs, "k int, inertia double")

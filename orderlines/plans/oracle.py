@@ -669,6 +669,107 @@ ORACLE_SQL["c1_standardized"] = star(
     RFM,
 )
 
+def kmeans(*ks: int) -> str:
+    """The rounds of the clustering, for each number of clusters from ten starts, and the best of these."""
+    far = "list_transform({0}, lambda c: (r - c[1]) * (r - c[1]) + (f - c[2]) * (f - c[2]) + (m - c[3]) * (m - c[3]))"
+    z = ", ".join(
+        f"""CAST(round((CAST({c} AS DOUBLE) - (SELECT avg(CAST({c} AS DOUBLE)) FROM customers))
+             / (SELECT stddev_pop(CAST({c} AS DOUBLE)) FROM customers) * 1000000) AS BIGINT) AS {c[0]}"""
+        for c in ("recency", "frequency", "monetary")
+    )
+    return f"""
+    points AS (SELECT customer_id, recency, frequency, monetary, {z} FROM customers),
+    grid AS (SELECT r, f, m, count(*) AS n FROM points GROUP BY ALL),
+    started AS (
+      SELECT s, r, f, m, row_number() OVER (PARTITION BY s ORDER BY md5('42:' || s || ':' || r || ':' || f || ':' || m)) AS place
+      FROM grid, (SELECT unnest(range(10)) AS s)
+    ),
+    fits AS (
+      SELECT 0 AS round, k, s, list([CAST(r AS DOUBLE), CAST(f AS DOUBLE), CAST(m AS DOUBLE)] ORDER BY place) AS centres
+      FROM started, (SELECT unnest({list(ks)}) AS k) WHERE place <= k GROUP BY k, s
+      UNION ALL
+      SELECT round + 1, k, s, list(coalesce(moved, old) ORDER BY number)
+      FROM (
+        SELECT u.round, u.k, u.s, t.number, u.centres[t.number] AS old, w.moved
+        FROM fits u, (SELECT unnest(range(1, {max(ks) + 1})) AS number) t LEFT JOIN (
+          SELECT k, s, number, [CAST(sum(n * r) AS DOUBLE) / CAST(sum(n) AS DOUBLE), CAST(sum(n * f) AS DOUBLE) / CAST(sum(n) AS DOUBLE),
+                                CAST(sum(n * m) AS DOUBLE) / CAST(sum(n) AS DOUBLE)] AS moved
+          FROM (
+            SELECT k, s, r, f, m, n, list_position(far, list_min(far)) AS number
+            FROM (SELECT k, s, r, f, m, n, {far.format("centres")} AS far FROM grid, fits)
+          ) GROUP BY k, s, number
+        ) w ON w.k = u.k AND w.s = u.s AND w.number = t.number
+        WHERE u.round < 50 AND t.number <= len(u.centres)
+      ) GROUP BY round, k, s
+    ),
+    costs AS (
+      SELECT k, s, round(sum(n * list_min(far)) / 1e12, 6) AS cost
+      FROM (SELECT k, s, n, {far.format("centres")} AS far FROM grid, fits WHERE round = 50) GROUP BY k, s
+    ),
+    best AS (
+      SELECT k, cost, list_sort(centres) AS centres FROM costs JOIN (SELECT * FROM fits WHERE round = 50) USING (k, s)
+      QUALIFY row_number() OVER (PARTITION BY k ORDER BY cost, s) = 1
+    ),
+    labelled AS (
+      SELECT customer_id, recency, frequency, monetary, CAST(list_position(far, list_min(far)) - 1 AS INTEGER) AS cluster
+      FROM (SELECT p.*, {far.format("centres")} AS far FROM points p, best WHERE k = 4)
+    )"""
+
+
+ORACLE_SQL["c2_clusters"] = star(" SELECT customer_id, cluster FROM labelled", RFM, kmeans(4))
+ORACLE_SQL["c3_cluster_profiles"] = star(
+    """ SELECT cluster, recency, frequency, monetary, count, '聚类' || (cluster + 1)
+          || ': R' || CASE WHEN recency < (SELECT median(recency) FROM customers) THEN '近' ELSE '远' END
+          || '/F' || CASE WHEN frequency > (SELECT median(frequency) FROM customers) THEN '高' ELSE '低' END
+          || '/M' || CASE WHEN monetary > (SELECT median(CAST(monetary AS DOUBLE)) FROM customers) THEN '高' ELSE '低' END AS profile,
+          (SELECT round(cost, 2) FROM best WHERE k = 4) AS inertia
+        FROM (SELECT cluster, round(avg(CAST(recency AS DOUBLE)), 1) AS recency, round(avg(CAST(frequency AS DOUBLE)), 1) AS frequency,
+                     round(avg(CAST(monetary AS DOUBLE)), 1) AS monetary, count(*) AS count FROM labelled GROUP BY cluster)""",
+    RFM,
+    kmeans(4),
+)
+ORACLE_SQL["c4_elbow"] = star(" SELECT CAST(k AS INTEGER) AS k, round(cost, 2) AS inertia FROM best", RFM, kmeans(*range(1, 9)))
+ORACLE_SQL["k6_segments_by_cluster"] = star(
+    " SELECT segment, "
+    + ", ".join(f'count(*) FILTER (cluster = {k}) AS "{k}"' for k in range(4))
+    + " FROM segments JOIN labelled USING (customer_id) GROUP BY segment",
+    RFM,
+    kmeans(4),
+)
+# Agreement over the pairs of customers, and over the shares of cells and margins.
+ORACLE_SQL["c5_segment_agreement"] = star(
+    """, labels AS (SELECT segment AS a, cluster AS b FROM segments JOIN labelled USING (customer_id)),
+        cells AS (SELECT a, b, count(*) AS n FROM labels GROUP BY ALL),
+        per_a AS (SELECT a, sum(n) AS n, max(n) AS top FROM cells GROUP BY a),
+        per_b AS (SELECT b, sum(n) AS n, max(n) AS top FROM cells GROUP BY b),
+        whole AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM cells),
+        pairs AS (
+          SELECT (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / 2 FROM cells) AS ab, (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / 2 FROM per_a) AS a,
+                 (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / 2 FROM per_b) AS b, n * (n - 1) / 2 AS every FROM whole
+        ),
+        bits AS (
+          SELECT (SELECT sum(c.n / w.n * ln(c.n * w.n / (per_a.n * per_b.n))) FROM cells c JOIN per_a USING (a) JOIN per_b USING (b), whole w) AS mi,
+                 (SELECT -sum(p.n / w.n * ln(p.n / w.n)) FROM per_a p, whole w) AS ha, (SELECT -sum(p.n / w.n * ln(p.n / w.n)) FROM per_b p, whole w) AS hb
+        ),
+        measures AS (
+          SELECT 'rand' AS measure, (every - a - b + 2 * ab) / every AS value FROM pairs
+          UNION ALL SELECT 'adjusted_rand', (ab - a * b / every) / ((a + b) / 2 - a * b / every) FROM pairs
+          UNION ALL SELECT 'mutual_information', mi FROM bits
+          UNION ALL SELECT 'normalized_information', 2 * mi / (ha + hb) FROM bits
+          UNION ALL SELECT 'homogeneity', mi / ha FROM bits
+          UNION ALL SELECT 'completeness', mi / hb FROM bits
+          UNION ALL SELECT 'purity', (SELECT sum(top) FROM per_b) / n FROM whole
+          UNION ALL SELECT 'inverse_purity', (SELECT sum(top) FROM per_a) / n FROM whole
+          UNION ALL SELECT 'cramers_v', sqrt(sum(pow(c.n - per_a.n * per_b.n / w.n, 2) / (per_a.n * per_b.n / w.n)) FILTER (true)
+                      / any_value(w.n) / (least((SELECT count(*) FROM per_a), (SELECT count(*) FROM per_b)) - 1))
+            + 0 FROM (SELECT per_a.a, per_b.b, coalesce(cells.n, 0) AS n FROM per_a, per_b LEFT JOIN cells ON cells.a = per_a.a AND cells.b = per_b.b) c
+            JOIN per_a ON per_a.a = c.a JOIN per_b ON per_b.b = c.b, whole w
+        )
+        SELECT measure, round(value, 6) AS value FROM measures""",
+    RFM,
+    kmeans(4),
+)
+
 # ---- baskets ----
 
 

@@ -16,6 +16,7 @@ from orderlines.functions.expressions import day_text
 from orderlines.functions.order_statistics import Ordering
 from orderlines.functions.storage import materialize, new_path
 from orderlines.operators import (
+    agreement,
     basket,
     cleaning,
     clustering,
@@ -543,6 +544,13 @@ def k6_segments_by_cluster(spark, sf_dir):
     )
 
 
+@query
+def c5_segment_agreement(spark, sf_dir):
+    segments = materialize(_segments(spark, sf_dir), "segments")
+    clusters = clustering.cluster_customers(segments).customers.select("customer_id", "cluster")
+    return flat(agreement.agreement(segments.join(clusters, "customer_id"), "segment", "cluster"), {"value": 6})
+
+
 # ---- baskets --------------------------------------------------------------------------------
 
 
@@ -577,14 +585,8 @@ def m4_top_rules(spark, sf_dir):
 
 @query
 def m5_pair_rules(spark, sf_dir):
-    rules = basket.association_rules(_itemsets(spark, sf_dir, PAIR_SUPPORT), 1.0, size=2)
-    return rules.select(
-        F.element_at("antecedent", 1).alias("antecedent"),
-        F.element_at("consequent", 1).alias("consequent"),
-        F.round("support", 6).alias("support"),
-        F.round("confidence", 6).alias("confidence"),
-        F.round("lift", 6).alias("lift"),
-    )
+    rules = basket.pair_rules(star_lines(spark, sf_dir), PAIR_SUPPORT)
+    return flat(rules, {"support": 6, "confidence": 6, "lift": 6})
 
 
 # ---- forecasts ------------------------------------------------------------------------------
