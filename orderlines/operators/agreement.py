@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlines.functions.storage import materialize
+
 COUNT = "decimal(38,0)"
 
 
@@ -34,7 +36,7 @@ def agreement(df: DataFrame, first: str, second: str) -> DataFrame:
 
     The rows are read once. All that follows works on one row per cell, which merge before the shuffle.
     """
-    cells = contingency(df, first, second)
+    cells = materialize(contingency(df, first, second), "cells")
 
     def margin(side: str) -> DataFrame:
         return cells.groupBy(side).agg(F.sum("n").alias(f"n_{side}"), F.max("n").alias(f"top_{side}"))

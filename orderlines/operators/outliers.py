@@ -1,13 +1,19 @@
-"""Unusual orders by an isolation forest (Liu, Ting and Zhou, 2008)."""
+"""Unusual orders by an isolation forest (Liu, Ting and Zhou, 2008).
+
+All chance comes from MD5: which orders a tree draws, and which feature a node splits where. So a forest is a
+function of the orders, published as a table of nodes, and any engine can grow and walk the same one.
+Leaves hold their path length in whole millionths, so the sum over trees does not depend on its order.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlines.functions.expressions import first_value, total, with_calendar
@@ -19,6 +25,12 @@ FEATURES = ["total_amount", "item_count", "total_quantity", "avg_unit_price", "d
 TREES = 100
 SAMPLE = 256
 SEED = 42
+#: Hex digits of a draw, and draws that one digest gives.
+DRAW_DIGITS = 8
+DRAWS = 32 // DRAW_DIGITS
+#: Whole units of a path length, and decimals of a score.
+PATH_UNIT = 1_000_000
+SCORE_DECIMALS = 9
 
 
 def order_features(lines: DataFrame) -> DataFrame:
@@ -64,12 +76,8 @@ def isolation_forest(
     Each of ``trees`` trees is grown on ``sample`` orders of its own, to a depth of log2 of that.
     """
     orders = materialize(order_features(lines), "order-features")
-    depth = max(1, ceil(log2(sample)))
-    nodes = _grow(orders, trees, sample, depth)
-    scored = materialize(
-        orders.withColumn("anomaly_score", _scorer(nodes, depth)(*[F.col(c).cast("double") for c in FEATURES])),
-        "scores",
-    )
+    nodes = grow_forest(orders, trees, sample)
+    scored = materialize(score_orders(orders, nodes), "scores")
     (cut,) = column_quantiles(scored, {"anomaly_score": [contamination]})["anomaly_score"]
     strange = F.col("anomaly_score") < F.lit(cut).cast("double")
     return scored.withColumn("anomaly_label", F.when(strange, -1).otherwise(1)).withColumn(
@@ -77,46 +85,44 @@ def isolation_forest(
     )
 
 
-def _uniform(*keys: Column) -> Column:
-    """A number in [0, 1) that depends on the keys only, not on where a row is stored."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) / float(1 << 52)
+#: The nodes of a forest: root 1, children 2n (at most split) and 2n + 1. ``feature`` counts from 0 and is -1 at a
+#: leaf; ``size`` is the sample's rows at the node, ``sample`` those of the tree, ``path`` a leaf's path length in PATH_UNIT.
+NODES = "tree int, node int, feature int, split double, size int, sample int, path long"
 
 
-def _grow(orders: DataFrame, trees: int, sample: int, depth: int) -> pd.DataFrame:
-    """Nodes of all trees: at most trees * 2 * sample rows, whatever the number of orders.
+def grow_forest(orders: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+    """The node table of a forest: at most trees * 2 * sample rows, whatever the number of orders.
 
-    Each tree draws by a hash of tree and order. About twice the sample passes per tree, of which
-    the tree keeps the smallest hashes, so samples are exact in size and independent of the
+    Each tree draws by a digest of tree and order. About twice the sample passes per tree, of which
+    the tree keeps the smallest draws, so samples are exact in size and independent of the
     partitioning. An order is repeated only for the trees that drew it.
     """
-    share = min(1.0, 2 * sample / max(1, orders.count()))
-
-    def draw(tree: Column) -> Column:
-        return _uniform(F.lit(SEED), tree, F.col("order_id"))
-
-    drawn_by = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < share)
-    members = (
-        orders.select("order_id", *[F.col(c).cast("double").alias(c) for c in FEATURES], drawn_by.alias("trees"))
-        .where(F.size("trees") > 0)
-        .withColumn("tree", F.explode("trees"))
-        .drop("trees")
-        .withColumn("draw", draw(F.col("tree")))
+    share = 2 * sample / max(1, orders.count())
+    # Below all draws there are, or below the share of them.
+    bound = "g" if share >= 1 else f"{int(share * 16**DRAW_DIGITS):0{DRAW_DIGITS}x}"
+
+    def draws(block):
+        digest = F.md5(F.concat_ws(":", F.lit(SEED), block.cast("string"), F.col("order_id").cast("string")).cast("binary"))
+        pieces = F.split(digest, f"(?<=\\G.{{{DRAW_DIGITS}}})")
+        return F.transform(pieces, lambda piece, at: F.struct((block * DRAWS + at).alias("tree"), piece.alias("draw")))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((trees - 1) // DRAWS)), draws))
+    drawn = F.filter(every, lambda d: (d["tree"] < trees) & (F.length(d["draw"]) > 0) & (d["draw"] < bound))
+    members = orders.select("order_id", *FEATURES, F.inline(drawn)).withColumns(
+        {"order_id": F.col("order_id").cast("string"), **{c: F.col(c).cast("double") for c in FEATURES}}
     )
-    return members.groupBy("tree").applyInPandas(_tree_builder(sample, depth), NODES).toPandas()
-
-
-NODES = "tree int, node int, feature int, split double, size int, sample int"
+    depth = max(1, ceil(log2(sample)))
+    return members.groupBy("tree").applyInPandas(_tree_builder(sample, depth), NODES)
 
 
 def _tree_builder(sample: int, limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Builds one tree from the drawn orders of its group, about twice the sample."""
-    features, seed = FEATURES, SEED
+    features = FEATURES
 
     def build(drawn: pd.DataFrame) -> pd.DataFrame:
         tree = int(drawn["tree"].iloc[0])
         chosen = drawn.sort_values(["draw", "order_id"]).head(sample)
         points = chosen[features].to_numpy(dtype=float)
-        random = np.random.default_rng([seed, tree])
         nodes = []
         open_nodes = [(1, np.arange(len(points)), 0)]
         while open_nodes:
@@ -124,19 +130,21 @@ def _tree_builder(sample: int, limit: int) -> Callable[[pd.DataFrame], pd.DataFr
             low, high = points[rows].min(axis=0), points[rows].max(axis=0)
             varying = np.flatnonzero(high > low)
             feature, split = -1, 0.0
+            path = round((depth + float(_mean_path(len(rows)))) * PATH_UNIT)
             if depth < limit and len(rows) > 1 and len(varying):
-                feature = int(random.choice(varying))
-                split = float(random.uniform(low[feature], high[feature]))
+                digest = hashlib.md5(f"node:{SEED}:{tree}:{node}".encode()).hexdigest()
+                feature = int(varying[int(digest[:8], 16) % len(varying)])
+                split = float(low[feature] + int(digest[8:21], 16) / 2**52 * (high[feature] - low[feature]))
                 left = points[rows, feature] <= split
                 open_nodes.append((2 * node, rows[left], depth + 1))
                 open_nodes.append((2 * node + 1, rows[~left], depth + 1))
-            nodes.append((tree, node, feature, split, len(rows), len(points)))
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "split", "size", "sample"])
+            nodes.append((tree, node, feature, split, len(rows), len(points), path))
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "split", "size", "sample", "path"])
 
     return build
 
 
-def _mean_path(n: np.ndarray) -> np.ndarray:
+def _mean_path(n) -> np.ndarray:
     """Mean path length of an unsuccessful search among n points."""
     n = np.asarray(n, dtype=float)
     harmonic = np.log(np.maximum(n - 1, 1)) + np.euler_gamma
@@ -144,19 +152,22 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def _scorer(nodes: pd.DataFrame, depth: int):
+def score_orders(orders: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``orders`` with ``anomaly_score``: all trees of a node table are walked without a join."""
+    return orders.withColumn("anomaly_score", _scorer(nodes.toPandas())(*[F.col(c).cast("double") for c in FEATURES]))
+
+
+def _scorer(nodes: pd.DataFrame):
     """Pandas UDF that walks a batch of orders down all trees at once, level by level."""
-    slots = 2 << depth
+    slots = int(nodes["node"].max()) + 1 if len(nodes) else 2
+    depth = slots.bit_length() - 1
     trees = sorted(nodes["tree"].unique()) if len(nodes) else []
     place = {tree: i for i, tree in enumerate(trees)}
     feature = np.full((len(trees), slots), -1, dtype=np.int64)
     split = np.zeros((len(trees), slots))
-    leaf = np.zeros((len(trees), slots))
+    path = np.zeros((len(trees), slots), dtype=np.int64)
     index = (nodes["tree"].map(place).to_numpy(dtype=int), nodes["node"].to_numpy(dtype=int))
-    feature[index] = nodes["feature"]
-    split[index] = nodes["split"]
-    levels = np.floor(np.log2(nodes["node"].to_numpy(dtype=float)))
-    leaf[index] = levels + _mean_path(nodes["size"].to_numpy())
+    feature[index], split[index], path[index] = nodes["feature"], nodes["split"], nodes["path"]
     samples = nodes.groupby("tree")["sample"].first()
     scale = float(_mean_path(samples.to_numpy()).mean()) if len(samples) else 0.0
     scale = scale if scale > 0 else 1.0
@@ -166,15 +177,16 @@ def _scorer(nodes: pd.DataFrame, depth: int):
         for columns in batches:
             points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             rows = np.arange(len(points))
-            path = np.zeros(len(points))
+            paths = np.zeros(len(points), dtype=np.int64)
             for t in range(len(feature)):
                 node = np.ones(len(points), dtype=np.int64)
                 for _ in range(depth):
                     f = feature[t, node]
                     right = points[rows, f] > split[t, node]
                     node = np.where(f >= 0, 2 * node + right, node)
-                path += leaf[t, node]
-            yield pd.Series(-np.exp2(-path / max(len(feature), 1) / scale))
+                paths += path[t, node]
+            mean = paths / PATH_UNIT / max(len(feature), 1)
+            yield pd.Series(np.round(-np.exp2(-mean / scale), SCORE_DECIMALS))
 
     return score
 

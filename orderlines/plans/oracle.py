@@ -856,6 +856,69 @@ ORACLE_SQL["d1_order_features"] = star(
         first(is_weekend ORDER BY line_no, is_weekend) AS is_weekend FROM lines GROUP BY order_id"""
 )
 
+# The forest: draws and splits come from MD5, trees are grown level by level and walked from the node table.
+_LEAF = "CASE WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649015329) - 2 * CAST(n - 1 AS DOUBLE) / n WHEN n = 2 THEN 1 ELSE 0 END"
+FOREST = f"""
+    features AS (
+      SELECT order_id, [CAST(sum(actual_amount) AS DOUBLE), CAST(count(DISTINCT product_name) AS DOUBLE), CAST(sum(quantity) AS DOUBLE),
+                        CAST(sum(unit_price) AS DOUBLE) / count(unit_price), CAST(sum(discount) AS DOUBLE)] AS x
+      FROM lines GROUP BY order_id
+    ),
+    sampled AS (
+      SELECT t, x, row_number() OVER (PARTITION BY t ORDER BY substr(md5('42:' || t // 4 || ':' || order_id), 8 * (t % 4) + 1, 8), order_id) AS place
+      FROM features, (SELECT unnest(range(100)) AS t)
+    ),
+    grown AS (
+      SELECT t, x, 1 AS node, 0 AS depth FROM sampled WHERE place <= 256
+      UNION ALL
+      SELECT t, x, CAST(2 * node + CASE WHEN x[chosen] <= low[chosen] + u * (high[chosen] - low[chosen]) THEN 0 ELSE 1 END AS INTEGER), depth + 1
+      FROM (
+        SELECT *, varying[CAST('0x' || substr(h, 1, 8) AS BIGINT) % len(varying) + 1] AS chosen, CAST('0x' || substr(h, 9, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+        FROM (
+          SELECT *, list_filter([1, 2, 3, 4, 5], lambda i: high[i] > low[i]) AS varying, md5('node:42:' || t || ':' || node) AS h
+          FROM (
+            SELECT t, x, node, depth, count(*) OVER w AS n,
+                   [min(x[1]) OVER w, min(x[2]) OVER w, min(x[3]) OVER w, min(x[4]) OVER w, min(x[5]) OVER w] AS low,
+                   [max(x[1]) OVER w, max(x[2]) OVER w, max(x[3]) OVER w, max(x[4]) OVER w, max(x[5]) OVER w] AS high
+            FROM grown WINDOW w AS (PARTITION BY t, node)
+          )
+        ) WHERE depth < 8 AND n > 1 AND len(varying) > 0
+      )
+    ),
+    sizes AS (
+      SELECT t, node, depth, count(*) AS n, [min(x[1]), min(x[2]), min(x[3]), min(x[4]), min(x[5])] AS low,
+             [max(x[1]), max(x[2]), max(x[3]), max(x[4]), max(x[5])] AS high
+      FROM grown GROUP BY t, node, depth
+    ),
+    nodes AS (
+      SELECT t, node, CAST(round((depth + {_LEAF}) * 1000000) AS BIGINT) AS path, depth < 8 AND n > 1 AND len(varying) > 0 AS inner_node,
+             varying[CAST('0x' || substr(h, 1, 8) AS BIGINT) % greatest(len(varying), 1) + 1] AS chosen,
+             CAST('0x' || substr(h, 9, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u, low, high
+      FROM (SELECT *, list_filter([1, 2, 3, 4, 5], lambda i: high[i] > low[i]) AS varying, md5('node:42:' || t || ':' || node) AS h FROM sizes)
+    ),
+    splits AS (SELECT t, node, path, inner_node, chosen, low[chosen] + u * (high[chosen] - low[chosen]) AS split FROM nodes),
+    walk AS (
+      SELECT order_id, x, t, 1 AS node FROM features, (SELECT DISTINCT t FROM splits)
+      UNION ALL
+      SELECT order_id, x, w.t, CAST(2 * w.node + CASE WHEN x[chosen] <= split THEN 0 ELSE 1 END AS INTEGER)
+      FROM walk w JOIN splits s ON s.t = w.t AND s.node = w.node WHERE inner_node
+    ),
+    rated AS (
+      SELECT order_id, round(-pow(2, -(sum(path) / 1000000.0::DOUBLE / 100 / (SELECT {_LEAF} FROM sizes WHERE node = 1 LIMIT 1))), 9) AS anomaly_score
+      FROM walk w JOIN splits s ON s.t = w.t AND s.node = w.node WHERE NOT inner_node GROUP BY order_id
+    ),
+    forest AS (SELECT order_id, anomaly_score, anomaly_score < (SELECT quantile_cont(anomaly_score, 0.05) FROM rated) AS is_anomaly FROM rated)"""
+ORACLE_SQL["d2_isolation_forest"] = star(
+    " SELECT order_id, anomaly_score, CAST(CASE WHEN is_anomaly THEN -1 ELSE 1 END AS INTEGER) AS anomaly_label, is_anomaly FROM forest", FOREST
+)
+ORACLE_SQL["d3_verdicts"] = star(
+    """ SELECT order_id, anomaly_score, by_amount, is_anomaly AS by_forest,
+          CASE WHEN by_amount AND is_anomaly THEN 'both' WHEN by_amount THEN 'amount only' WHEN is_anomaly THEN 'forest only' ELSE 'normal' END AS verdict
+        FROM (SELECT *, order_id IN (SELECT order_id FROM outlying) AS by_amount FROM forest)""",
+    BOUNDS,
+    FOREST,
+)
+
 # ---- diagnosis ----
 
 
