@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -58,26 +59,25 @@ SMALL_LIMIT = 256
 #: Bits of a hash that tell shingles apart while they are counted.
 SLOT_BITS = 40
 CHUNK_SHINGLES = 1 << 21
-KNOWN_WORDS = 1 << 18
+#: Length of the tables of powers, unless a text is longer.
+TABLE_BYTES = 1 << 18
+#: Texts that are looked up by a broadcast of their hashes; more are found by a shuffle of the texts.
+BROADCAST_TEXTS = 1 << 21
 BUCKET_SHINGLES = 4_000_000
 HISTOGRAM_GROUPS = 16
 COUNTS = "kind int, key long, n long, squares long"
 LEVEL, SIZE, TOTAL = 0, 1, 2
 
 
-class _WordHashes(dict):
-    """Hashes of words, remembered up to a bound."""
+#: A number per byte, and an odd base, for hashes of byte ranges.
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([byte]), SEED) for byte in range(256)], np.uint64)
+_BASE = xxhash.xxh64_intdigest(b"base", SEED) | 1
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return value
 
-
-_WORDS = _WordHashes()
-#: One odd factor per place of a shingle.
-_FACTORS = np.array([xxhash.xxh64_intdigest(bytes([place]), SEED) | 1 for place in range(64)], np.uint64)
+@lru_cache(maxsize=1)
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    return tuple(np.cumprod(np.full(length, base, np.uint64)) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -90,18 +90,24 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 def shingle_set(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; the whole sequence where there are fewer words.
 
-    A shingle's hash mixes the sum of its words' hashes, each times the factor of its place, and its length.
+    A shingle is a range of the space-joined words. Its hash mixes its length and the sum of its bytes' numbers, each
+    times a power of the base; sums of ranges are differences of running sums.
     """
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     size = min(size, len(words))
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    joined = np.frombuffer(b" ".join(words), np.uint8)
+    powers, inverses = _powers(max(TABLE_BYTES, 1 << len(joined).bit_length()))
+    sums = np.zeros(len(joined) + 1, np.uint64)
+    np.cumsum(_BYTES[joined] * powers[: len(joined)], out=sums[1:])
+    gaps = np.flatnonzero(joined == 32)
     count = len(words) - size + 1
-    sums = np.full(count, size, np.uint64)
-    for place in range(size):
-        sums += hashes[place : place + count] * _FACTORS[place]
-    return np.unique(_mixed(sums))
+    starts = np.concatenate(([0], gaps + 1))[:count]
+    ends = np.concatenate((gaps, [len(joined)]))[size - 1 :]
+    hashes = _mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    hashes.sort()
+    return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))]
 
 
 def prefix_length(size: int, shared: int, similarity: tuple[int, int]) -> int:
@@ -371,8 +377,9 @@ def near_pairs(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, s
     part, whole = similarity
     pairs = materialize(pairs, "candidate-pairs")
     used = pairs.select(F.col("first").alias("set_id")).unionByName(pairs.select(F.col("second").alias("set_id"))).distinct()
-    # Written first: its size decides whether the texts have to be shuffled to find those wanted.
     wanted = materialize(texts.join(used, "set_id", "left_semi").select("text_hash"), "wanted-texts")
+    if wanted.count() <= BROADCAST_TEXTS:
+        wanted = F.broadcast(wanted)
     hashed = docs.select(
         F.col(f"`{text}`").alias("text"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("text_hash")
     )
