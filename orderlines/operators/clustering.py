@@ -53,9 +53,10 @@ def standardize(customers: DataFrame) -> DataFrame:
     """``z_`` columns with mean 0 and population deviation 1; a constant feature becomes 0."""
     moments = {row["feature"]: row for row in feature_moments(customers).collect()}
     columns = {}
-    for name, row in moments.items():
-        scale = row["std"] if row["std"] and row["std"] > 0 else 1.0
-        columns[f"z_{name}"] = (F.col(name).cast("double") - row["mean"]) / scale
+    for name in FEATURES:
+        # No customers, no moments.
+        mean, std = (moments[name]["mean"], moments[name]["std"]) if name in moments else (0.0, 1.0)
+        columns[f"z_{name}"] = (F.col(name).cast("double") - mean) / (std if std and std > 0 else 1.0)
     return customers.where(F.col("recency").isNotNull()).withColumns(columns)
 
 

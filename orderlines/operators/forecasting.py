@@ -1,21 +1,27 @@
 """Revenue forecast by a random forest on lagged days, for many series at once.
 
+The fitted forest is published as a table of nodes. Errors and forecasts are read off it: a batch of series takes
+all its steps in one pass, each prediction becoming a lag of the next.
+
 A series has one row per day with orders: columns ``series``, ``date`` and ``revenue``. All
 windows run within a series, so a task holds at most one calendar of one series.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderlines.functions.expressions import weekend_flag
-from orderlines.functions.storage import materialize
+from orderlines.functions.storage import materialize, new_path
 
 LAGS = (1, 2, 3, 7)
 WEEK = 7
@@ -74,10 +80,64 @@ def lag_features(daily: DataFrame) -> DataFrame:
     )
 
 
+#: Nodes of a forest, per tree from root 0: left where the feature is at most the threshold; feature -1 at a leaf.
+NODES = ["tree", "node", "feature", "threshold", "left", "right", "prediction"]
+
+
 @dataclass(frozen=True)
 class Forecast:
+    """``nodes`` is None where no series was long enough for a forest."""
+
     days: DataFrame
     quality: DataFrame
+    nodes: DataFrame | None = None
+
+
+def scaled_series(daily: DataFrame) -> DataFrame:
+    """Every series as shares of its mean day, with that mean as ``scale``."""
+    scales = daily.groupBy("series").agg(F.avg("revenue").alias("mean")).select(
+        "series", F.when(F.abs("mean") > 0, F.abs("mean")).otherwise(1.0).alias("scale")
+    )
+    return daily.join(scales, "series").withColumn("revenue", F.col("revenue") / F.col("scale"))
+
+
+def forest_nodes(model: RandomForestRegressionModel) -> DataFrame:
+    """The node table of a fitted forest; at most trees x 2^(depth + 1) rows."""
+    spark = SparkSession.getActiveSession()
+    path = new_path(spark, "forest")
+    model.write().save(path)
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        F.col("nodeData.id").alias("node"),
+        F.col("nodeData.split.featureIndex").alias("feature"),
+        F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
+        F.col("nodeData.leftChild").alias("left"),
+        F.col("nodeData.rightChild").alias("right"),
+        F.col("nodeData.prediction").alias("prediction"),
+    )
+
+
+def _walker(nodes: pd.DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Mean prediction of all trees for the rows of a feature matrix."""
+    trees, slots = int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1
+    at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
+    feature, left, right = (np.full((trees, slots), -1, np.int64) for _ in range(3))
+    threshold, prediction = np.zeros((trees, slots)), np.zeros((trees, slots))
+    for table, name in ((feature, "feature"), (left, "left"), (right, "right"), (prediction, "prediction")):
+        table[at] = nodes[name]
+    threshold[at] = nodes["threshold"].fillna(0.0)
+
+    def predict(points: np.ndarray) -> np.ndarray:
+        rows, total = np.arange(len(points)), np.zeros(len(points))
+        for tree in range(trees):
+            node = np.zeros(len(points), np.int64)
+            while (inner := feature[tree, node] >= 0).any():
+                down = points[rows, feature[tree, node]] <= threshold[tree, node]
+                node = np.where(inner, np.where(down, left[tree, node], right[tree, node]), node)
+            total += prediction[tree, node]
+        return total / trees
+
+    return predict
 
 
 def forecast(daily: DataFrame, days: int = 14) -> Forecast:
@@ -88,16 +148,11 @@ def forecast(daily: DataFrame, days: int = 14) -> Forecast:
     see the scale of a single series.
     """
     history = materialize(daily, "series")
-    scales = history.groupBy("series").agg(F.avg("revenue").alias("mean")).select(
-        "series", F.when(F.abs("mean") > 0, F.abs("mean")).otherwise(1.0).alias("scale")
-    )
     lengths = history.groupBy("series").agg(F.count(F.lit(1)).alias("n_days"))
     short = lengths.where(F.col("n_days") < MIN_ROWS).select("series")
     simple = mean_forecast(history.join(short, "series", "left_semi"), days)
 
-    scaled = materialize(
-        history.join(scales, "series").withColumn("revenue", F.col("revenue") / F.col("scale")), "scaled-series"
-    )
+    scaled = materialize(scaled_series(history), "scaled-series")
     training = lag_features(scaled.drop("scale")).where(F.col("n_days") >= MIN_ROWS)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     # Written in order and read back, so the number of tasks follows from the size.
@@ -131,10 +186,20 @@ def forecast(daily: DataFrame, days: int = 14) -> Forecast:
             maxBins=128,
             seed=SEED,
         ).fit(vectors)
-        errors = materialize(_training_errors(model.transform(vectors).join(scales, "series")), "errors")
     finally:
         vectors.unpersist()
-    predicted = _recursive(model, assembler, scaled, errors, days)
+    nodes = forest_nodes(model)
+    walk = _walker(nodes.toPandas())
+
+    @F.pandas_udf("double")
+    def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series(walk(np.column_stack([c.to_numpy(dtype=float) for c in columns])))
+
+    scales = scaled.select("series", "scale").distinct()
+    fitted = ordered.withColumn("prediction", predict(*[F.col(c).cast("double") for c in FEATURES])).join(scales, "series")
+    errors = materialize(_training_errors(fitted), "errors")
+    predicted = _ahead(walk, scaled, errors, days)
     quality = errors.select(
         "series",
         F.round("mape", 2).alias("mape"),
@@ -143,7 +208,7 @@ def forecast(daily: DataFrame, days: int = 14) -> Forecast:
         F.lit(days).alias("forecast_days"),
         F.lit(len(FEATURES)).alias("n_features"),
     )
-    return Forecast(predicted.unionByName(simple), quality.unionByName(fallback))
+    return Forecast(predicted.unionByName(simple), quality.unionByName(fallback), nodes)
 
 
 def _training_errors(fitted: DataFrame) -> DataFrame:
@@ -155,17 +220,37 @@ def _training_errors(fitted: DataFrame) -> DataFrame:
     )
 
 
-def _recursive(
-    model: RandomForestRegressionModel,
-    assembler: VectorAssembler,
-    history: DataFrame,
-    errors: DataFrame,
-    days: int,
-) -> DataFrame:
+def _steps(
+    walk: Callable[[np.ndarray], np.ndarray], last: np.ndarray, n_days: np.ndarray, ring: np.ndarray, days: int
+) -> np.ndarray:
+    """Predictions of ``days`` days for many series: rows of ``ring`` are their last seven values."""
+    found = []
+    for step in range(1, days + 1):
+        day = last + step
+        date = day.astype("datetime64[D]")
+        month = date.astype("datetime64[M]")
+        weekday = (day + 3) % 7
+        mean = sum(ring[:, k] for k in range(WEEK)) / WEEK
+        squares = sum((ring[:, k] - mean) ** 2 for k in range(WEEK))
+        features = {
+            "day_num": n_days - 1 + step,
+            "month": month.astype(np.int64) % 12 + 1,
+            "is_weekend": weekday >= 5,
+            "day_of_month": (date - month.astype("datetime64[D]")).astype(np.int64) + 1,
+            **{f"lag_{k}": ring[:, -k] for k in LAGS},
+            "rolling_mean_7": mean,
+            "rolling_std_7": np.sqrt(squares / (WEEK - 1)),
+            **{f"wd_{k}": weekday == k for k in range(WEEK)},
+        }
+        found.append(walk(np.column_stack([features[name].astype(float) for name in FEATURES])))
+        ring = np.column_stack([ring[:, 1:], found[-1]])
+    return np.column_stack(found)
+
+
+def _ahead(walk: Callable[[np.ndarray], np.ndarray], history: DataFrame, errors: DataFrame, days: int) -> DataFrame:
     """Predict day after day; each prediction is a lag of the next day.
 
-    The state is one row per series with its last seven values, so all series move on together.
-    It is written every seven days to keep the plan short.
+    One row per series holds its last seven values; a batch of series takes all steps at once.
     """
     recent = Window.partitionBy("series").orderBy(F.desc("date"))
     state = (
@@ -180,37 +265,15 @@ def _recursive(
             F.sort_array(F.collect_list(F.struct("date", "revenue")))["revenue"].alias("ring"),
         )
         .join(errors.select("series", "residual_std"), "series")
-        .withColumn("steps", F.array().cast("array<double>"))
-    )
-    ring = F.col("ring")
-    mean = F.aggregate(ring, F.lit(0.0), lambda total, x: total + x) / WEEK
-    squares = F.aggregate(
-        F.transform(ring, lambda x: F.pow(x - F.col("rolling_mean_7"), F.lit(2))),
-        F.lit(0.0),
-        lambda total, x: total + x,
     )
-    kept = ["series", "last_date", "n_days", "scale", "residual_std", "ring", "steps"]
-    for step in range(1, days + 1):
-        date = F.date_add("last_date", step)
-        features = (
-            state.withColumns(
-                {
-                    "day_num": F.col("n_days") - 1 + step,
-                    **_calendar_features(date),
-                    **{f"lag_{k}": F.element_at(ring, -k) for k in LAGS},
-                    "rolling_mean_7": mean,
-                }
-            )
-            .withColumn("rolling_std_7", F.sqrt(squares / (WEEK - 1)))
-        )
-        state = (
-            model.transform(assembler.transform(features))
-            .withColumn("ring", F.slice(F.concat(ring, F.array("prediction")), 2, WEEK))
-            .withColumn("steps", F.concat("steps", F.array("prediction")))
-            .select(*kept)
-        )
-        if step % WEEK == 0 and step < days:
-            state = materialize(state, "forecast-state")
+
+    @F.pandas_udf("array<double>")
+    def steps(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for last, n_days, ring in batches:
+            values = np.array(ring.tolist(), dtype=float).reshape(len(ring), WEEK)
+            yield pd.Series(list(_steps(walk, last.to_numpy(np.int64), n_days.to_numpy(np.int64), values, days)))
+
+    state = state.withColumn("steps", steps(F.unix_date("last_date").cast("long"), "n_days", "ring"))
     margin = F.col("residual_std") * 1.96
 
     def shown(value: Column) -> Column:

@@ -174,10 +174,10 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: counts, most frequent value, moments and quartiles.
 
     Numbers have moments, from one plain aggregate; NaN counts as missing. Other types have a most
-    frequent value (the smallest on ties), from their values counted as ``(column, text, value,
-    n)``; numbers are in that table for their distinct values only. ``approx`` takes those, and the
-    quartiles, from sketches, so that no numeric column is counted value by value. Times are
-    profiled as text. ``df`` is read several times, so pass one that comes from a table.
+    frequent value (the smallest on ties). Values are counted column by column, each read alone, so equal values merge
+    before the shuffle and a column with few values sends few rows; numbers are counted for their distinct
+    values only. ``approx`` takes those, and the quartiles, from sketches, so that no numeric column is counted
+    value by value. Times are profiled as text. ``df`` is read several times, so pass one that comes from a table.
     """
     fields = [field for field in df.schema if field.name != LINE_NO]
     numeric = [field.name for field in fields if isinstance(field.dataType, T.NumericType)]
@@ -195,29 +195,7 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
         *[measure(number).alias(f"{i}_{name}") for i, number in enumerate(numbers.values()) for name, measure in measures.items()],
     ).first()
     counted = [field for field in fields if not (approx and field.name in numeric)]
-    cells = F.array(*[_cell(field) for field in counted])
-    empty = "array<struct<column:string,text:string,value:double>>"
-    counts = materialize(
-        df.select(F.inline(cells if counted else F.array().cast(empty)))
-        .groupBy("column", "text", "value")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "value-counts",
-    )
-    n, text = F.col("n"), F.col("text")
-    present = text.isNotNull() | F.col("value").isNotNull()
-    by_column = counts.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("filled"),
-        F.count_if(present).alias("distinct"),
-        F.max(F.when(text.isNotNull(), n)).alias("freq"),
-    )
-    top = (
-        counts.where(text.isNotNull())
-        # One row per column of the table, so always small.
-        .join(F.broadcast(by_column.select("column", "freq")), "column")
-        .where(n == F.col("freq"))
-        .groupBy("column")
-        .agg(F.min(text).alias("top"))
-    )
+    by_column = materialize(_value_facts(df, counted), "value-facts")
     if approx:
         found = df.agg(
             *[F.percentile_approx(number, [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, number in enumerate(numbers.values())]
@@ -249,8 +227,7 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     missing = F.col("rows") - F.col("count")
     words = ~F.col("is_number")
     return (
-        by_column.join(top, "column", "left")
-        .select(
+        by_column.select(
             "position",
             "column",
             "count",
@@ -272,13 +249,38 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+def _value_facts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Rows (column, filled, distinct, freq, top), one per field: its values counted, then summed up."""
+    schema = "column string, filled long, distinct long, freq long, top string"
+    facts = df.sparkSession.createDataFrame([], schema)
+    for field in fields:
+        text, number = _cell(field)
+        kinds = {"text": text, "number": number}
+        is_text = not isinstance(field.dataType, T.NumericType)
+        keys = ["text"] if is_text else ["text", "number"]
+        counts = df.select(*[kinds[key].alias(key) for key in keys]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        present = F.col("text").isNotNull() if is_text else F.col("text").isNotNull() | F.col("number").isNotNull()
+        # The most rows first, of equal ones the smallest text.
+        most = F.min(F.when(F.col("text").isNotNull(), F.struct((-F.col("n")).alias("n"), "text")))
+        found = counts.where(present).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("filled"), F.count(F.lit(1)).alias("distinct"), most.alias("most")
+        )
+        facts = facts.unionByName(
+            found.select(
+                F.lit(field.name).alias("column"), "filled", "distinct",
+                (-F.col("most.n")).alias("freq"), F.col("most.text").alias("top"),
+            )
+        )
+    return facts
+
+
 def _number(field: T.StructField) -> Column:
     """A numeric column as a double, NaN as missing."""
     return F.nanvl(F.col(field.name).cast("double"), F.lit(None).cast("double"))
 
 
-def _cell(field: T.StructField) -> Column:
-    """A value of a column as number or text; large numbers as both.
+def _cell(field: T.StructField) -> tuple[Column, Column]:
+    """A value of a column as text or number; large numbers as both.
 
     A double holds whole numbers up to 2 ** 53 exactly. Beyond that the digits tell values apart.
     """
@@ -291,6 +293,6 @@ def _cell(field: T.StructField) -> Column:
         else:
             exact = 2.0**53 / 10 ** getattr(field.dataType, "scale", 0)
             text = F.when(F.abs(number) >= exact, text)
-    return F.struct(F.lit(field.name).alias("column"), text.alias("text"), number.alias("value"))
+    return text, number
 
 

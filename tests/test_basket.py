@@ -94,3 +94,68 @@ def test_text_of_rules(spark):
     rows = [(str(o), p, 1) for o in range(2) for p in "ab"] + [(str(o), "c", 1) for o in range(2, 8)]
     row = basket.mine_rules(lines_of(spark, rows), 0.2).first()
     assert row["lift"] == 4.0 and row["recommendation"] == "强烈建议将「a」+「b」组合为套餐，Lift=4.0"
+
+
+# ---- pair rules on their own path -------------------------------------------------------------
+
+
+def rule_rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def pairs_by_hand(lines, min_support, min_lift=1.0):
+    """Rules between single items from all pairs of every basket."""
+    from collections import Counter
+    from itertools import combinations
+
+    baskets, orders = {}, set()
+    for order, product, quantity in lines:
+        if order is not None and product is not None:
+            orders.add(order)
+            baskets.setdefault(order, Counter())[product] += quantity
+    sets = [sorted(p for p, q in basket.items() if q > 0) for basket in baskets.values()]
+    n = len(orders)
+    single, both = Counter(p for s in sets for p in s), Counter(c for s in sets for c in combinations(s, 2))
+    rules = []
+    for (a, b), freq in both.items():
+        lift = freq * n / (single[a] * single[b])
+        if freq / n >= min_support and lift >= min_lift:
+            rules += [(a, b, freq / n, freq / single[a], lift), (b, a, freq / n, freq / single[b], lift)]
+    return sorted(rules)
+
+
+def test_pair_rules_by_hand_with_long_baskets(spark, monkeypatch):
+    import random
+
+    import pytest
+
+    from orderlines.operators import basket
+
+    monkeypatch.setattr(basket, "TILE", 4)
+    rng = random.Random(3)
+    lines = [(f"o{o}", f"p{rng.randrange(12):02d}", rng.choice([1, 2, 0, -1])) for o in range(80) for _ in range(rng.choice([1, 3, 6]))]
+    lines += [("giant", f"p{i:02d}", 1) for i in range(40)] + [("o1", None, 1), (None, "p01", 1), ("gone", "p01", -1)]
+    df = spark.createDataFrame(lines, "order_id string, product_name string, quantity int")
+    for support in (0.02, 0.03):
+        found, wanted = rule_rows(basket.pair_rules(df, support, 0.5)), pairs_by_hand(lines, support, 0.5)
+        assert [r[:2] for r in found] == [r[:2] for r in wanted] and len(wanted) > 5
+        assert [x for r in found for x in r[2:]] == pytest.approx([x for r in wanted for x in r[2:]])
+
+
+def test_pair_rules_equal_the_mined_ones_and_need_no_mining(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from orderlines.operators import basket
+
+    lines = spark.createDataFrame([(f"o{i}", p, 1) for i in range(30) for p in "abc"[: 1 + i % 3]], "order_id string, product_name string, quantity int")
+    rules = basket.association_rules(basket.frequent_itemsets(lines, 0.2), 0.0, size=2)
+    mined = rules.select(F.element_at("antecedent", 1), F.element_at("consequent", 1), F.round("support", 9), F.round("confidence", 9), F.round("lift", 9))
+    monkeypatch.setattr(basket, "FPGrowth", None)
+    counted = basket.pair_rules(lines, 0.2, 0.0)
+    assert rule_rows(counted.select("antecedent", "consequent", *[F.round(c, 9) for c in ("support", "confidence", "lift")])) == rule_rows(mined)
+
+
+def test_pair_rules_of_nothing(spark):
+    from orderlines.operators import basket
+
+    assert basket.pair_rules(spark.createDataFrame([], "order_id string, product_name string, quantity int")).count() == 0

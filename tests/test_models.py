@@ -128,3 +128,117 @@ def test_forest_finds_the_planted_order(spark):
 def test_forest_on_few_equal_orders(spark):
     lines = order_lines(spark, 3).where("order_id <> 'strange'").withColumn("actual_amount", F.lit(1).cast("decimal(18,4)")).withColumn("unit_price", F.lit(1).cast("decimal(18,4)"))
     assert {r["anomaly_label"] for r in outliers.isolation_forest(lines).collect()} == {1}
+
+
+# ---- published models -------------------------------------------------------------------------
+
+
+def test_errors_and_steps_follow_from_the_node_table(spark):
+    """In-sample errors by SQL over the nodes, forecasts by walking them one value at a time."""
+    import duckdb
+
+    daily = series_of(spark, a=40, b=60)
+    found = forecasting.forecast(daily, days=5)
+    nodes = found.nodes.toPandas()  # noqa: F841
+    scaled = forecasting.scaled_series(daily)
+    scales = {r["series"]: r["scale"] for r in scaled.select("series", "scale").distinct().collect()}
+    training = forecasting.lag_features(scaled.drop("scale")).toPandas()
+    training["scale"] = training["series"].map(scales)
+    features = ", ".join(f"CAST({name} AS DOUBLE)" for name in forecasting.FEATURES)
+    errors = duckdb.sql(f"""
+      WITH RECURSIVE rows AS (SELECT row_number() OVER () AS id, series, revenue, scale, [{features}] AS x FROM training),
+      walk AS (
+        SELECT id, x, tree, 0 AS node FROM rows, (SELECT DISTINCT tree FROM nodes)
+        UNION ALL
+        SELECT id, x, w.tree, CASE WHEN x[feature + 1] <= threshold THEN n."left" ELSE n."right" END
+        FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE feature >= 0
+      ),
+      predicted AS (
+        SELECT id, avg(prediction) AS share FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE feature < 0 GROUP BY id
+      )
+      SELECT series, round(avg(abs((revenue - share) * scale / (revenue * scale + 0.01))) * 100, 2), round(stddev_pop((revenue - share) * scale), 2)
+      FROM rows JOIN predicted USING (id) GROUP BY series ORDER BY series
+    """).fetchall()
+    quality = {r["series"]: (r["mape"], r["residual_std"]) for r in found.quality.collect()}
+    assert errors == [(name, *quality[name]) for name in ("a", "b")]
+
+    table = {(r.tree, r.node): r for r in nodes.itertuples()}
+    trees = sorted({tree for tree, _ in table})
+
+    def predict(x):
+        total = 0.0
+        for tree in trees:
+            node = table[tree, 0]
+            while node.feature >= 0:
+                node = table[tree, node.left if x[forecasting.FEATURES[node.feature]] <= node.threshold else node.right]
+            total += node.prediction
+        return total / len(trees)
+
+    predicted = {(r["series"], r["date"]): r["predicted"] for r in found.days.collect()}
+    for name, n in (("a", 40), ("b", 60)):
+        ring = [r["revenue"] for r in scaled.where(F.col("series") == name).orderBy("date").collect()][-7:]
+        for step in range(1, 6):
+            date = dt.date(2024, 1, 1) + dt.timedelta(days=n - 1 + step)
+            mean = sum(ring) / 7
+            x = {
+                "day_num": n - 1 + step, "month": date.month, "is_weekend": date.weekday() >= 5, "day_of_month": date.day,
+                **{f"lag_{k}": ring[-k] for k in (1, 2, 3, 7)}, "rolling_mean_7": mean,
+                "rolling_std_7": (sum((v - mean) ** 2 for v in ring) / 6) ** 0.5, **{f"wd_{k}": date.weekday() == k for k in range(7)},
+            }
+            value = predict(x)
+            assert predicted[name, date] == pytest.approx(round(max(value * scales[name], 0), 2), abs=0.011)
+            ring = [*ring[1:], value]
+
+
+def test_scores_follow_from_the_node_table(spark):
+    orders = outliers.order_features(order_lines(spark, 300))
+    nodes = outliers.grow_forest(orders, trees=7, sample=64)
+    table = {(r["tree"], r["node"]): r for r in nodes.collect()}
+    assert len({t for t, _ in table}) == 7 and {r["sample"] for r in table.values()} == {64}
+    assert all(table[t, 2 * n]["size"] + table[t, 2 * n + 1]["size"] == r["size"] for (t, n), r in table.items() if r["feature"] >= 0)
+    scale = float(outliers._mean_path(64))
+    for row in outliers.score_orders(orders, nodes).collect():
+        total = 0
+        for tree in range(7):
+            node = table[tree, 1]
+            while node["feature"] >= 0:
+                right = row[outliers.FEATURES[node["feature"]]] > node["split"]
+                node = table[tree, 2 * node["node"] + right]
+            total += node["path"]
+        assert row["anomaly_score"] == pytest.approx(-(2 ** -(total / 1e6 / 7 / scale)), abs=1e-9)
+
+
+def test_clusters_by_brute_force(spark):
+    """Lloyd rounds over every customer in plain Python, from the same starts."""
+    import hashlib
+
+    rng = random.Random(5)
+    rows = [(f"c{i}", rng.randint(0, 40), rng.randint(1, 9), Decimal(rng.randint(10, 500))) for i in range(90)] + [("twin", 5, 2, Decimal(90))] * 4
+    df = spark.createDataFrame(rows, "customer_id string, recency int, frequency long, monetary decimal(28,4)")
+    found = clustering.cluster_customers(df, k=3, restarts=4)
+    points = [tuple(r) for r in clustering.standardize(df).withColumns(clustering._grid_columns()).select("customer_id", *clustering.GRID).collect()]
+    far = lambda p, c: sum((a - b) ** 2 for a, b in zip(p, c))
+    best = None
+    for start in range(4):
+        distinct = sorted({p[1:] for p in points}, key=lambda p: hashlib.md5(f"42:{start}:{p[0]}:{p[1]}:{p[2]}".encode()).hexdigest())
+        centres = [list(map(float, p)) for p in distinct[:3]]
+        for _ in range(clustering.ROUNDS):
+            groups = [[] for _ in centres]
+            for p in points:
+                groups[min(range(3), key=lambda k: far(p[1:], centres[k]))].append(p[1:])
+            centres = [[sum(c) / len(g) for c in zip(*g)] if g else old for g, old in zip(groups, centres)]
+        cost = round(sum(min(far(p[1:], c) for c in centres) for p in points) / clustering.UNIT**2, 6)
+        if best is None or cost < best[0]:
+            best = cost, sorted(centres)
+    labels = sorted((p[0], min(range(3), key=lambda k: far(p[1:], best[1][k]))) for p in points)
+    assert sorted((r["customer_id"], r["cluster"]) for r in found.customers.collect()) == labels
+    assert found.inertia == round(best[0], 2)
+
+
+def test_clusters_of_few_or_no_customers(spark):
+    schema = "customer_id string, recency int, frequency long, monetary decimal(28,4)"
+    two = spark.createDataFrame([("a", 1, 1, Decimal(1)), ("b", 9, 2, Decimal(5)), ("x", None, 1, Decimal(1))], schema)
+    assert sorted(r["cluster"] for r in clustering.cluster_customers(two).customers.collect()) == [0, 1]
+    assert [r["inertia"] for r in clustering.elbow(two, max_k=3).orderBy("k").collect()] == [6.0, 0.0, 0.0]
+    none = clustering.cluster_customers(spark.createDataFrame([], schema))
+    assert none.customers.count() == 0 and none.inertia == 0.0
