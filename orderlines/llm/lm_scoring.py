@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count as counting
 
 import numpy as np
@@ -33,7 +33,7 @@ from orderlines.llm.texts import TEXT_BYTES, held_out_remainder
 
 HELD_OUT = 1
 TUNE = 0
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Tokens per bucket of the key space, on average.
 BUCKET_TOKENS = 2_000_000
 FREQUENCY_BUCKETS = 40
@@ -117,7 +117,8 @@ def number_texts(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) ->
         chunks, sent = {False: Chunk(), True: Chunk()}, 0
         for batch in batches:
             remainders = batch.column(len(keep)).to_pylist()
-            for row, text in enumerate(batch.column(len(keep) + 1).to_pylist()):
+            for row, value in enumerate(batch.column(len(keep) + 1)):
+                text = value.as_py()
                 tune = remainders[row] == TUNE
                 chunk = chunks[tune]
                 if chunk.size and chunk.size + len(text or b"") > CHUNK_BYTES:
@@ -134,6 +135,12 @@ def number_texts(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) ->
     return source.mapInArrow(run, schema)
 
 
+def _rows(table: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """One row at a time as Python values, so that memory follows the row and not the batch."""
+    for at in range(table.num_rows):
+        yield table.slice(at, 1).to_pylist()[0]
+
+
 class Numbered:
     """A chunk's tokens, its distinct pairs, and the order in which keys go to the buckets."""
 
@@ -164,7 +171,7 @@ class Numbered:
             2: np.bincount(self.pair_of[used], minlength=len(self.pair_word)),
         }
 
-    def totals(self, replies: list[dict], column: str) -> dict[int, np.ndarray]:
+    def totals(self, replies: Iterable[dict], column: str) -> dict[int, np.ndarray]:
         found = {n: np.zeros(len(keys), np.int64) for n, keys in self.keys.items()}
         for reply in replies:
             n, bucket = reply["n"], reply["bucket"]
@@ -190,7 +197,7 @@ def _count(chunks: DataFrame, bits: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 numbered = Numbered(row, bits)
                 counts = numbered.training_counts()
                 for n, keys in numbered.keys.items():
@@ -260,7 +267,7 @@ def _mixture(parts: DataFrame, words: int) -> np.ndarray:
         def expect(batches: Iterator[pa.RecordBatch], current: np.ndarray = current) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((FREQUENCY_BUCKETS, 3))
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _rows(batch):
                     bucket = np.frombuffer(row["buckets"], np.int8)
                     times = _unpack(row["times"])
                     shares = current[bucket] * np.stack(
@@ -307,9 +314,9 @@ def score_texts(
 
     def tune(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        for row in left.to_pylist():
+        for row in _rows(left):
             numbered = Numbered(row, bits)
-            contexts, pair, word = numbered.probabilities(numbered.totals(right.to_pylist(), "others"), tokens_others)
+            contexts, pair, word = numbered.probabilities(numbered.totals(_rows(right), "others"), tokens_others)
             bucket = frequency_bucket(contexts)
             values, of_pair = np.unique(pair, return_inverse=True)
             others, of_word = np.unique(word, return_inverse=True)
@@ -334,9 +341,9 @@ def score_texts(
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
-        for at, row in enumerate(left.select(list(chunk_columns)).to_pylist()):
+        for at, row in enumerate(_rows(left.select(list(chunk_columns)))):
             numbered = Numbered(row, bits)
-            totals = numbered.totals(right.to_pylist(), "everything")
+            totals = numbered.totals(_rows(right), "everything")
             contexts, pair, word = numbered.probabilities(totals, tokens)
             mix = weights[frequency_bucket(contexts)]
             model = np.log10(mix[:, 0] * pair + mix[:, 1] * word + mix[:, 2] / (words + 1))
