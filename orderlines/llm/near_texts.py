@@ -1,118 +1,50 @@
-"""Near copies by the Jaccard similarity of their five-word shingles: MinHash bands, then an exact check.
+"""Near copies by the Jaccard similarity of their five-word shingles, as links between SimHash fingerprints.
 
-A text gives BANDS hashes, each of ROWS least values of its shingles under different hash functions;
-texts that agree in one are candidates. A pair of similarity 0.8 agrees in none with probability
-(1 - 0.8^4)^32 = 5e-8. All texts of a band are checked against its least one; those that are not
-near it are checked against every other one of the band. So only pairs that are both near the least
-text, and are linked through it, go unlisted. The check counts the shingles themselves.
+The similar pairs come from the exact join of ``shingle_join``, so none is missed; texts with the same
+shingles (other case, spaces or repeats) are linked with one of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlines.functions.storage import materialize
+from orderlines.llm.shingle_join import (
+    SHINGLE_WORDS,
+    SIMILARITY,
+    linked_sets,
+    shingle_counts,
+    signed_sets,
+    texts_by_hash,
+)
 from orderlines.llm.simhash import fingerprint
 from orderlines.llm.texts import map_texts
 
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
-BANDS = 32
-ROWS = 4
-SEED = 42
-#: Shingle hashes whose values under all functions are made at once.
-BLOCK = 1 << 12
-
-
-def shingles(text: bytes | None, words_in: int = SHINGLE_WORDS) -> set[bytes]:
-    """The distinct shingles in lower case; a shorter text is one, a text without words has none."""
-    words = (text or b"").lower().split()
-    size = min(words_in, len(words))
-    return {b" ".join(words[at : at + size]) for at in range(len(words) - size + 1)} if words else set()
-
-
-def jaccard(first: set[bytes], second: set[bytes]) -> float:
-    shared = len(first & second)
-    return shared / (len(first) + len(second) - shared) if shared else 0.0
-
-
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    drawn = [xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) for i in range(2 * BANDS * ROWS)]
-    flips, factors = np.array(drawn, np.uint64).reshape(2, -1, 1)
-    return flips, factors | np.uint64(1)
-
-
-def bands(text: bytes | None) -> list[int]:
-    """One signed 64-bit hash per band; none for a text without words."""
-    found = shingles(text)
-    if not found:
-        return []
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in found), np.uint64, len(found))
-    flips, factors = _functions()
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, ((hashes[None, at : at + BLOCK] ^ flips) * factors).min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([digest(rows[n].tobytes(), n) for n in range(BANDS)], np.uint64).view(np.int64).tolist()
-
-
-def _check(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        firsts, seconds = batch.column("first_text").to_pylist(), batch.column("second_text").to_pylist()
-        near = [jaccard(shingles(x), shingles(y)) >= similarity for x, y in zip(firsts, seconds)]
-        ends = []
-        for side in (firsts, seconds):
-            prints = [fingerprint(t) if n else 0 for t, n in zip(side, near)]
-            ends.append(pa.array(np.array(prints, np.uint64).view(np.int64)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("first"), batch.column("second"), pa.array(near, pa.bool_()), *ends], ["first", "second", "near", "a", "b"]
-        )
-
-
-def check_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Rows (first, second, near, a, b) for pairs of text hashes; a, b are fingerprints, of near pairs only."""
-    ends = pairs.select(F.col("first").alias("text_hash")).unionByName(pairs.select(F.col("second").alias("text_hash")))
-    used = materialize(texts.join(ends.distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"]), "candidate-texts")
-    joined = pairs
-    for side in ("first", "second"):
-        joined = joined.join(used.withColumnsRenamed({"text_hash": side, "bytes": f"{side}_text"}), side)
-    return joined.select("first", "second", "first_text", "second_text").mapInArrow(
-        lambda batches: _check(batches, similarity), "first long, second long, near boolean, a long, b long"
-    )
-
 
-def near_links(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
-    """Links (a, b) between the fingerprints of texts whose similarity is at least ``similarity``.
+def near_links(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, text: str = "text") -> DataFrame:
+    """Links (a, b) between the fingerprints of texts whose similarity is at least ``similarity``, a fraction.
 
-    Texts are told apart by hash. Null texts and texts without words have no links; an empty table
-    gives an empty result.
+    Every component of the similar texts is connected by links; not every pair of it is one. Texts are told apart by
+    hash. Null texts and texts without words have no links; an empty table gives an empty result.
     """
-    hashed = docs.select(F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
-    sign = lambda texts: [[bands(t) for t in texts]]
-    signed = map_texts(hashed, sign, "bands array<long>", "text", ("text_hash",)).dropDuplicates(["text_hash"])
-    held = materialize(signed.select("text_hash", F.explode("bands").alias("band")), "bands")
-    groups = held.groupBy("band").agg(F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(held.join(groups.select("band", "first"), "band"), "band-members")
-    texts = hashed.select("text_hash", F.col("text").cast("binary").alias("bytes"))
-    stars = members.where("text_hash != first").select("first", F.col("text_hash").alias("second")).distinct()
-    checked = materialize(check_pairs(materialize(stars, "star-pairs"), texts, similarity), "checked-stars")
-    apart = members.join(
-        checked.where("NOT near").select("first", F.col("second").alias("text_hash")), ["first", "text_hash"]
-    ).select("band", F.col("text_hash").alias("x"))
-    others = members.where("text_hash != first").select("band", F.col("text_hash").alias("y"))
-    rest = (
-        apart.join(others, "band")
-        .where("x != y")
-        .select(F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"))
-        .distinct()
-        .join(checked.select("first", "second"), ["first", "second"], "left_anti")
+    counts = shingle_counts(docs, text, SHINGLE_WORDS)
+    signed = materialize(signed_sets(docs, counts, text, (), SHINGLE_WORDS, similarity), "signed-texts")
+    pairs, _ = linked_sets(signed, docs, text, SHINGLE_WORDS, similarity)
+    texts = signed.where("n_shingles > 0").select("set_id", "text_hash").distinct()
+    first = materialize(texts.groupBy("set_id").agg(F.min("text_hash").alias("first_text")), "first-texts")
+    of_set = [first.select(F.col("set_id").alias(side), F.col("first_text").alias(f"{side}_text")) for side in ("first", "second")]
+    between = pairs.join(of_set[0], "first").join(of_set[1], "second").select("first_text", "second_text")
+    inside = texts.join(first, "set_id").where("text_hash != first_text").select("first_text", F.col("text_hash").alias("second_text"))
+    links = materialize(between.unionByName(inside), "text-links")
+
+    ends = links.select(F.col("first_text").alias("text_hash")).unionByName(links.select(F.col("second_text").alias("text_hash")))
+    wanted = materialize(ends.distinct(), "linked-texts")
+    found = texts_by_hash(docs, text, wanted)
+    prints = map_texts(
+        found, lambda values: [np.array([fingerprint(v) for v in values], np.uint64).view(np.int64)], "fingerprint long", "text", ("text_hash",)
     )
-    more = check_pairs(materialize(rest, "other-pairs"), texts, similarity)
-    return checked.unionByName(more).where("near").select("a", "b")
+    prints = materialize(prints, "linked-fingerprints")
+    of_text = [prints.select(F.col("text_hash").alias(f"{side}_text"), F.col("fingerprint").alias(name)) for side, name in (("first", "a"), ("second", "b"))]
+    return links.join(of_text[0], "first_text").join(of_text[1], "second_text").select("a", "b")

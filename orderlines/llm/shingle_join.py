@@ -372,24 +372,28 @@ def _remaining_pairs(groups: DataFrame, labels: DataFrame, prefixes: DataFrame,
     ).distinct()
 
 
+def texts_by_hash(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """Rows (text, text_hash) of the texts whose hashes are in ``wanted``, each once."""
+    if wanted.count() <= BROADCAST_TEXTS:
+        wanted = F.broadcast(wanted)
+    value = F.col(f"`{text}`")
+    hashed = docs.select(value.alias("text"), F.xxhash64(F.coalesce(value.cast("string"), F.lit(""))).alias("text_hash"))
+    return hashed.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+
+
 def near_pairs(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, size: int, similarity: tuple[int, int]) -> DataFrame:
     """Rows (first, second, near) by exact intersection; only sets of the pairs are made from their texts again."""
     part, whole = similarity
     pairs = materialize(pairs, "candidate-pairs")
     used = pairs.select(F.col("first").alias("set_id")).unionByName(pairs.select(F.col("second").alias("set_id"))).distinct()
     wanted = materialize(texts.join(used, "set_id", "left_semi").select("text_hash"), "wanted-texts")
-    if wanted.count() <= BROADCAST_TEXTS:
-        wanted = F.broadcast(wanted)
-    hashed = docs.select(
-        F.col(f"`{text}`").alias("text"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("text_hash")
-    )
 
     def arrays(values: list[bytes | None]) -> list:
         sets = [shingle_set(value, size) for value in values]
         identities = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
         return [identities, [s.tobytes() for s in sets]]
 
-    found = map_texts(hashed.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]), arrays, "set_id long, hashes binary", "text", ())
+    found = map_texts(texts_by_hash(docs, text, wanted), arrays, "set_id long, hashes binary", "text", ())
     found = materialize(found, "candidate-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,8 +412,10 @@ def near_pairs(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, s
     return materialize(checked, "checked-pairs")
 
 
-def linked_sets(signed: DataFrame, docs: DataFrame, text: str, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """Rows (set_id, label) of the sets that are linked with another one."""
+def linked_sets(
+    signed: DataFrame, docs: DataFrame, text: str, size: int, similarity: tuple[int, int]
+) -> tuple[DataFrame, DataFrame]:
+    """Links (first, second) that connect all similar sets, and rows (set_id, label) of the sets they connect."""
     groups = signature_groups(signed)
     full = signed.where("n_shingles > 0")
     texts = materialize(full.groupBy("set_id").agg(F.min("text_hash").alias("text_hash")), "set-texts")
@@ -429,7 +435,7 @@ def linked_sets(signed: DataFrame, docs: DataFrame, text: str, size: int, simila
             continue
         links = checked.where("near").select(F.col("first").alias("a"), F.col("second").alias("b"))
         labels = materialize(connected_components(links).select(F.col("node").alias("set_id"), F.col("component").alias("label")), "labels")
-    return labels
+    return checked.where("near").select("first", "second"), labels
 
 
 def shingle_components(
@@ -449,7 +455,7 @@ def shingle_components(
     names = tuple(dict.fromkeys((*(n for n in keep if n not in results), key)))
     counts = shingle_counts(docs, text, size)
     signed = materialize(signed_sets(docs, counts, text, names, size, similarity), "signed-sets")
-    labels = linked_sets(signed, docs, text, size, similarity)
+    _, labels = linked_sets(signed, docs, text, size, similarity)
     least = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.col(f"`{key}`")).alias("least"))
     labelled = materialize(
         least.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "labelled-sets"

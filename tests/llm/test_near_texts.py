@@ -2,11 +2,21 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from orderlines.llm.near_texts import bands, jaccard, near_links, shingles
+from orderlines.llm.near_texts import near_links
 from orderlines.llm.simhash import fingerprint
 from tests.llm.conftest import TABLES
 
 
+def shingles(text):
+    words = text.lower().split()
+    size = min(5, len(words))
+    return {b" ".join(words[at : at + size]) for at in range(len(words) - size + 1)} if words else set()
+
+
+def jaccard(first, second):
+    return len(first & second) / len(first | second) if first & second else 0.0
+
+
 def signed(text):
     value = fingerprint((text or "").encode())
     return value - (1 << 64) if value >> 63 else value
@@ -46,12 +56,6 @@ def same_groups(left, right):
     return {p for p in parts(left) if len(p) > 1} == {p for p in parts(right) if len(p) > 1}
 
 
-def test_shingles_and_jaccard():
-    assert shingles(b"A b") == {b"a b"} and shingles(None) == shingles(b" \n") == set() and bands(b"") == []
-    assert jaccard(shingles(b"a b c d e f"), shingles(b"a b c d e g")) == 1 / 3
-    assert jaccard(set(range(8)), set(range(10))) == 0.8
-
-
 def test_links_connect_all_pairs_of_the_similarity(documents):
     rng = random.Random(1)
     texts = [*copies(rng, 12), None, "", " \n", "one two", "ONE  two", "one two three"]
@@ -62,14 +66,14 @@ def test_links_connect_all_pairs_of_the_similarity(documents):
     assert same_groups(joined((r["a"], r["b"]) for r in found), joined(wanted))
 
 
-def test_texts_not_near_the_least_one_meet_the_rest(documents, monkeypatch):
-    from orderlines.llm import near_texts
-
+def test_hot_group_around_the_similarity(documents):
+    """Copies of one text with more and more edits: near ones meet through others, the rest stay apart."""
     rng = random.Random(2)
-    texts = copies(rng, 6)
-    monkeypatch.setattr(near_texts, "bands", lambda text: [1] if text else [])
-    found = near_texts.near_links(documents(list(enumerate(texts)))).collect()
+    words = [f"w{rng.randrange(400)}" for _ in range(120)]
+    texts = [edited(rng, words, edits) for edits in range(12) for _ in range(8)]
+    found = near_links(documents(list(enumerate(texts)))).collect()
     pairs = [(x, y) for x, y in combinations(texts, 2) if jaccard(shingles(x.encode()), shingles(y.encode())) >= 0.8]
+    assert len(found) < len(pairs)
     assert same_groups(joined((r["a"], r["b"]) for r in found), joined((signed(x), signed(y)) for x, y in pairs))
 
 
@@ -85,5 +89,12 @@ def test_stage_keeps_one_of_near_copies_that_fingerprints_tell_apart(spark, docu
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in rows if i % 2 == 0]
 
 
+def test_very_long_texts(documents):
+    long = [f"l{i}" for i in range(30_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-100])), (3, " ".join(long[:20_000]))]
+    found = near_links(documents(rows)).collect()
+    assert {frozenset((r["a"], r["b"])) for r in found} == {frozenset((signed(rows[0][1]), signed(rows[1][1])))}
+
+
 def test_empty_table(documents):
     assert near_links(documents([])).count() == 0
