@@ -25,9 +25,9 @@ MIN_REPEAT = 8
 MIN_WORDS = 20
 BASE_PERCENT = 30
 #: A text goes when more than this share of the bytes of its words lies in repeats ...
-MAX_COVERED = 0.3
+MAX_COVERED = 0.25
 #: ... or its longest repeat has more words than this.
-MAX_REPEAT_WORDS = 200
+MAX_REPEAT_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 

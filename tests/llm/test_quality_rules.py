@@ -24,6 +24,23 @@ def brute(text):
     )
 
 
+def brute_kept(text):
+    """The verdict from all pairs of positions: share of bytes in repeats of 8 words or more, and the longest repeat."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    repeats, inside = 0, set()
+    for i in range(len(words)):
+        for j in range(i):
+            k = 0
+            while i + k < len(words) and words[i + k] == words[j + k]:
+                k += 1
+            repeats = max(repeats, k)
+            if k >= 8:
+                inside |= set(range(i, i + k)) | set(range(j, j + k))
+    size = lambda at: sum(len(words[n].encode()) for n in at)
+    share = size(inside) / max(size(range(len(words))), 1)
+    return not brute(text)[5] and share <= 0.25 and repeats <= 50
+
+
 def rows_of(df):
     return [
         (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in df
@@ -63,6 +80,20 @@ def test_spans_and_limits():
     assert not _examine([f"{long} {apart} {long}".encode()])[6][0]
 
 
+def test_verdict_by_brute_force(documents):
+    rng = random.Random(4)
+    fresh = iter(range(10**6))
+    texts = []
+    for size, length in [(60, 9), (60, 12), (120, 8), (120, 14), (200, 45), (200, 52), (300, 30), (300, 49), (500, 51), (500, 60), (40, 0)] * 3:
+        words = [f"w{next(fresh)}" for _ in range(size)]
+        passage = [f"{'long' * rng.randrange(3)}p{next(fresh)}" for _ in range(length)]
+        cut = rng.randrange(size)
+        texts.append(" ".join(passage + words[:cut] + passage + words[cut:]))
+    found = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules(documents(list(enumerate(texts)))).collect()}
+    assert found == {i: (brute(t)[5], brute_kept(t)) for i, t in enumerate(texts)}
+    assert sum(not failed and not kept for failed, kept in found.values()) > 3
+
+
 def test_null_empty_long_repeated_and_clashing(documents):
     texts = [None, "", "a b", "x " * 30000, "x " * 30000, "\n \n", "é日 " + " ".join(f"w{i}" for i in range(30))]
     df = quality_rules(documents(list(enumerate(texts)), kept="old"), keep=("doc_id", "kept"))
