@@ -25,8 +25,9 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Documents of one hash block, over all sources.
 BLOCK_DOCUMENTS = 4096
-#: Levels of the splitting tree; 2 ** LEVELS shards.
+#: Least levels of the splitting tree, which has 2 ** levels shards, and documents of a shard before there are more.
 LEVELS = 6
+SHARD_DOCUMENTS = 1 << 15
 SEED = 20
 #: Passes that fill a source's last block with single documents.
 FILLS = 4
@@ -236,7 +237,7 @@ def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
     cap: int = MOST_COPIES,
-    levels: int = LEVELS,
+    levels: int | None = None,
     text: str = "text",
     key: str = "doc_id",
     source: str = "source",
@@ -247,13 +248,16 @@ def mix_sources(
     often the mix takes the row) and shards (the shard of each copy). ``take`` turns that into the
     mix itself. Sources in code-point order, null last, get ``weights``, repeated; targets share the
     sum of all sizes and stop at ``cap`` times a source's size. A row with the column ``size``
-    already set is not counted again. Rows without words are never taken. Repeated rows count as
+    already set is not counted again. ``levels`` follow the number of rows unless given. Rows without words are never taken. Repeated rows count as
     rows of their own; a null key is a value like any other. An empty table gives an empty result.
     Columns named like the added ones are replaced.
     """
     sized = docs if SIZE in docs.columns else docs.withColumn(SIZE, words_in(F.col(text)))
     sized = sized.drop(SOURCE_SIZE, TARGET, COPIES, SHARDS)
-    block_count = max(1, math.ceil(docs.count() / BLOCK_DOCUMENTS))
+    documents = docs.count()
+    block_count = max(1, math.ceil(documents / BLOCK_DOCUMENTS))
+    if levels is None:
+        levels = max(LEVELS, math.ceil(math.log2(max(1, documents / SHARD_DOCUMENTS))))
     chance = F.xxhash64(F.col(key), F.col(text if text in docs.columns else SIZE), F.lit(SEED))
     keyed = sized.withColumns({"_chance": chance, "_key_block": F.pmod(chance, F.lit(block_count)).cast("int")})
     blocks = keyed.groupBy(F.col(source).alias("source"), F.col("_key_block").alias("block")).agg(
