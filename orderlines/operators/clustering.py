@@ -25,8 +25,9 @@ SEED = 42
 RESTARTS = 10
 #: Whole units of a standard deviation.
 UNIT = 1_000_000
-#: Rounds at most; a fit is at rest earlier when no centre moves.
+#: Rounds at most. A fit is at rest earlier, when the squared moves of its centres add up to TOLERANCE variances or less.
 ROUNDS = 50
+TOLERANCE = 1e-4
 
 _SUMS = ["sum_r", "sum_f", "sum_m", "weight"]
 
@@ -135,6 +136,10 @@ def _advance(points: DataFrame, fits: Fits) -> tuple[Fits, dict[tuple[int, int],
     return moved, {key: cost / UNIT**2 for key, cost in costs.items()}
 
 
+def _shift(before: list[list[float]], after: list[list[float]]) -> float:
+    return sum((x - y) * (x - y) for old, new in zip(before, after) for x, y in zip(old, new))
+
+
 def best_fits(points: DataFrame, ks: list[int], restarts: int) -> dict[int, tuple[list[list[float]], float]]:
     """For each number of clusters the cheapest of its starts: centres in order, and inertia.
 
@@ -142,16 +147,14 @@ def best_fits(points: DataFrame, ks: list[int], restarts: int) -> dict[int, tupl
     """
     starts = _starts(points, max(ks), restarts)
     fits: Fits = {(k, n): start[:k] for k in ks for n, start in enumerate(starts) if start}
-    moving, costs = fits, {}
+    moving = fits
     for _ in range(ROUNDS):
-        moved, found = _advance(points, moving)
-        fits, costs = {**fits, **moved}, {**costs, **found}
-        # A fit whose centres stay has its final cost already.
-        moving = {key: moved[key] for key in moving if moved[key] != moving[key]}
+        moved, _ = _advance(points, moving)
+        fits = {**fits, **moved}
+        moving = {key: moved[key] for key in moving if _shift(moving[key], moved[key]) > TOLERANCE * UNIT**2}
         if not moving:
             break
-    if moving:
-        costs.update(_advance(points, moving)[1])
+    costs = _advance(points, fits)[1] if fits else {}
     best = {}
     for k in ks:
         ranked = sorted((round(costs[key], 6), key[1]) for key in fits if key[0] == k)

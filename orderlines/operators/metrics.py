@@ -29,13 +29,13 @@ from orderlines.schema import LINE_NO, REFUNDED, WEEKDAY_NAMES
 def order_rollup(lines: DataFrame) -> DataFrame:
     """One row per order: first values of its attributes, sums, and number of lines.
 
-    Orders have few lines, so merging before the shuffle saves little, and first values need sorted
-    rows. The lines are dealt by order first: one sort then serves both steps of the aggregate.
+    Every task merges its lines of an order first: a first value is the minimum of (position, value), which merges
+    like a sum. So an order with very many lines reaches the last step as one row per task. Lines from a
+    table of ``write_bucketed`` are not shuffled at all.
     """
     lines = with_calendar(lines)
     return (
         lines.where(F.col("order_id").isNotNull())
-        .repartition("order_id")
         .groupBy("order_id")
         .agg(
             *[first_value(lines, c).alias(c) for c in ("date", "customer_id", "platform", "status")],
@@ -479,6 +479,34 @@ def distinct_counts(lines: DataFrame, columns: list[str], by: str | None = None,
     return grouped.agg(*[count(c).alias(f"n_{c}") for c in columns])
 
 
+#: Relative standard error of a count is about 1.04 / sqrt(2^SKETCH_BITS), here 0.8 percent.
+SKETCH_BITS = 14
+
+
+def daily_sketches(lines: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """Rows (date, ``by``, one ``s_`` sketch per column): mergeable summaries of a day's distinct values.
+
+    Store them; ``period_counts`` unites those of any days, so a longer period costs its days and not its lines.
+    """
+    known = with_calendar(lines).where(F.col(by).isNotNull() & F.col("date").isNotNull())
+    return known.groupBy("date", by).agg(
+        *[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH_BITS)).alias(f"s_{c}") for c in columns]
+    )
+
+
+def period_counts(sketches: DataFrame, columns: list[str], by: str, period: Column) -> DataFrame:
+    """Distinct values per ``by`` and period, estimated from stored sketches; ``period`` is an expression of ``date``."""
+    return sketches.groupBy(by, period.alias("period")).agg(
+        *[F.hll_sketch_estimate(F.hll_union_agg(f"s_{c}")).alias(f"n_{c}") for c in columns]
+    )
+
+
+def exact_period_counts(lines: DataFrame, columns: list[str], by: str, period: Column) -> DataFrame:
+    """The same from the lines, exactly."""
+    known = with_calendar(lines).where(F.col(by).isNotNull() & F.col("date").isNotNull())
+    return known.groupBy(by, period.alias("period")).agg(*[F.count_distinct(c).alias(f"n_{c}") for c in columns])
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per value, most frequent first."""
     return (

@@ -509,6 +509,10 @@ ORACLE_SQL["a14_distinct_counts"] = star(
     """ SELECT category, count(DISTINCT order_id) AS n_order_id, count(DISTINCT customer_id) AS n_customer_id,
         count(DISTINCT product_name) AS n_product_name FROM lines GROUP BY category"""
 )
+ORACLE_SQL["a14_period_counts"] = star(
+    """ SELECT category, year(date) || '-Q' || quarter(date) AS period, count(DISTINCT order_id) AS n_order_id,
+        count(DISTINCT customer_id) AS n_customer_id, true AS sketches_close FROM lines GROUP BY ALL"""
+)
 ORACLE_SQL["a15_value_counts"] = star(" SELECT product_name, count(*) AS n FROM lines GROUP BY product_name")
 ORACLE_SQL["k4_ordered_dates"] = star(f" SELECT DISTINCT {day()} FROM lines")
 
@@ -685,11 +689,12 @@ def kmeans(*ks: int) -> str:
       FROM grid, (SELECT unnest(range(10)) AS s)
     ),
     fits AS (
-      SELECT 0 AS round, k, s, list([CAST(r AS DOUBLE), CAST(f AS DOUBLE), CAST(m AS DOUBLE)] ORDER BY place) AS centres
+      SELECT 0 AS round, k, s, list([CAST(r AS DOUBLE), CAST(f AS DOUBLE), CAST(m AS DOUBLE)] ORDER BY place) AS centres, false AS rest
       FROM started, (SELECT unnest({list(ks)}) AS k) WHERE place <= k GROUP BY k, s
       UNION ALL
-      SELECT round + 1, k, s, list(coalesce(moved, old) ORDER BY number)
-      FROM (
+      SELECT round + 1, k, s, centres, list_sum(list_transform(list_zip(centres, was), lambda p: pow(p[1][1] - p[2][1], 2)
+               + pow(p[1][2] - p[2][2], 2) + pow(p[1][3] - p[2][3], 2))) <= 1e-4 * 1e12
+      FROM (SELECT round, k, s, list(coalesce(moved, old) ORDER BY number) AS centres, list(old ORDER BY number) AS was FROM (
         SELECT u.round, u.k, u.s, t.number, u.centres[t.number] AS old, w.moved
         FROM fits u, (SELECT unnest(range(1, {max(ks) + 1})) AS number) t LEFT JOIN (
           SELECT k, s, number, [CAST(sum(n * r) AS DOUBLE) / CAST(sum(n) AS DOUBLE), CAST(sum(n * f) AS DOUBLE) / CAST(sum(n) AS DOUBLE),
@@ -699,15 +704,16 @@ def kmeans(*ks: int) -> str:
             FROM (SELECT k, s, r, f, m, n, {far.format("centres")} AS far FROM grid, fits)
           ) GROUP BY k, s, number
         ) w ON w.k = u.k AND w.s = u.s AND w.number = t.number
-        WHERE u.round < 50 AND t.number <= len(u.centres)
-      ) GROUP BY round, k, s
+        WHERE u.round < 50 AND NOT u.rest AND t.number <= len(u.centres)
+      ) GROUP BY round, k, s)
     ),
+    final AS (SELECT k, s, arg_max(centres, round) AS centres FROM fits GROUP BY k, s),
     costs AS (
       SELECT k, s, round(sum(n * list_min(far)) / 1e12, 6) AS cost
-      FROM (SELECT k, s, n, {far.format("centres")} AS far FROM grid, fits WHERE round = 50) GROUP BY k, s
+      FROM (SELECT k, s, n, {far.format("centres")} AS far FROM grid, final) GROUP BY k, s
     ),
     best AS (
-      SELECT k, cost, list_sort(centres) AS centres FROM costs JOIN (SELECT * FROM fits WHERE round = 50) USING (k, s)
+      SELECT k, cost, list_sort(centres) AS centres FROM costs JOIN final USING (k, s)
       QUALIFY row_number() OVER (PARTITION BY k ORDER BY cost, s) = 1
     ),
     labelled AS (
@@ -856,6 +862,12 @@ ORACLE_SQL["d1_order_features"] = star(
         first(is_weekend ORDER BY line_no, is_weekend) AS is_weekend FROM lines GROUP BY order_id"""
 )
 
+# The same lines in another layout.
+for _name, _plain in (
+    ("a1_bucketed_rollup", "a1_order_rollup"), ("q1_bucketed_outliers", "q1_order_outliers"), ("d1_bucketed_features", "d1_order_features"),
+):
+    ORACLE_SQL[_name] = ORACLE_SQL[_plain]
+
 # The forest: draws and splits come from MD5, trees are grown level by level and walked from the node table.
 _LEAF = "CASE WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649015329) - 2 * CAST(n - 1 AS DOUBLE) / n WHEN n = 2 THEN 1 ELSE 0 END"
 FOREST = f"""
@@ -972,27 +984,47 @@ _PRODUCTS = union(
 ORACLE_SQL["r3_product_findings"] = star(_PRODUCTS, RANKING)
 _BEST = "ORDER BY lift DESC, confidence DESC, support DESC, antecedent, consequent LIMIT"
 _TOP3 = f"(SELECT *, antecedent || ' → ' || consequent AS pair FROM advised {_BEST} 3)"
-ORACLE_SQL["r4_rule_findings"] = star(
-    union(
-        finding("rules", "pair", "lift", "lift",
-                "CASE WHEN lift >= 3 THEN '★★★ 强关联' WHEN lift >= 2 THEN '★★☆ 中等关联' ELSE '★☆☆ 弱关联' END", _TOP3),
-        finding("rules", "pair", "support", "support", "NULL", _TOP3),
-        finding("rules", "pair", "confidence", "confidence", "NULL", _TOP3),
-        finding("rules", "pair", "recommendation", "NULL", "recommendation", _TOP3),
-    ),
-    itemsets(0.002),
-)
-ORACLE_SQL["r5_actions"] = star(
-    union(
-        finding("actions", "NULL", "bundle", "lift", "recommendation", f"(SELECT * FROM advised {_BEST} 1)"),
-        finding("actions", "NULL", "at_risk", "n", "NULL",
-                f"(SELECT count(*) AS n FROM segments WHERE segment IN ({_RISK})) WHERE n > 0"),
-        finding("actions", "product_name", "weak_product", "total_sold", "NULL",
-                "(SELECT * FROM ranking ORDER BY total_sold, product_name DESC LIMIT 1)"),
+_RULES = union(
+    finding("rules", "pair", "lift", "lift",
+            "CASE WHEN lift >= 3 THEN '★★★ 强关联' WHEN lift >= 2 THEN '★★☆ 中等关联' ELSE '★☆☆ 弱关联' END", _TOP3),
+    finding("rules", "pair", "support", "support", "NULL", _TOP3),
+    finding("rules", "pair", "confidence", "confidence", "NULL", _TOP3),
+    finding("rules", "pair", "recommendation", "NULL", "recommendation", _TOP3),
+)
+ORACLE_SQL["r4_rule_findings"] = star(_RULES, itemsets(0.002))
+_AT_RISK = f"(SELECT count(*) AS n FROM segments WHERE segment IN ({_RISK})) WHERE n > 0"
+_ACTIONS = union(
+    finding("actions", "NULL", "bundle", "lift", "recommendation", f"(SELECT * FROM advised {_BEST} 1)"),
+    finding("actions", "NULL", "at_risk", "n", "NULL", _AT_RISK),
+    finding("actions", "product_name", "weak_product", "total_sold", "NULL",
+            "(SELECT * FROM ranking ORDER BY total_sold, product_name DESC LIMIT 1)"),
+)
+_BASKETS = itemsets(0.002).replace("size AS", "basket_size AS").replace("subsets, size", "subsets, basket_size")
+ORACLE_SQL["r5_actions"] = star(_ACTIONS, RANKING, RFM, _BASKETS)
+_SHARES = f"""(SELECT segment, count(*) AS customers, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM segments) * 100, 1) AS share,
+    {_case('segment', SHORT_STRATEGIES)} AS strategy FROM segments GROUP BY segment)"""
+ORACLE_SQL["r6_all_but_forecast"] = star(
+    " UNION ALL ".join(
+        [
+            finding("header", "NULL", "period", "NULL", "date_range", "overview"),
+            finding("footer", "NULL", "period", "NULL", "date_range", "overview"),
+            _KPIS,
+            finding("alerts", "'orders'", "anomalous_orders", "n", "NULL", "(SELECT count(*) AS n FROM forest WHERE is_anomaly) WHERE n > 0"),
+            finding("alerts", "'revenue'", "dod_change", "abs(dod_change)", "NULL", "latest WHERE abs(dod_change) > 30"),
+            finding("alerts", "'refunds'", "refund_rate", "refund_rate", "NULL", "overview WHERE refund_rate > 5"),
+            _PRODUCTS,
+            _RULES,
+            finding("segments", "segment", "customers", "customers", "strategy", _SHARES),
+            finding("segments", "segment", "share", "share", "NULL", _SHARES),
+            finding("segments", "NULL", "at_risk", "n", "NULL", _AT_RISK),
+            _ACTIONS,
+        ]
     ),
+    ROLLUP,
     RANKING,
     RFM,
-    itemsets(0.002).replace("size AS", "basket_size AS").replace("subsets, size", "subsets, basket_size"),
+    _BASKETS,
+    FOREST,
 )
 
 # ---- facts that any valid fit meets ----

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -11,10 +13,16 @@ from orderlines.operators.cleaning import coerce, deduplicate, fill, normalize_c
 from orderlines.operators.quality import flag_outlier_orders, quality_report, screen_orders
 
 
-@dataclass(frozen=True)
+@dataclass
 class CleanResult:
+    """The lines, and the quality report, whose passes over the lines are made when it is first asked for."""
+
     lines: DataFrame
-    quality: DataFrame
+    report: Callable[[], DataFrame]
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        return self.report()
 
 
 def clean(raw: DataFrame) -> CleanResult:
@@ -32,4 +40,4 @@ def clean(raw: DataFrame) -> CleanResult:
     if "actual_amount" in filled.columns:
         screen = screen_orders(filled)
         lines = flag_outlier_orders(lines, screen)
-    return CleanResult(lines, quality_report(named.columns, filled, screen))
+    return CleanResult(lines, lambda: quality_report(named.columns, filled, screen))

@@ -6,6 +6,7 @@ means and other floating sums are rounded, because their last digit depends on t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ from orderlines.plans.report import diagnose
 from orderlines.schema import ORDER_LINE
 from orderlines.sources.readers import read_orders, read_typed_orders
 from orderlines.sources.star import event_lines, raw_export, star_lines
-from orderlines.sources.writers import write_csv, write_parquet
+from orderlines.sources.writers import write_bucketed, write_csv, write_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -289,6 +290,13 @@ def q1_order_outliers(spark, sf_dir):
     )
 
 
+@query
+def q1_bucketed_outliers(spark, sf_dir):
+    screen = quality.screen_orders(_by_order(spark, sf_dir))
+    bounds = {"lower_bound": screen.lower, "upper_bound": screen.upper}
+    return flat(screen.outliers().select("order_id", "amount", *[F.round(F.lit(v), 2).alias(k) for k, v in bounds.items()]))
+
+
 @query
 def q2_quantity_outliers(spark, sf_dir):
     values = event_lines(spark, sf_dir).select(F.col("total_amount").alias("quantity"))
@@ -323,6 +331,16 @@ def a1_order_rollup(spark, sf_dir):
     return flat(metrics.order_rollup(star_lines(spark, sf_dir)))
 
 
+def _by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in a table bucketed by order."""
+    return write_bucketed(star_lines(spark, sf_dir), f"lines_{uuid.uuid4().hex}", buckets=16)
+
+
+@query
+def a1_bucketed_rollup(spark, sf_dir):
+    return flat(metrics.order_rollup(_by_order(spark, sf_dir)))
+
+
 @query
 def a2_overview(spark, sf_dir):
     return metrics.overview(star_lines(spark, sf_dir)).select(
@@ -404,6 +422,21 @@ def a14_distinct_counts(spark, sf_dir):
     return metrics.distinct_counts(lines, ["order_id", "customer_id", "product_name"], by="category")
 
 
+@query
+def a14_period_counts(spark, sf_dir):
+    """Exact counts per quarter, and whether those from daily sketches are within three percent."""
+    lines = materialize(star_lines(spark, sf_dir), "lines")
+    columns = ["order_id", "customer_id"]
+    quarter = F.concat_ws("-Q", F.year("date").cast("string"), F.quarter("date").cast("string"))
+    stored = materialize(metrics.daily_sketches(lines, columns, "category"), "sketches")
+    about = metrics.period_counts(stored, columns, "category", quarter).withColumnsRenamed({f"n_{c}": f"about_{c}" for c in columns})
+    exact = metrics.exact_period_counts(lines, columns, "category", quarter)
+    close = [F.abs(F.col(f"about_{c}") - F.col(f"n_{c}")) <= 0.03 * F.col(f"n_{c}") + 1 for c in columns]
+    return exact.join(about, ["category", "period"], "left").select(
+        "category", "period", *[f"n_{c}" for c in columns], F.coalesce(close[0] & close[1], F.lit(False)).alias("sketches_close")
+    )
+
+
 @query
 def a15_value_counts(spark, sf_dir):
     return metrics.value_counts(star_lines(spark, sf_dir), "product_name")
@@ -644,6 +677,11 @@ def d1_order_features(spark, sf_dir):
     return flat(outliers.order_features(star_lines(spark, sf_dir)))
 
 
+@query
+def d1_bucketed_features(spark, sf_dir):
+    return flat(outliers.order_features(_by_order(spark, sf_dir)))
+
+
 @query
 def d2_isolation_forest(spark, sf_dir):
     scored = outliers.isolation_forest(star_lines(spark, sf_dir))
@@ -705,6 +743,12 @@ def r6_diagnosis(spark, sf_dir):
     return diagnose(materialize(star_lines(spark, sf_dir), "lines"), min_support=PAIR_SUPPORT)
 
 
+@query
+def r6_all_but_forecast(spark, sf_dir):
+    """The diagnosis without the section that comes from the fitted forecast."""
+    return r6_diagnosis(spark, sf_dir).where("section <> 'forecast'")
+
+
 # ---- facts that any valid fit meets, for the queries whose rows depend on the fit -----------
 
 

@@ -111,3 +111,62 @@ def test_results_do_not_depend_on_partitions(lines):
         assert sorted(map(str, operator(lines.repartition(1)).collect())) == sorted(
             map(str, operator(lines.repartition(9)).collect())
         )
+
+
+# ---- layout by order, hot orders, periods -----------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_lines_need_no_shuffle_by_order(spark):
+    import uuid
+
+    from orderlines.operators import outliers, quality
+    from orderlines.sources.star import star_lines
+    from orderlines.sources.writers import write_bucketed
+
+    lines = star_lines(spark, "/root/testdata/sf0.001")
+    table = write_bucketed(lines, f"lines_{uuid.uuid4().hex}", buckets=4)
+    rollup, features = metrics.order_rollup(table), outliers.order_features(table)
+    assert "Exchange" not in plan_of(rollup) and "Exchange" not in plan_of(features)
+    totals = table.where("order_id IS NOT NULL").groupBy("order_id").sum("actual_amount")
+    assert "Exchange" not in plan_of(totals)
+    key = lambda r: r["order_id"]
+    assert sorted(rollup.collect(), key=key) == sorted(metrics.order_rollup(lines).collect(), key=key)
+    assert sorted(features.collect(), key=key) == sorted(outliers.order_features(lines).collect(), key=key)
+    plain, laid = quality.screen_orders(lines), quality.screen_orders(table)
+    assert (plain.lower, plain.upper) == (laid.lower, laid.upper)
+
+
+def test_hot_order_merges_before_the_shuffle(spark):
+    """An order with half of all lines sends one row per task."""
+    lines = spark.range(0, 4000, numPartitions=8).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("o"), F.col("id").cast("string"))).alias("order_id"),
+        (4000 - F.col("id")).alias("line_no"),
+        F.timestamp_seconds(F.col("id") * 60).alias("order_time"),
+        *[F.when(F.col("id") != 3998, F.concat(F.lit(c), F.col("id").cast("string"))).alias(c) for c in ("customer_id", "platform", "status", "product_name")],
+        *[F.lit(1).cast("decimal(18,4)").alias(c) for c in ("total_amount", "actual_amount", "discount", "refund_amount")],
+    )
+    rollup = metrics.order_rollup(lines)
+    # In the printed plan the root is first: final aggregate, exchange, partial aggregate.
+    plan = plan_of(rollup)
+    assert plan.index("Exchange hashpartitioning(order_id") < plan.index("partial_sum(") and "RepartitionByExpression" not in plan
+    hot = rollup.where("order_id = 'hot'").first()
+    assert hot["actual_amount"] == 2000 and hot["item_count"] == 1999 and hot["customer_id"] == "customer_id3996"
+    assert rollup.count() == 2001
+
+
+def test_period_counts_from_sketches(spark):
+    rows = [(dt.date(2024, 1 + i % 4, 1 + i % 28), f"c{i % 2}", f"v{i * i % 907}", None) for i in range(6000)]
+    rows += [(None, "c0", "lost", None), (dt.date(2024, 1, 1), None, "lost", None)]
+    lines = spark.createDataFrame(rows, "date date, category string, value string, nothing string")
+    sketches = metrics.daily_sketches(lines, ["value", "nothing"], "category")
+    month = F.month("date")
+    about = {(r["category"], r["period"]): r for r in metrics.period_counts(sketches, ["value", "nothing"], "category", month).collect()}
+    exact = metrics.exact_period_counts(lines, ["value", "nothing"], "category", month).collect()
+    assert len(exact) == len(about) > 3
+    for r in exact:
+        found = about[r["category"], r["period"]]
+        assert abs(found["n_value"] - r["n_value"]) <= 0.03 * r["n_value"] + 1 and found["n_nothing"] == r["n_nothing"] == 0

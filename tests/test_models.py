@@ -226,7 +226,9 @@ def test_clusters_by_brute_force(spark):
             groups = [[] for _ in centres]
             for p in points:
                 groups[min(range(3), key=lambda k: far(p[1:], centres[k]))].append(p[1:])
-            centres = [[sum(c) / len(g) for c in zip(*g)] if g else old for g, old in zip(groups, centres)]
+            before, centres = centres, [[sum(c) / len(g) for c in zip(*g)] if g else old for g, old in zip(groups, centres)]
+            if sum(far(x, y) for x, y in zip(before, centres)) <= clustering.TOLERANCE * clustering.UNIT**2:
+                break
         cost = round(sum(min(far(p[1:], c) for c in centres) for p in points) / clustering.UNIT**2, 6)
         if best is None or cost < best[0]:
             best = cost, sorted(centres)
