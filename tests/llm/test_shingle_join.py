@@ -69,7 +69,7 @@ def corpus():
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("common, rounds, limit", [(8, 3, 256), (2, 1, 256), (10**6, 0, 256), (4, 2, 1), (3, 0, 20)])
+@pytest.mark.parametrize("common, rounds, limit", [(8, 3, 256), (2, 1, 1), (10**6, 0, 256)])
 def test_components_by_brute_force(documents, corpus, monkeypatch, common, rounds, limit):
     """Whatever the order, the number of leader rounds and the boundary, the components are the same."""
     monkeypatch.setattr(shingle_join, "COMMON", common)
@@ -79,7 +79,7 @@ def test_components_by_brute_force(documents, corpus, monkeypatch, common, round
     assert rows_of(shingle_components(documents(corpus))) == brute(corpus)
 
 
-@pytest.mark.parametrize("boundary", [0, 7, 30])
+@pytest.mark.parametrize("boundary", [0, 30])
 def test_any_boundary_gives_the_same(documents, corpus, monkeypatch, boundary):
     monkeypatch.setattr(shingle_join, "cheapest_boundary", lambda counts, similarity: boundary)
     small = [row for row in corpus if len(row[1].split()) < 50]
