@@ -26,25 +26,22 @@ from orderlines.functions.storage import materialize
 from orderlines.schema import LINE_NO, REFUNDED, WEEKDAY_NAMES
 
 
-def order_rollup(lines: DataFrame) -> DataFrame:
+def order_rollup(lines: DataFrame, merge_first: bool = False) -> DataFrame:
     """One row per order: first values of its attributes, sums, and number of lines.
 
-    Every task merges its lines of an order first: a first value is the minimum of (position, value), which merges
-    like a sum. So an order with very many lines reaches the last step as one row per task. Lines from a
-    table of ``write_bucketed`` are not shuffled at all.
+    By default the lines are dealt by order first: orders have few lines, and one sort then serves both steps of the
+    aggregate. With ``merge_first`` every task merges its lines of an order before the shuffle: a first value is
+    the minimum of (position, value), which merges like a sum. An order with very many lines then reaches the last step as
+    one row per task, at the cost of a second, smaller sort; lines from a table of ``write_bucketed`` are not shuffled at all.
     """
     lines = with_calendar(lines)
-    return (
-        lines.where(F.col("order_id").isNotNull())
-        .groupBy("order_id")
-        .agg(
-            *[first_value(lines, c).alias(c) for c in ("date", "customer_id", "platform", "status")],
-            *[
-                total(F.col(c)).alias(c)
-                for c in ("total_amount", "actual_amount", "discount", "refund_amount")
-            ],
-            F.count("product_name").alias("item_count"),
-        )
+    known = lines.where(F.col("order_id").isNotNull())
+    if not merge_first:
+        known = known.repartition("order_id")
+    return known.groupBy("order_id").agg(
+        *[first_value(lines, c).alias(c) for c in ("date", "customer_id", "platform", "status")],
+        *[total(F.col(c)).alias(c) for c in ("total_amount", "actual_amount", "discount", "refund_amount")],
+        F.count("product_name").alias("item_count"),
     )
 
 
@@ -119,7 +116,7 @@ def overview(lines: DataFrame) -> DataFrame:
     The lines are read once: sums per customer and day are written, and all numbers follow from
     them.
     """
-    days = materialize(customer_days(order_rollup(lines)), "customer-days")
+    days = materialize(customer_days(order_rollup(lines, merge_first=True)), "customer-days")
     daily = materialize(daily_orders(days), "days")
     revenue, orders = F.sum("revenue").cast("double"), F.sum("orders").cast("double")
     customers = days.agg(F.count_distinct("customer_id")).scalar()

@@ -328,7 +328,7 @@ def j2_flagged_lines(spark, sf_dir):
 
 @query
 def a1_order_rollup(spark, sf_dir):
-    return flat(metrics.order_rollup(star_lines(spark, sf_dir)))
+    return flat(metrics.order_rollup(star_lines(spark, sf_dir), merge_first=True))
 
 
 def _by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +338,7 @@ def _by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a1_bucketed_rollup(spark, sf_dir):
-    return flat(metrics.order_rollup(_by_order(spark, sf_dir)))
+    return flat(metrics.order_rollup(_by_order(spark, sf_dir), merge_first=True))
 
 
 @query
@@ -350,7 +350,7 @@ def a2_overview(spark, sf_dir):
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rollup = metrics.order_rollup(star_lines(spark, sf_dir))
+    rollup = metrics.order_rollup(star_lines(spark, sf_dir), merge_first=True)
     return metrics.daily_orders(metrics.customer_days(rollup))
 
 

@@ -129,7 +129,7 @@ def test_bucketed_lines_need_no_shuffle_by_order(spark):
 
     lines = star_lines(spark, "/root/testdata/sf0.001")
     table = write_bucketed(lines, f"lines_{uuid.uuid4().hex}", buckets=4)
-    rollup, features = metrics.order_rollup(table), outliers.order_features(table)
+    rollup, features = metrics.order_rollup(table, merge_first=True), outliers.order_features(table)
     assert "Exchange" not in plan_of(rollup) and "Exchange" not in plan_of(features)
     totals = table.where("order_id IS NOT NULL").groupBy("order_id").sum("actual_amount")
     assert "Exchange" not in plan_of(totals)
@@ -149,7 +149,7 @@ def test_hot_order_merges_before_the_shuffle(spark):
         *[F.when(F.col("id") != 3998, F.concat(F.lit(c), F.col("id").cast("string"))).alias(c) for c in ("customer_id", "platform", "status", "product_name")],
         *[F.lit(1).cast("decimal(18,4)").alias(c) for c in ("total_amount", "actual_amount", "discount", "refund_amount")],
     )
-    rollup = metrics.order_rollup(lines)
+    rollup = metrics.order_rollup(lines, merge_first=True)
     # In the printed plan the root is first: final aggregate, exchange, partial aggregate.
     plan = plan_of(rollup)
     assert plan.index("Exchange hashpartitioning(order_id") < plan.index("partial_sum(") and "RepartitionByExpression" not in plan
