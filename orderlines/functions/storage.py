@@ -44,14 +44,39 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, name: str, mark: tuple[int, int]) -> DataFrame:
+    """``materialize`` a result and delete the intermediates made since ``mark``, a result of ``marked``.
+
+    For operators with large intermediates and a small result that others go on from.
+    """
+    spark = df.sparkSession
+    result = materialize(df, name)
+    if shared_folder(spark) is None:
+        result.count()
+    written, kept = _WRITTEN.get(spark, []), _KEPT.get(spark, [])
+    ends = len(written) - (shared_folder(spark) is not None), len(kept) - (shared_folder(spark) is None)
+    _delete(spark, written[mark[0] : ends[0]], kept[mark[1] : ends[1]])
+    del written[mark[0] : ends[0]], kept[mark[1] : ends[1]]
+    return result
+
+
+def marked(spark: SparkSession) -> tuple[int, int]:
+    """The number of intermediates so far."""
+    return len(_WRITTEN.get(spark, [])), len(_KEPT.get(spark, []))
+
+
 def release(spark: SparkSession) -> None:
     """Delete what ``materialize`` and ``new_path`` have left so far in this session.
 
     Call it when the results that were built on them have been used.
     """
-    for kept in _KEPT.pop(spark, []):
-        kept.unpersist()
+    _delete(spark, _WRITTEN.pop(spark, []), _KEPT.pop(spark, []))
+
+
+def _delete(spark: SparkSession, written: list[str], kept: list[DataFrame]) -> None:
+    for frame in kept:
+        frame.unpersist()
     configuration = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN.pop(spark, []):
+    for path in written:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(configuration).delete(target, True)

@@ -137,3 +137,17 @@ def test_rollup_sorts_once(spark):
     plan = plan_of(metrics.order_rollup(lines))
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
     assert plan.rindex("SortAggregate") < plan.index("Exchange")  # the tree is printed from the top down
+
+
+def test_settle_deletes_only_what_came_since(spark):
+    import os
+
+    from orderlines.functions.storage import marked, materialize, settle
+
+    first = materialize(spark.range(5), "first")
+    mark = marked(spark)
+    step = materialize(first.where("id > 1"), "step")
+    before = [path for path in step.inputFiles()]
+    result = settle(step.where("id > 2"), "result", mark)
+    assert result.count() == 2 and first.count() == 5
+    assert before and not any(os.path.exists(path.removeprefix("file://")) for path in before)
