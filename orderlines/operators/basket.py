@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlines.functions.storage import materialize
+from orderlines.functions.storage import marked, materialize, settle
 
 ITEMSETS = T.StructType(
     [
@@ -54,40 +54,101 @@ def smallest_count(min_support: float, orders: int) -> int:
     return count
 
 
-def frequent_itemsets(lines: DataFrame, min_support: float = 0.01) -> DataFrame:
-    """Itemsets of any size in at least ``min_support`` of all orders, mined by FP-growth.
+def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, tree: bool = False) -> DataFrame:
+    """Itemsets of any size in at least ``min_support`` of all orders: sorted items, freq, orders.
 
     Orders whose items all cancel out still count as orders. Rare items cannot be part of a
     frequent set, so they are dropped before an order's items are gathered: an array then holds at
     most (mean basket size / ``min_support``) items, however many an order lists.
+
+    Sets are counted size by size over the merged baskets (``counted_itemsets``). ``tree`` mines them by FP-growth
+    instead, which pays where baskets share long runs of items; its trees are held in memory, and grow with the
+    number of different baskets.
     """
+    spark = lines.sparkSession
+    mark = marked(spark)
     items = materialize(order_items(lines), "order-items")
     orders = items.agg(F.count_distinct("order_id")).first()[0]
     if orders == 0:
-        return lines.sparkSession.createDataFrame([], ITEMSETS)
+        return spark.createDataFrame([], ITEMSETS)
     least = smallest_count(min_support, orders)
     bought = bought_items(items)
-    frequent = (
-        bought.groupBy("product_name")
+    single = bought.groupBy("product_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    mine = _tree_itemsets if tree else counted_itemsets
+    found = mine(bought, single, least).select("items", "freq", F.lit(orders).cast("long").alias("orders"))
+    return settle(found, "itemsets", mark)
+
+
+def counted_itemsets(bought: DataFrame, single: DataFrame, least: int) -> DataFrame:
+    """``items`` (sorted) and ``freq`` of all sets in at least ``least`` orders, counted size by size.
+
+    Items get numbers, the rarest first, and equal baskets become one row with their number. For each frequent set
+    of k items, rows hold what follows its last item in the baskets that have it (``rest``); the items of ``rest`` that are
+    frequent there make the sets of k + 1, and only these are carried on. Equal rows merge after each step, and all
+    counts merge before the shuffle, so the work is one row per basket and frequent set in it, spread by set and rest.
+    """
+    single = materialize(
+        single.orderBy("n", "product_name").select(F.monotonically_increasing_id().alias("code"), "product_name", "n"), "frequent-items"
+    )
+    gathered = (
+        bought.join(single.select("product_name", "code"), "product_name")
+        .groupBy("order_id")
+        .agg(F.array_sort(F.collect_list("code")).alias("rest"))
+        .groupBy("rest")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= least)
-        .select("product_name")
     )
-    gathered = baskets(bought, frequent).select("items").persist(StorageLevel.MEMORY_AND_DISK)
+    sets = single.select(F.array("code").alias("codes"), "n")
+    rows = _carried_on(gathered.withColumn("codes", F.array().cast("array<bigint>")))
+    while True:
+        rows = materialize(rows, "set-rests")
+        longer = materialize(
+            rows.select("codes", F.explode("rest").alias("code"), "n")
+            .groupBy("codes", "code")
+            .agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= least),
+            "longer-sets",
+        )
+        if longer.isEmpty():
+            break
+        sets = sets.unionByName(longer.select(F.concat("codes", F.array("code")).alias("codes"), "n"))
+        follow = longer.groupBy("codes").agg(F.collect_list("code").alias("follow")).where(F.size("follow") > 1)
+        rows = _carried_on(rows.join(follow, "codes").withColumn("rest", F.array_intersect("rest", "follow")))
+    return (
+        sets.select("codes", "n", F.explode("codes").alias("code"))
+        .join(single.select("code", "product_name"), "code")
+        .groupBy("codes", "n")
+        .agg(F.array_sort(F.collect_list("product_name")).alias("items"))
+        .select("items", F.col("n").alias("freq"))
+    )
+
+
+def _carried_on(rows: DataFrame) -> DataFrame:
+    """Rows of the sets one longer: each item of ``rest`` that has followers joins ``codes``."""
+    return (
+        rows.where(F.size("rest") > 1)
+        .select("codes", "rest", "n", F.explode(F.sequence(F.lit(1), F.size("rest") - 1)).alias("at"))
+        .select(
+            F.concat("codes", F.array(F.element_at("rest", F.col("at")))).alias("codes"),
+            F.expr("slice(rest, at + 1, size(rest))").alias("rest"),
+            "n",
+        )
+        .groupBy("codes", "rest")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def _tree_itemsets(bought: DataFrame, single: DataFrame, least: int) -> DataFrame:
+    """The sets of ``counted_itemsets`` by FP-growth."""
+    gathered = baskets(bought, single.select("product_name")).select("items").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size = gathered.count()
         if size < least:
-            return lines.sparkSession.createDataFrame([], ITEMSETS)
+            return bought.sparkSession.createDataFrame([], ITEMSETS).drop("orders")
         # FP-growth rounds share times size up; half an order less keeps rounding from adding one.
         miner = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / size, minConfidence=1.0)
         found = miner.fit(gathered).freqItemsets
         return materialize(
-            found.select(
-                F.array_sort("items").alias("items"),
-                F.col("freq").cast("long").alias("freq"),
-                F.lit(orders).cast("long").alias("orders"),
-            ),
-            "itemsets",
+            found.select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq")), "mined-sets"
         )
     finally:
         gathered.unpersist()

@@ -159,3 +159,38 @@ def test_pair_rules_of_nothing(spark):
     from orderlines.operators import basket
 
     assert basket.pair_rules(spark.createDataFrame([], "order_id string, product_name string, quantity int")).count() == 0
+
+
+# ---- itemsets counted size by size ------------------------------------------------------------
+
+
+def test_itemsets_are_counted_without_trees_in_memory(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(str(o), p, rng.choice([0, 1, 2])) for o in range(120) for p in rng.sample("abcdefgh", rng.randint(1, 8))]
+    rows += [(f"copy {o}", p, 1) for o in range(40) for p in "bdfh"] + [("big", f"p{i}", 1) for i in range(300)]
+    for support in (0.05, 0.3, 0.999):
+        mined = basket.frequent_itemsets(lines_of(spark, rows), support, tree=True)
+        expected = sorted(map(tuple, mined.collect()))
+        with monkeypatch.context() as without:
+            without.setattr(basket, "FPGrowth", None)
+            counted = basket.frequent_itemsets(lines_of(spark, rows).repartition(3), support)
+        assert sorted(map(tuple, counted.collect())) == expected
+        assert counted.dtypes == mined.dtypes
+        assert support != 0.05 or max(len(items) for items, _, _ in expected) >= 4
+
+
+def test_equal_baskets_are_one_row(spark, monkeypatch):
+    """The rows that the counting carries on grow with the different baskets, not with the orders."""
+    sizes = []
+
+    def counted(df, name):
+        kept = materialize(df, name)
+        if name == "set-rests":
+            sizes.append(kept.count())
+        return kept
+
+    materialize = basket.materialize
+    monkeypatch.setattr(basket, "materialize", counted)
+    for orders in (10, 200):
+        basket.frequent_itemsets(lines_of(spark, [(str(o), p, 1) for o in range(orders) for p in "abc"]), 0.5)
+    assert sizes == [2, 1, 0] * 2
