@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil, log2
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -101,15 +103,20 @@ def grow_forest(orders: DataFrame, trees: int = TREES, sample: int = SAMPLE) ->
     # Below all draws there are, or below the share of them.
     bound = "g" if share >= 1 else f"{int(share * 16**DRAW_DIGITS):0{DRAW_DIGITS}x}"
 
-    def draws(block):
-        digest = F.md5(F.concat_ws(":", F.lit(SEED), block.cast("string"), F.col("order_id").cast("string")).cast("binary"))
-        pieces = F.split(digest, f"(?<=\\G.{{{DRAW_DIGITS}}})")
-        return F.transform(pieces, lambda piece, at: F.struct((block * DRAWS + at).alias("tree"), piece.alias("draw")))
-
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((trees - 1) // DRAWS)), draws))
-    drawn = F.filter(every, lambda d: (d["tree"] < trees) & (F.length(d["draw"]) > 0) & (d["draw"] < bound))
-    members = orders.select("order_id", *FEATURES, F.inline(drawn)).withColumns(
-        {"order_id": F.col("order_id").cast("string"), **{c: F.col(c).cast("double") for c in FEATURES}}
+    digests = [
+        F.md5(F.concat_ws(":", F.lit(SEED), F.lit(block), F.col("order_id").cast("string")).cast("binary"))
+        for block in range((trees - 1) // DRAWS + 1)
+    ]
+    pieces = [F.substring("digest", at * DRAW_DIGITS + 1, DRAW_DIGITS) for at in range(DRAWS)]
+    # Nearly all digests are dropped as they are, before their draws are made rows.
+    lucky = orders.select("order_id", *FEATURES, F.posexplode(F.array(*digests)).alias("block", "digest")).where(
+        reduce(or_, [piece < bound for piece in pieces])
+    )
+    draws = [F.struct((F.col("block") * DRAWS + at).alias("tree"), piece.alias("draw")) for at, piece in enumerate(pieces)]
+    members = (
+        lucky.select("order_id", *FEATURES, F.inline(F.array(*draws)))
+        .where((F.col("tree") < trees) & (F.col("draw") < bound))
+        .withColumns({"order_id": F.col("order_id").cast("string"), **{c: F.col(c).cast("double") for c in FEATURES}})
     )
     depth = max(1, ceil(log2(sample)))
     return members.groupBy("tree").applyInPandas(_tree_builder(sample, depth), NODES)

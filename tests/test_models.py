@@ -244,3 +244,25 @@ def test_clusters_of_few_or_no_customers(spark):
     assert [r["inertia"] for r in clustering.elbow(two, max_k=3).orderBy("k").collect()] == [6.0, 0.0, 0.0]
     none = clustering.cluster_customers(spark.createDataFrame([], schema))
     assert none.customers.count() == 0 and none.inertia == 0.0
+
+
+def test_samples_are_the_least_draws_and_no_digest_is_split_by_a_pattern(spark):
+    import hashlib
+
+    rows = [(f"o{i}", *[float((i * k) % 97) for k in (1, 3, 7, 11, 13)]) for i in range(400)]
+    orders = spark.createDataFrame(rows, "order_id string, " + ", ".join(f"{c} double" for c in outliers.FEATURES))
+    nodes = outliers.grow_forest(orders.repartition(3), trees=6, sample=16)
+    assert "split(" not in nodes._jdf.queryExecution().analyzed().toString()
+
+    def draw(tree, order):
+        digest = hashlib.md5(f"42:{tree // 4}:{order}".encode()).hexdigest()
+        return digest[tree % 4 * 8 : tree % 4 * 8 + 8]
+
+    roots = {r["tree"]: r for r in nodes.where("node = 1").collect()}
+    assert sorted(roots) == list(range(6))
+    for tree, root in roots.items():
+        sample = sorted(rows, key=lambda r: (draw(tree, r[0]), r[0]))[:16]
+        digest = hashlib.md5(f"node:42:{tree}:1".encode()).hexdigest()
+        values = [r[1 + root["feature"]] for r in sample]
+        assert root["sample"] == 16
+        assert root["split"] == pytest.approx(min(values) + int(digest[8:21], 16) / 2**52 * (max(values) - min(values)))
