@@ -7,7 +7,7 @@ means and other floating sums are rounded, because their last digit depends on t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -738,15 +738,19 @@ def r5_actions(spark, sf_dir):
     )
 
 
+def _diagnose(spark: SparkSession, sf_dir: str, sections: Collection[str] = diagnosis.SECTIONS) -> DataFrame:
+    return diagnose(materialize(star_lines(spark, sf_dir), "lines"), min_support=PAIR_SUPPORT, sections=sections)
+
+
 @query
 def r6_diagnosis(spark, sf_dir):
-    return diagnose(materialize(star_lines(spark, sf_dir), "lines"), min_support=PAIR_SUPPORT)
+    return _diagnose(spark, sf_dir)
 
 
 @query
 def r6_all_but_forecast(spark, sf_dir):
     """The diagnosis without the section that comes from the fitted forecast."""
-    return r6_diagnosis(spark, sf_dir).where("section <> 'forecast'")
+    return _diagnose(spark, sf_dir, [section for section in diagnosis.SECTIONS if section != "forecast"])
 
 
 # ---- facts that any valid fit meets, for the queries whose rows depend on the fit -----------
@@ -854,5 +858,4 @@ def d3_facts(spark, sf_dir):
 @query
 def r6_facts(spark, sf_dir):
     """The sections of the diagnosis that no fit enters."""
-    sections = ["summary", "volatility", "best sellers", "slow movers"]
-    return r6_diagnosis(spark, sf_dir).where(F.col("section").isin(sections))
+    return _diagnose(spark, sf_dir, ["summary", "volatility", "best sellers", "slow movers"])

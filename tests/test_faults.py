@@ -151,3 +151,15 @@ def test_settle_deletes_only_what_came_since(spark):
     result = settle(step.where("id > 2"), "result", mark)
     assert result.count() == 2 and first.count() == 5
     assert before and not any(os.path.exists(path.removeprefix("file://")) for path in before)
+
+
+def test_diagnosis_runs_only_what_its_sections_need(spark, monkeypatch):
+    from orderlines.plans import queries, report
+
+    def never(*_, **__):
+        raise AssertionError("not needed by these sections")
+
+    for name in ("mine_rules", "rfm_segments", "forecast", "isolation_forest"):
+        monkeypatch.setattr(report, name, never)
+    rows = queries.QUERIES["r6_facts"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["section"] for r in rows} == {"summary", "volatility", "best sellers", "slow movers"}
