@@ -18,11 +18,12 @@ from orderlines.llm.near_texts import near_links
 from orderlines.llm.quality_rules import keep_good
 from orderlines.llm.simhash import keep_first, near_duplicates
 from orderlines.llm.source_mix import mix_sources, take, words_in
-from orderlines.llm.texts import read
+from orderlines.llm.texts import read, small_batches
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the limits on repetition."""
+    small_batches(spark)
     return keep_good(docs)
 
 
@@ -31,6 +32,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     ``n_chars`` follows the text.
     """
+    small_batches(spark)
     cut = dedup_lines(docs.select("doc_id", "text", "lang", "source"))
     whole = cut.where((F.col("n_deleted") == 0) | (words_in(F.col("text")) > 0))
     return whole.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
@@ -42,6 +44,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Near are texts whose fingerprints differ in at most 4 bits, or that share four fifths of their
     five-word shingles.
     """
+    small_batches(spark)
     grouped = near_duplicates(docs, keep=tuple(docs.columns), links=near_links(docs))
     return keep_first(grouped).select(*docs.columns)
 

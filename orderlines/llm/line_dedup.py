@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlines.functions.storage import materialize
-from orderlines.llm.texts import TEXT_BYTES
+from orderlines.llm.texts import TEXT_BYTES, slices
 
 #: Documents of a line that are all paired with each other.
 RARE = 8
@@ -207,11 +207,13 @@ def dedup_lines(
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = batch.column(TEXT_BYTES).to_pylist(), batch.column("_places").to_pylist()
-            made = list(zip(*(delete_lines(t, p, min_words) for t, p in zip(texts, places)))) or [()] * 4
-            arrays = [batch.column(i) for i in range(batch.num_columns - 2)]
-            arrays += [pa.array(values, kind) for values, kind in zip(made, types[-4:])]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            texts, places = batch.column(TEXT_BYTES), batch.column("_places")
+            for start, stop in slices(texts):
+                pairs = zip(*(column.slice(start, stop - start).to_pylist() for column in (texts, places)))
+                made = zip(*(delete_lines(t, p, min_words) for t, p in pairs))
+                arrays = [batch.column(i).slice(start, stop - start) for i in range(batch.num_columns - 2)]
+                arrays += [pa.array(values, kind) for values, kind in zip(made, types[-4:])]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(rebuild, schema).select(
         *[F.col(c).cast("string").alias(c) if c == text else c for c in kept], *ADDED
