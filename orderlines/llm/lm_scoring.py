@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlines.functions.storage import materialize
-from orderlines.llm.texts import TEXT_BYTES, held_out_remainder
+from orderlines.llm.texts import TEXT_BYTES, held_out_remainder, small_batches
 
 HELD_OUT = 1
 TUNE = 0
@@ -301,8 +301,10 @@ def score_texts(
     Texts whose key has remainder HELD_OUT are not learned from. Null and empty texts are just an
     end. Repeated rows are learned from and scored one by one; a null key counts as an empty one.
     An empty table gives an empty result. A kept column with the name of a result gives way to it.
-    Words and pairs are told apart by 64-bit hashes.
+    Words and pairs are told apart by 64-bit hashes. Texts and chunks go to Python in batches bounded by bytes: a chunk
+    is some MB, and the default of 64 MB would put many of them in one batch, several times in memory.
     """
+    small_batches(docs.sparkSession)
     added = T._parse_datatype_string(RESULTS)
     kept = tuple(name for name in keep if name not in added.names)
     chunks = materialize(number_texts(docs, text, key, kept), "chunks")

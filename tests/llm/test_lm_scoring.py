@@ -9,6 +9,7 @@ import pytest
 from orderlines.llm import lm_scoring
 from orderlines.llm.lm_scoring import FREQUENCY_BUCKETS, ROUNDS, SETTLED, score_texts
 from orderlines.llm.queries import QUERIES
+from orderlines.llm.texts import BATCH_SETTING, SENT_BYTES
 from tests.llm.conftest import TABLES
 
 
@@ -97,3 +98,14 @@ def test_query_by_brute_force_and_better_than_base(spark, table):
     compare(found, rows)
     held = [r for r in found if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark, documents):
+    """Chunks of some MB: by Spark's default, a batch of 64 MB holds many of them."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, "64MB")
+    try:
+        assert score_texts(documents([(1, "a b"), (2, "b c")])).count() == 2
+        assert int(spark.conf.get(BATCH_SETTING)) <= SENT_BYTES
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
