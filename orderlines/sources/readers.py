@@ -98,7 +98,9 @@ def _inspect(spark: SparkSession, paths: list[str], check_charset: bool) -> Data
     """Per file: header bytes, and whether every line is strict UTF-8 or strict GBK.
 
     The text source hands on the bytes of a line undecoded, so the check runs on the splits of
-    each file in parallel and gives one row per file.
+    each file in parallel and gives one row per file. The different verdicts on a file's lines, four at most, are gathered
+    as a set, which Spark merges in a hash table with one entry per file of a split; it would sort all lines by file for
+    the header's text alone.
     """
     lines = spark.read.text(paths).select(
         "value",
@@ -108,14 +110,14 @@ def _inspect(spark: SparkSession, paths: list[str], check_charset: bool) -> Data
     )
     raw = F.col("value").cast("binary")
     header = F.min_by(F.base64(raw), F.when(F.col("block") == 0, F.col("row")))
-    checks = [F.lit(True).alias("utf8"), F.lit(True).alias("gbk")]
+    verdict = F.struct(F.lit(True).alias("utf8"), F.lit(True).alias("gbk"))
     if check_charset:
         single_bytes = F.decode(raw, "ISO-8859-1")
         rest = F.regexp_replace(
             single_bytes, "[\\x00-\\x7F]+|[\\x81-\\xFE][\\x40-\\x7E\\x80-\\xFE]", ""
         )
-        checks = [
-            F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-            F.bool_and(rest == "").alias("gbk"),
-        ]
-    return lines.groupBy("file").agg(header.alias("header"), *checks)
+        verdict = F.struct(F.is_valid_utf8("value").alias("utf8"), (rest == "").alias("gbk"))
+    files = lines.groupBy("file").agg(header.alias("header"), F.collect_set(verdict).alias("found"))
+    return files.select(
+        "file", "header", F.forall("found", lambda x: x["utf8"]).alias("utf8"), F.forall("found", lambda x: x["gbk"]).alias("gbk")
+    )

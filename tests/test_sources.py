@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from orderlines import clean, read_orders, read_typed_orders, write_csv, write_parquet
 from orderlines.operators.cleaning import resolve_headers
 from orderlines.schema import HEADER_ALIASES, ORDER_LINE
+from orderlines.sources import readers
 
 ZH = "订单编号,下单时间,会员编号,菜品名称,分类,数量,单价,总金额,优惠金额,实付金额,来源,订单状态\n"
 CAMEL = (
@@ -76,3 +77,14 @@ def test_csv_and_parquet_round_trip(spark, tmp_path):
     assert read_orders(spark, str(tmp_path / "parquet"), format="parquet").select(*ORDER_LINE.fieldNames()).where(
         F.col("date") == "2026-03-01"
     ).count() == 1
+
+
+def test_the_charset_check_sorts_no_lines(spark, tmp_path):
+    """A sort by file would hold a whole split of lines, each with its path, in one task."""
+    path = tmp_path / "a.csv"
+    path.write_bytes("订单编号,商品名称\n1,菜\n2,茶\n".encode("gbk"))
+    for checked, expected in ((True, (False, True)), (False, (True, True))):
+        files = readers._inspect(spark, [str(path)], checked)
+        plan = files._jdf.queryExecution().executedPlan().toString()
+        assert "ObjectHashAggregate" in plan and "Sort" not in plan
+        assert files.select("utf8", "gbk").first()[:] == expected
