@@ -54,9 +54,10 @@ def screen_orders(lines: DataFrame, approx: bool = False) -> OrderScreen:
 def flag_outlier_orders(lines: DataFrame, screen: OrderScreen) -> DataFrame:
     """``is_anomaly`` on every line of an outlying order.
 
-    Lines without an order id are kept out of the join, where they would meet on one key.
+    Lines without an order id are kept out of the join, where they would meet on one key. The outlying orders are written
+    first: Spark then knows how few they are before it plans the join, and need not shuffle the lines for it.
     """
-    flagged = screen.outliers().select("order_id", F.lit(True).alias("_outlier"))
+    flagged = materialize(screen.outliers().select("order_id"), "outlying-orders").withColumn("_outlier", F.lit(True))
     known = (
         lines.where(F.col("order_id").isNotNull())
         .join(flagged, "order_id", "left")

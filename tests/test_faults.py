@@ -163,3 +163,18 @@ def test_diagnosis_runs_only_what_its_sections_need(spark, monkeypatch):
         monkeypatch.setattr(report, name, never)
     rows = queries.QUERIES["r6_facts"](spark, "/root/testdata/sf0.001").collect()
     assert {r["section"] for r in rows} == {"summary", "volatility", "best sellers", "slow movers"}
+
+
+def test_outlying_orders_are_written_before_the_join(spark):
+    """Of the totals of all orders Spark knows no more than their size, and would shuffle the lines by order."""
+    lines = spark.range(40_000).selectExpr("CAST(id AS STRING) order_id", "CAST(IF(id % 9999 = 0, 1000, id % 7) AS DECIMAL(18,4)) actual_amount")
+    lines = materialize(lines)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        flagged = quality.flag_outlier_orders(lines, quality.screen_orders(lines))
+        plan = flagged._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert flagged.where("is_anomaly").count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
