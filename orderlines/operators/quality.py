@@ -99,7 +99,8 @@ def quality_report(raw_columns: list[str], distinct: DataFrame, screen: OrderScr
         ("raw_rows", None, total(copies)),
         ("clean_rows", None, F.count(F.lit(1))),
         ("duplicates_removed", None, total(copies) - F.count(F.lit(1))),
-        ("total_orders", None, F.count_distinct("order_id")),
+        # The screen has a row per order already; to count them again would shuffle the lines by order.
+        ("total_orders", None, F.count_distinct("order_id") if screen is None else F.lit(screen.totals.count())),
         ("missing_customer_id", "customer_id", F.lit(int("customer_id" not in raw_columns))),
         ("missing_platform", "platform", F.lit(int("platform" not in raw_columns))),
     ]

@@ -178,3 +178,13 @@ def test_outlying_orders_are_written_before_the_join(spark):
         assert flagged.where("is_anomaly").count() == 5
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_quality_report_counts_orders_from_their_totals(spark):
+    lines = spark.sql("SELECT '1' order_id, 1 _copies, CAST(2 AS DECIMAL(18,4)) actual_amount UNION ALL SELECT '2', 2, 3 UNION ALL SELECT '2', 1, 4 UNION ALL SELECT NULL, 1, 5")
+    screen = quality.screen_orders(lines)
+    for given in (screen, None):
+        report = quality.quality_report(lines.columns, lines, given)
+        assert report.where("check = 'total_orders'").first()["value"] == "2"
+        distinct = "count(distinct order_id" in report._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert distinct == (given is None)
