@@ -89,6 +89,31 @@ def _starts(points: DataFrame, most: int, restarts: int) -> list[list[list[float
     return [[[float(row[c]) for c in GRID] for row in rows if row["start"] == start] for start in range(restarts)]
 
 
+def _closest(places: list[np.ndarray], centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre per point, of equal ones the first, and the squared distance: a centre at a time."""
+    cluster = np.zeros(len(places[0]), np.int64)
+    least = np.full(len(places[0]), np.inf)
+    for number, at in enumerate(centre):
+        r, f, m = (place - x for place, x in zip(places, at))
+        far = r * r + f * f + m * m
+        cluster[far < least] = number
+        np.minimum(least, far, out=least)
+    return cluster, least
+
+
+def _exact(values: np.ndarray) -> np.ndarray:
+    """Whole numbers as doubles, where none of their sums can reach 2 ** 53, else as they are."""
+    doubles = values.astype(np.float64)
+    return doubles if np.abs(doubles).sum() < 2.0**52 else values
+
+
+def _sums(cluster: np.ndarray, values: np.ndarray, clusters: int) -> np.ndarray:
+    """Exact sums per cluster of what ``_exact`` returns."""
+    if values.dtype == np.float64:
+        return np.bincount(cluster, values, clusters).astype(np.int64)
+    return np.array([values[cluster == number].sum() for number in range(clusters)], np.int64)
+
+
 def _advance(points: DataFrame, fits: Fits) -> tuple[Fits, dict[tuple[int, int], float]]:
     """All fits after one round, and what their centres cost before it."""
     keys = list(fits)
@@ -98,16 +123,14 @@ def _advance(points: DataFrame, fits: Fits) -> tuple[Fits, dict[tuple[int, int],
         sums = [np.zeros((len(c), 4), np.int64) for c in centres]
         costs = [np.zeros(len(c)) for c in centres]
         for batch in batches:
-            grid = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            grid = [batch.column(i).to_numpy() for i in range(3)]
             weight = batch.column(3).to_numpy()
-            weighted = np.column_stack([grid * weight[:, None], weight])
+            weighted = [_exact(values) for values in (*[g * weight for g in grid], weight)]
+            places = [g.astype(np.float64) for g in grid]
             for fit, centre in enumerate(centres):
-                apart = grid[:, None, :] - centre[None]
-                far = apart[:, :, 0] * apart[:, :, 0] + apart[:, :, 1] * apart[:, :, 1] + apart[:, :, 2] * apart[:, :, 2]
-                cluster = far.argmin(axis=1)
-                costs[fit] += np.bincount(cluster, far[np.arange(len(far)), cluster] * weight, len(centre))
-                for number in range(len(centre)):
-                    sums[fit][number] += weighted[cluster == number].sum(axis=0)
+                cluster, far = _closest(places, centre)
+                costs[fit] += np.bincount(cluster, far * weight, len(centre))
+                sums[fit] += np.column_stack([_sums(cluster, values, len(centre)) for values in weighted])
         rows = [
             (fit, number, *map(int, sums[fit][number]), float(costs[fit][number]))
             for fit in range(len(centres))

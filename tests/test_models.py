@@ -266,3 +266,16 @@ def test_samples_are_the_least_draws_and_no_digest_is_split_by_a_pattern(spark):
         values = [r[1 + root["feature"]] for r in sample]
         assert root["sample"] == 16
         assert root["split"] == pytest.approx(min(values) + int(digest[8:21], 16) / 2**52 * (max(values) - min(values)))
+
+
+def test_cluster_sums_are_exact_and_ties_go_to_the_first():
+    import numpy as np
+
+    for scale in (1, 10**12):
+        values = np.arange(1, 3001, dtype=np.int64) * scale + 1
+        cluster = np.arange(3000) % 3
+        sums = clustering._sums(cluster, clustering._exact(values), 3)
+        assert sums.tolist() == [sum(int(v) for v in values[n::3]) for n in range(3)]
+    points = [np.array([0.0, 1.0, 2.0]), np.zeros(3), np.zeros(3)]
+    cluster, far = clustering._closest(points, np.array([[0.0, 0, 0], [2.0, 0, 0], [2.0, 0, 0]]))
+    assert cluster.tolist() == [0, 0, 1] and far.tolist() == [0.0, 1.0, 0.0]
