@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlines.schema import LINE_NO, MONEY, REFUNDED
 
@@ -79,5 +82,28 @@ def first_value(df: DataFrame, column: str) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), F.struct(*order)))
 
 
+#: Numbers of 32 bits, the upper half negative; and a position before all others.
+_SPAN, _HALF, _BEFORE = Decimal(2**32), Decimal(2**31), Decimal(-(2**63) - 1)
+
+
+def can_place(df: DataFrame, column: str) -> bool:
+    """Whether ``placed_number`` takes the column: whole numbers of at most 32 bits, with whole positions."""
+    small = isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType))
+    return small and (LINE_NO not in df.columns or isinstance(df.schema[LINE_NO].dataType, T.IntegralType))
+
+
+def placed_number(df: DataFrame, column: str) -> Column:
+    """Position and value as one exact number. Its minimum in a group holds the ``first_value``, as ``number_in`` reads it.
+
+    Spark merges such a minimum in a hash table; for ``first_value`` it sorts the rows.
+    """
+    position = F.coalesce(F.col(LINE_NO).cast("decimal(20,0)"), F.lit(_BEFORE)) if LINE_NO in df.columns else F.lit(Decimal(0))
+    return (position * F.lit(_SPAN) + F.col(column)).cast("decimal(38,0)")
+
+
+def number_in(placed: Column) -> Column:
+    return (F.pmod(placed + F.lit(_HALF), F.lit(_SPAN)) - F.lit(_HALF)).cast("int")
+
+
 def day_text(date: Column) -> Column:
     return F.date_format(date, "yyyy-MM-dd")

@@ -15,10 +15,10 @@ from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlines.functions.expressions import first_value, total, with_calendar
+from orderlines.functions.expressions import can_place, first_value, number_in, placed_number, total, with_calendar
 from orderlines.functions.order_statistics import column_quantiles
 from orderlines.functions.storage import materialize
 from orderlines.operators.quality import OrderScreen
@@ -39,9 +39,17 @@ def order_features(lines: DataFrame) -> DataFrame:
     """One row per order: amounts, items, quantity, price, and when it was placed.
 
     Items are merged per order and product first, which spreads a very large order over tasks and
-    makes the distinct count a plain count.
+    makes the distinct count a plain count. First values travel as ``placed_number``, so that neither step sorts.
     """
     lines = with_calendar(lines)
+    placed = {c: can_place(lines, c) for c in ("hour", "is_weekend")}
+
+    def first(c: str) -> Column:
+        return F.min(placed_number(lines, c)) if placed[c] else first_value(lines, c)
+
+    def first_of_items(c: str) -> Column:
+        return number_in(F.min(c)) if placed[c] else first_value(per_item, c)
+
     per_item = (
         lines.where(F.col("order_id").isNotNull())
         .groupBy("order_id", "product_name")
@@ -51,8 +59,7 @@ def order_features(lines: DataFrame) -> DataFrame:
             F.sum("unit_price").alias("prices"),
             F.count("unit_price").alias("n_prices"),
             total(F.col("discount")).alias("discount"),
-            first_value(lines, "hour").alias("hour"),
-            first_value(lines, "is_weekend").alias("is_weekend"),
+            *[first(c).alias(c) for c in placed],
             *([F.min("line_no").alias("line_no")] if "line_no" in lines.columns else []),
         )
     )
@@ -65,8 +72,8 @@ def order_features(lines: DataFrame) -> DataFrame:
             F.lit(0.0),
         ).alias("avg_unit_price"),
         F.sum("discount").cast("double").alias("discount_total"),
-        first_value(per_item, "hour").alias("order_hour"),
-        first_value(per_item, "is_weekend").alias("is_weekend"),
+        first_of_items("hour").alias("order_hour"),
+        first_of_items("is_weekend").alias("is_weekend"),
     )
 
 

@@ -6,12 +6,13 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from orderlines.functions import storage
+from orderlines.functions import expressions, storage
 from orderlines.functions.storage import materialize, new_path, release
 from orderlines.operators import basket, forecasting, metrics, outliers, quality
 from orderlines.operators.cleaning import coerce, deduplicate
 from orderlines.plans.preparation import clean
 from orderlines.sources.readers import read_orders
+from orderlines.sources.star import star_lines
 from orderlines.sources.writers import write_parquet
 
 EXPORT = "order_id,product_name,total_amount,discount,order_time\n1,tea,10,1,2026-01-05 11:30:00\n1,cake,20,0,2026-01-05 11:30:00\n"
@@ -188,3 +189,19 @@ def test_the_quality_report_counts_orders_from_their_totals(spark):
         assert report.where("check = 'total_orders'").first()["value"] == "2"
         distinct = "count(distinct order_id" in report._jdf.queryExecution().optimizedPlan().toString().lower()
         assert distinct == (given is None)
+
+
+def test_first_hours_are_merged_without_sorting_lines(spark):
+    """First values of whole numbers, at any position and of either sign, with nulls, from a hash table."""
+    least, most = -(2**63), 2**63 - 1
+    rows = [("a", least, 5), ("a", None, 9), ("a", None, 7), ("b", most, -(2**31)), ("b", most, 3), ("c", 2, None), ("c", 3, 2**31 - 1), ("d", 1, None), ("e", -1, 4), ("e", 0, 1)]
+    df = spark.createDataFrame(rows, "k string, line_no long, hour int")
+    assert expressions.can_place(df, "hour")
+    both = df.groupBy("k").agg(
+        expressions.number_in(F.min(expressions.placed_number(df, "hour"))).alias("placed"), expressions.first_value(df, "hour").alias("sorted")
+    )
+    found = {r["k"]: (r["placed"], r["sorted"]) for r in both.collect()}
+    assert {k: v[0] for k, v in found.items()} == {"a": 7, "b": -(2**31), "c": 2**31 - 1, "d": None, "e": 4}
+    assert all(a == b for a, b in found.values())
+    lines = star_lines(spark, "/root/testdata/sf0.001")
+    assert "SortAggregate" not in outliers.order_features(lines)._jdf.queryExecution().executedPlan().toString()
