@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
 _KEPT: WeakKeyDictionary[SparkSession, list[DataFrame]] = WeakKeyDictionary()
 
@@ -60,6 +63,23 @@ def settle(df: DataFrame, name: str, mark: tuple[int, int]) -> DataFrame:
     return result
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of a job are deleted when the job ends.
+
+    Otherwise they stay until the driver collects its garbage, which may not be before the session ends.
+    """
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def marked(spark: SparkSession) -> tuple[int, int]:
     """The number of intermediates so far."""
     return len(_WRITTEN.get(spark, [])), len(_KEPT.get(spark, []))

@@ -54,7 +54,7 @@ def smallest_count(min_support: float, orders: int) -> int:
     return count
 
 
-def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, tree: bool = False) -> DataFrame:
+def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, tree: bool = False, by_order: bool = False) -> DataFrame:
     """Itemsets of any size in at least ``min_support`` of all orders: sorted items, freq, orders.
 
     Orders whose items all cancel out still count as orders. Rare items cannot be part of a
@@ -64,10 +64,13 @@ def frequent_itemsets(lines: DataFrame, min_support: float = 0.01, tree: bool =
     Sets are counted size by size over the merged baskets (``counted_itemsets``). ``tree`` mines them by FP-growth
     instead, which pays where baskets share long runs of items; its trees are held in memory, and grow with the
     number of different baskets.
+
+    The distinct items of the orders are written, since they are read three times. Lines ``by_order`` lie in a table of
+    ``write_bucketed``: they give these items without a shuffle, and are read instead.
     """
     spark = lines.sparkSession
     mark = marked(spark)
-    items = materialize(order_items(lines), "order-items")
+    items = order_items(lines) if by_order else materialize(order_items(lines), "order-items")
     orders = items.agg(F.count_distinct("order_id")).first()[0]
     if orders == 0:
         return spark.createDataFrame([], ITEMSETS)
@@ -288,10 +291,10 @@ def top_rules(rules: DataFrame, top_n: int = 30) -> DataFrame:
 
 
 def mine_rules(
-    lines: DataFrame, min_support: float = 0.01, min_lift: float = 1.0, top_n: int = 30
+    lines: DataFrame, min_support: float = 0.01, min_lift: float = 1.0, top_n: int = 30, by_order: bool = False
 ) -> DataFrame:
     """Order lines to the strongest association rules."""
-    return top_rules(association_rules(frequent_itemsets(lines, min_support), min_lift), top_n)
+    return top_rules(association_rules(frequent_itemsets(lines, min_support, by_order=by_order), min_lift), top_n)
 
 
 def recommendation() -> Column:

@@ -167,28 +167,34 @@ def _with_total(groups: DataFrame, column: str) -> DataFrame:
     return written.withColumn("_all", written.agg(F.sum(column)).scalar())
 
 
-def product_ranking(lines: DataFrame) -> DataFrame:
+def product_ranking(lines: DataFrame, by_order: bool = False) -> DataFrame:
     """Units, revenue, orders, price and refunds per product; most sold first.
 
     The lines are read once: merged per product, category and order they are written, and both the
-    sums and the distinct orders are taken from that.
+    sums and the distinct orders are taken from that. Lines ``by_order`` lie in a table of ``write_bucketed``, which
+    counts distinct orders without a shuffle; they are read for each of these, and only the sums are written.
     """
     position = F.min(LINE_NO) if LINE_NO in lines.columns else F.lit(0)
-    cells = materialize(
-        lines.groupBy("product_name", "category", "order_id").agg(
+
+    def merged(*keys: str) -> DataFrame:
+        return lines.groupBy(*keys).agg(
             position.alias("position"),
             total(F.col("quantity")).alias("quantity"),
             total(F.col("actual_amount")).alias("amount"),
             F.sum("unit_price").alias("prices"),
             F.count("unit_price").alias("n_prices"),
             refunded_lines().alias("refunded"),
-        ),
-        "product-orders",
-    )
-    sums = cells.groupBy("product_name", "category").agg(
-        F.min("position").alias("position"),
-        *[F.sum(name).alias(name) for name in ("quantity", "amount", "prices", "n_prices", "refunded")],
-    )
+        )
+
+    if by_order:
+        sums = materialize(merged("product_name", "category"), "product-sums")
+        placed, amounts = lines, sums
+    else:
+        placed = amounts = cells = materialize(merged("product_name", "category", "order_id"), "product-orders")
+        sums = cells.groupBy("product_name", "category").agg(
+            F.min("position").alias("position"),
+            *[F.sum(name).alias(name) for name in ("quantity", "amount", "prices", "n_prices", "refunded")],
+        )
     category = F.when(F.col("category").isNotNull(), F.struct("position", "category"))
     per_product = (
         sums.where(F.col("product_name").isNotNull())
@@ -201,9 +207,9 @@ def product_ranking(lines: DataFrame) -> DataFrame:
             F.sum("refunded").alias("refund_count"),
         )
     )
-    orders = cells.groupBy("product_name").agg(F.count_distinct("order_id").alias("order_count"))
-    everything = cells.agg(F.sum("amount")).scalar()
-    all_orders = cells.agg(F.count_distinct("order_id")).scalar()
+    orders = placed.groupBy("product_name").agg(F.count_distinct("order_id").alias("order_count"))
+    everything = amounts.agg(F.sum("amount")).scalar()
+    all_orders = placed.agg(F.count_distinct("order_id")).scalar()
     return (
         per_product.join(orders, "product_name")
         .select(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from orderlines.functions.expressions import can_place, first_value, number_in, placed_number, total, with_calendar
 from orderlines.functions.order_statistics import column_quantiles
-from orderlines.functions.storage import materialize
+from orderlines.functions.storage import marked, materialize, settle
 from orderlines.operators.quality import OrderScreen
 
 FEATURES = ["total_amount", "item_count", "total_quantity", "avg_unit_price", "discount_total"]
@@ -84,9 +84,10 @@ def isolation_forest(
 
     Each of ``trees`` trees is grown on ``sample`` orders of its own, to a depth of log2 of that.
     """
+    mark = marked(lines.sparkSession)
     orders = materialize(order_features(lines), "order-features")
     nodes = grow_forest(orders, trees, sample)
-    scored = materialize(score_orders(orders, nodes), "scores")
+    scored = settle(score_orders(orders, nodes), "scores", mark)
     (cut,) = column_quantiles(scored, {"anomaly_score": [contamination]})["anomaly_score"]
     strange = F.col("anomaly_score") < F.lit(cut).cast("double")
     return scored.withColumn("anomaly_label", F.when(strange, -1).otherwise(1)).withColumn(

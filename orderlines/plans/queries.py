@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Collection
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from orderlines.functions.expressions import day_text
 from orderlines.functions.order_statistics import Ordering
-from orderlines.functions.storage import materialize, new_path
+from orderlines.functions.storage import marked, materialize, new_path, settle, shared_folder, shuffles_dropped
 from orderlines.operators import (
     agreement,
     basket,
@@ -739,8 +740,42 @@ def r5_actions(spark, sf_dir):
     )
 
 
+#: Lines of a bucket of the diagnosis: a task of some hundred MB.
+BUCKET_LINES = 500_000
+
+
+def _laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str | None]:
+    """Written lines and the name of their table if they lie there by order, as most analyses of the diagnosis group them.
+
+    An order that alone fills a bucket would be one task of each of these; the lines are then written as they come.
+    Calendar fields are left out: they follow from ``order_time`` wherever they are read.
+    """
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_orderkey").isNotNull())
+    # Empty where no order stands out.
+    n, largest = items.agg(F.count(F.lit(1)), F.expr("get(approx_top_k(l_orderkey, 1), 0).count")).first()
+    unread = ("date", "hour", "weekday", "is_weekend")
+    if (largest or 0) > BUCKET_LINES:
+        return materialize(star_lines(spark, sf_dir).drop(*unread), "lines"), None
+    buckets = max(spark.sparkContext.defaultParallelism, ceil(n / BUCKET_LINES))
+    # Spark joins in the session's number of partitions at least; a multiple of the buckets then gives a file per task.
+    dealt = buckets * ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / buckets)
+    lines, table = star_lines(spark, sf_dir, dealt=dealt).drop(*unread), f"lines_{uuid.uuid4().hex}"
+    return write_bucketed(lines, table, buckets, dealt=True, compression="zstd"), table
+
+
 def _diagnose(spark: SparkSession, sf_dir: str, sections: Collection[str] = diagnosis.SECTIONS) -> DataFrame:
-    return diagnose(materialize(star_lines(spark, sf_dir), "lines"), min_support=PAIR_SUPPORT, sections=sections)
+    """The sections over lines that are written once; these and the shuffles go as soon as their results stand."""
+    mark = marked(spark)
+    with shuffles_dropped(spark):
+        lines, table = _laid_out(spark, sf_dir)
+        found = diagnose(lines, min_support=PAIR_SUPPORT, sections=sections, by_order=table is not None)
+        if shared_folder(spark) is None:
+            # A lost part of the result is computed again, from these lines.
+            return found
+        found = settle(found, "diagnosis", mark)
+    if table:
+        spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 @query

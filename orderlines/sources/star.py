@@ -12,26 +12,35 @@ CENTS = "decimal(18,2)"
 RATE = "decimal(4,2)"
 
 
-def star_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame:
+def star_lines(spark: SparkSession, sf_dir: str, products: bool = True, dealt: int | None = None) -> DataFrame:
     """``lineitem`` with its order and, where asked for, its product.
 
     Joins are left to Spark: it broadcasts a side only when its size is small enough, and adaptive
     execution splits the partitions of an order or part that holds many lines. The text
     ``order_id`` keeps the later grouping apart from the join, so such a split stays possible.
+
+    With ``dealt`` the join with the orders comes last and on that text, in so many partitions: the lines leave it
+    as ``write_bucketed`` deals them out, and need no shuffle of their own for that.
     """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    lines = items.join(orders, items.l_orderkey == orders.o_orderkey)
+    lines, order_id = items, F.col("l_orderkey").cast("string")
+    if dealt is None:
+        lines = lines.join(orders, items.l_orderkey == orders.o_orderkey)
     if products:
         parts = spark.read.parquet(f"{sf_dir}/part.parquet")
         lines = lines.join(parts, lines.l_partkey == parts.p_partkey)
+    if dealt is not None:
+        lines = lines.withColumn("_order", order_id).repartition(dealt, "_order")
+        orders = orders.withColumn("_of", F.col("o_orderkey").cast("string")).repartition(dealt, "_of")
+        lines, order_id = lines.join(orders, F.col("_order") == F.col("_of")), F.col("_order")
 
     price = F.col("l_extendedprice").cast(CENTS)
     discount = (price * F.col("l_discount").cast(RATE)).cast(MONEY)
     actual = (price.cast(MONEY) - discount).cast(MONEY)
     refunded = F.col("l_returnflag") == "R"
     named = {
-        "order_id": F.col("l_orderkey").cast("string"),
+        "order_id": order_id,
         LINE_NO: F.col("l_linenumber").cast("long"),
         "order_time": F.col("o_orderdate"),
         **calendar_columns(F.col("o_orderdate")),

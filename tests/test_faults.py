@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from orderlines.functions import expressions, storage
 from orderlines.functions.storage import materialize, new_path, release
-from orderlines.operators import basket, forecasting, metrics, outliers, quality
+from orderlines.operators import basket, diagnosis, forecasting, metrics, outliers, quality
 from orderlines.operators.cleaning import coerce, deduplicate
+from orderlines.plans import queries
 from orderlines.plans.preparation import clean
+from orderlines.plans.report import diagnose
 from orderlines.sources.readers import read_orders
 from orderlines.sources.star import star_lines
 from orderlines.sources.writers import write_parquet
@@ -205,3 +207,111 @@ def test_first_hours_are_merged_without_sorting_lines(spark):
     assert all(a == b for a, b in found.values())
     lines = star_lines(spark, "/root/testdata/sf0.001")
     assert "SortAggregate" not in outliers.order_features(lines)._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- disk of the diagnosis ------------------------------------------------------------------
+
+
+def star_tables(folder, orders, order_of="i // 4"):
+    """Star tables with four lines per order, unless ``order_of`` the line says otherwise."""
+    import duckdb
+
+    tables = {
+        "lineitem": f"""SELECT {order_of} AS l_orderkey, i * 7 % 20 AS l_partkey, i % 4 + 1 AS l_linenumber, i % 5 + 1.0 AS l_quantity,
+            i * 37 % 900 + 10.5 AS l_extendedprice, (i % 9) / 100 AS l_discount, substr('NRA', i % 3 + 1, 1) AS l_returnflag
+            FROM range({4 * orders}) AS t(i)""",
+        "orders": f"SELECT i AS o_orderkey, i * 3 % 11 AS o_custkey, TIMESTAMP '2024-01-01' + to_days(CAST(i % 40 AS INT)) AS o_orderdate, (i % 5)::VARCHAR AS o_orderpriority FROM range({orders}) AS t(i)",
+        "part": "SELECT i AS p_partkey, 'p' || (i % 6) AS p_name, 't' || (i % 2) AS p_type FROM range(20) AS t(i)",
+    }
+    for name, select in tables.items():
+        duckdb.sql(f"COPY ({select}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def test_diagnosis_leaves_nothing_but_its_rows(spark, tmp_path, monkeypatch):
+    """Lines, intermediates and shuffles stayed on disk until the session ended."""
+    folder = star_tables(tmp_path, 150)
+    lines = materialize(star_lines(spark, folder), "lines")
+    sections = [section for section in diagnosis.SECTIONS if section != "forecast"]
+    expected = sorted(map(str, diagnose(lines, min_support=queries.PAIR_SUPPORT, sections=sections).collect()))
+    release(spark)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before, tables = set(os.listdir(shared)), spark.catalog.listTables()
+    found = queries.r6_all_but_forecast(spark, folder)
+    (kept,) = set(os.listdir(shared)) - before
+    assert kept.startswith("orderlines-diagnosis-") and spark.catalog.listTables() == tables
+    assert sorted(map(str, found.collect())) == expected
+    release(spark)
+    assert set(os.listdir(shared)) == before
+    # Without a shared folder the lines stay: the rows are computed from them.
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: None)
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: None)
+    assert sorted(map(str, queries.r6_all_but_forecast(spark, folder).collect())) == expected
+    release(spark)
+
+
+def test_diagnosis_lays_no_lines_by_an_order_that_fills_a_bucket(spark, tmp_path, monkeypatch):
+    folder = star_tables(tmp_path, 60, "CASE WHEN i % 2 = 1 THEN 0 ELSE i // 4 END")
+    by_order = sorted(map(str, queries.r6_facts(spark, folder).collect()))
+    monkeypatch.setattr(queries, "BUCKET_LINES", 100)
+    lines, table = queries._laid_out(spark, folder)
+    assert table is None and lines.count() == 240
+    assert sorted(map(str, queries.r6_facts(spark, folder).collect())) == by_order
+
+
+@pytest.mark.parametrize("orders", [0, 15_000])
+def test_lines_are_laid_by_order_where_no_order_stands_out(spark, tmp_path, orders):
+    lines, table = queries._laid_out(spark, star_tables(tmp_path, orders))
+    assert lines.count() == 4 * orders
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_lines_by_order_are_ranked_and_counted_without_a_shuffle_by_order(spark, tmp_path):
+    folder = star_tables(tmp_path, 80)
+    lines, table = queries._laid_out(spark, folder)
+    plain = materialize(star_lines(spark, folder), "lines")
+    ranked = metrics.product_ranking(lines, by_order=True)
+    assert "Exchange hashpartitioning(product_name" in plan_of(ranked) and "order_id" not in "".join(
+        line for line in plan_of(ranked).splitlines() if "Exchange hashpartitioning" in line
+    )
+    assert ranked.collect() == metrics.product_ranking(plain).collect()
+    assert "Exchange" not in plan_of(basket.order_items(lines))
+    rows = sorted(map(str, basket.frequent_itemsets(lines, 0.02, by_order=True).collect()))
+    assert len(rows) > 6 and rows == sorted(map(str, basket.frequent_itemsets(plain, 0.02).collect()))
+    # Dealt by the join already, each task writes one file of one bucket.
+    buckets = [f.rpartition("_")[2] for f in map(os.path.basename, lines.inputFiles())]
+    assert len(buckets) == len(set(buckets)) and set(plain.columns) - set(lines.columns) == {"date", "hour", "weekday", "is_weekend"}
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_shuffles_are_dropped_with_their_job(spark):
+    def shuffles():
+        blocks = spark._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+        return blocks.size()
+
+    name = storage._DROP_SHUFFLES
+    before = spark.conf.get(name, None)
+    with storage.shuffles_dropped(spark):
+        held = shuffles()
+        again = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+        assert materialize(again, "counts").count() == 7
+        assert shuffles() <= held
+        # What a job has dropped is made again for the next.
+        assert again.count() == 7 == len(again.collect())
+    assert spark.conf.get(name, None) == before
+
+
+def test_forest_deletes_the_features_that_its_scores_repeat(spark, tmp_path):
+    release(spark)
+    lines = star_lines(spark, star_tables(tmp_path, 60))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    scored = outliers.isolation_forest(lines, trees=5, sample=16)
+    names = {name.rpartition("-")[0] for name in set(os.listdir(shared)) - before}
+    assert "orderlines-scores" in names and "orderlines-order-features" not in names
+    assert scored.count() == 60
+    release(spark)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
